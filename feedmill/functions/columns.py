@@ -48,27 +48,25 @@ def float_six(text: Column) -> Column:
     unreadable gives NULL.
     """
     number = F.when(is_number(text), F.trim(text))
-    value = number.cast("double")
+    double = number.cast("double")
+    value = F.when(F.abs(double) < EXACT_LIMIT, double)
     scaled = value * F.lit(1e6)
     spread = value * F.lit(SPLITTER)
     high = spread - (spread - value)
     error = (high * F.lit(1e6) - scaled) + (value - high) * F.lit(1e6)
-    below = F.floor(scaled)
-    half = scaled - below == 0.5
-    units = (
-        F.when(half & (error > 0), below + 1)
-        .when(half & (error < 0), below)
-        .otherwise(F.rint(scaled).try_cast("long"))
-    )
+    nearest = F.rint(scaled)
+    rest = scaled - nearest
+    up = ((rest == 0.5) & (error > 0)).cast("long")
+    down = ((rest == -0.5) & (error < 0)).cast("long")
+    units = nearest.cast("long") + up - down
     # '-0.0' and values that round to zero from below keep their sign, as C formatting does.
     sign = F.when((units == 0) & number.startswith("-"), F.lit("-")).otherwise(F.lit(""))
-    digits = (units.cast("decimal(19,0)") * F.lit("0.000001").cast("decimal(7,6)")).cast("decimal(25,6)")
-    exact = F.concat(sign, digits.cast("string"))
-    wide = number.try_cast("decimal(38,6)").cast("string")
-    return (
-        F.when(~present(text), F.lit(""))
-        .when(F.abs(value) < EXACT_LIMIT, exact)
-        .otherwise(wide)
+    exact = F.concat(sign, (units.cast("decimal(19,0)") * F.lit("0.000001").cast("decimal(7,6)")).cast("string"))
+    # Every step is used at the top of the expression, where Spark computes repeated parts once.
+    return F.coalesce(
+        exact,
+        F.when(double.isNotNull(), number.try_cast("decimal(38,6)").cast("string")),
+        F.when(~present(text), F.lit("")),
     )
 
 
@@ -78,8 +76,8 @@ def scrub(text: Column, delimiter: str = ",", by: str = " ") -> Column:
 
 
 def whitelist(text: Column) -> Column:
-    """Keep letters, digits, '|' and '-', turn '#' into '/', drop the rest; nothing left is NULL."""
-    kept = F.regexp_replace(text, "[^a-zA-Z0-9|#-]+", "")
+    """Keep ASCII letters and digits, '|' and '-', turn '#' into '/', drop the rest; nothing left is NULL."""
+    kept = F.regexp_replace(text, r"[^\p{Alnum}|#-]+", "")
     return F.nullif(F.replace(kept, F.lit("#"), F.lit("/")), F.lit(""))
 
 

@@ -42,10 +42,7 @@ def number_rows(df: DataFrame, order_by: tuple[str, ...], group_by: tuple[str, .
 
     The rows are range-partitioned on group and order, so a group or sort value that holds much
     of the data is cut up by the columns after it. They are staged as a table with their place in
-    it, because only a written table has the same partitions each time it is read. Counts per
-    partition then give each partition's offset: the only data that ever meets in one task is one
-    count per range partition. Neither the staged rows nor the counts are shuffled again unless
-    the counts outgrow Spark's broadcast threshold; then no key of that join exceeds a partition.
+    it, because only a written table has the same partitions each time it is read.
     """
     spark = df.sparkSession
     stage = fresh_dir(spark, "numbered")
@@ -56,24 +53,38 @@ def number_rows(df: DataFrame, order_by: tuple[str, ...], group_by: tuple[str, .
         .withColumn("_pos", F.monotonically_increasing_id())
     )
     placed.write.parquet(f"{stage}/rows")
-    rows = spark.read.schema(placed.schema).parquet(f"{stage}/rows").withColumn(
-        "_part", F.shiftright("_pos", PARTITION_SHIFT)
-    )
+    rows = spark.read.schema(placed.schema).parquet(f"{stage}/rows")
+    return number_staged(rows, stage, df.columns, group_by)
+
+
+def number_staged(
+    rows: DataFrame, stage: str, columns: list[str], group_by: tuple[str, ...], within: tuple[str, ...] = ()
+) -> Numbered:
+    """Number staged rows whose ``_pos`` was given, in row order, by monotonically_increasing_id.
 
-    before = W.partitionBy(*group_by).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    segments = (
-        rows.groupBy("_part", *group_by)
+    A segment is a run of rows of one group (and one value of ``within``) in one partition.
+    Segments of a group follow each other by ``within``, else by partition. Their counts give each
+    one's offset, and those are all that ever meets in one task: a count per segment. The rows are
+    not shuffled, unless the segments outgrow Spark's broadcast threshold; then no key of the join
+    exceeds a partition.
+    """
+    keys = ("_part", *group_by, *within)
+    rows = rows.withColumn("_part", F.shiftright("_pos", PARTITION_SHIFT))
+    before = W.partitionBy(*group_by).orderBy(*within, "_part").rowsBetween(W.unboundedPreceding, -1)
+    counted = (
+        rows.groupBy(*keys)
         .agg(F.min("_pos").alias("_first"), F.count(F.lit(1)).alias("_n"))
         .withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
         .withColumn("group_rows", F.sum("_n").over(W.partitionBy(*group_by)))
     )
-    segments.write.parquet(f"{stage}/segments")
-    segments = spark.read.schema(segments.schema).parquet(f"{stage}/segments")
-
-    keys = segments.select(*[F.col(c).alias(f"_seg_{c}") for c in ("_part", *group_by)], "_first", "_before", "group_rows")
-    same = [F.col(c).eqNullSafe(F.col(f"_seg_{c}")) for c in ("_part", *group_by)]
-    numbered = rows.join(keys, same).select(
-        *df.columns,
+    # Written, so that the join below knows its size.
+    counted.write.parquet(f"{stage}/segments")
+    segments = rows.sparkSession.read.schema(counted.schema).parquet(f"{stage}/segments")
+
+    side = segments.select(*[F.col(c).alias(f"_of{c}") for c in keys], "_first", "_before", "group_rows")
+    same = [F.col(c).eqNullSafe(F.col(f"_of{c}")) for c in keys]
+    numbered = rows.join(side, same).select(
+        *columns,
         (F.col("_before") + F.col("_pos") - F.col("_first") + 1).alias("rn"),
         "group_rows",
     )

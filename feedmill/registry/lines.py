@@ -129,7 +129,7 @@ def line_arity(spark, sf_dir):
     n_fields = field_count(F.col("line"))
     return (
         events.unionByName(documents)
-        .select("kind", "id", n_fields.alias("n_fields"), (n_fields == 17).alias("fits"), C.strip_line_end(F.col("line")).alias("line"))
+        .select("kind", "id", n_fields.cast("long").alias("n_fields"), (n_fields == 17).alias("fits"), C.strip_line_end(F.col("line")).alias("line"))
         .groupBy("kind", "id", "n_fields", "fits")
         .agg(F.count(F.lit(1)).alias("n_lines"), F.sum(F.length("line")).cast("long").alias("n_chars"))
     )

@@ -36,8 +36,14 @@ class Ledger:
         self.path = path
 
     def _append(self, feed, start, end, rows, path, state) -> None:
-        entry = (feed, start, end, rows, path, state, datetime.now(timezone.utc))
-        self.spark.createDataFrame([entry], LEDGER_SCHEMA).coalesce(1).write.mode("append").parquet(self.path)
+        self.spark.sql(
+            """
+            SELECT :feed AS feed, cast(:start AS bigint) AS start_key, cast(:end AS bigint) AS end_key,
+                   cast(:rows AS bigint) AS rows, cast(:path AS string) AS path, :state AS state,
+                   current_timestamp() AS committed_at
+            """,
+            args={"feed": feed, "start": start, "end": end, "rows": rows, "path": path, "state": state},
+        ).write.mode("append").parquet(self.path)
 
     def entries(self) -> DataFrame:
         return read_or_empty(self.spark, LEDGER_SCHEMA, self.path)

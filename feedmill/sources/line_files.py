@@ -7,10 +7,6 @@ from pyspark.sql import functions as F
 
 LOG_GLOB = "*.[lL][oO][gG]"
 
-# Where a line sits: its file, the offset of its split in the file, its place in the scan.
-# Splits are read front to back, so sorting by these restores the order of the file.
-LINE_ORDER = ("block_start", "scan_pos")
-
 
 def name_matches(file_name: Column, prefix: str) -> Column:
     """Name starts with the prefix (a pattern) and ends in .log, in any letter case."""
@@ -34,7 +30,8 @@ def list_files(spark: SparkSession, folder: str, prefix: str) -> DataFrame:
 
 
 def read_lines(spark: SparkSession, paths: str | list[str], prefix: str) -> DataFrame:
-    """Lines of the matching files with what is needed to restore their order.
+    """Lines of the matching files, with what is needed to restore their order: the offset of
+    the split in its file, and the place in the scan, which reads a split front to back.
 
     The name test uses the file metadata only, so files that do not match are never opened.
     Lines end at ``\\n`` alone; a ``\\r`` inside a line is data.
