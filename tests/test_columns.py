@@ -1,0 +1,101 @@
+import random
+import time
+from datetime import datetime, timezone
+
+import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from feedmill.functions import columns as C
+
+
+def apply(spark, values, make):
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v string")
+    return [r.out for r in df.select("i", make(F.col("v")).alias("out")).orderBy("i").collect()]
+
+
+def test_decimal_six(spark):
+    values = ["-1.25", "0.5", "113.1234567", "1000", "abc", "", None, " 7 ", "999.9999995", "0.0000005"]
+    want = ["-1.250000", "0.500000", "113.123457", None, None, None, None, "7.000000", None, "0.000001"]
+    assert apply(spark, values, C.decimal_six) == want
+    bad = [False, False, False, True, True, False, False, False, True, False]
+    assert apply(spark, values, C.decimal_six_bad) == bad
+
+
+FLOAT_TEXTS = [
+    "0", "-0", "1", "-1.25", "113.1234565", "0.0000005", "-0.0000005", "0.0000015", "0.0078125", "-0.0234375",
+    "22.5431235", "1e3", "1.5E-7", "+3.", ".5", " 7.25 ", "123456789.1234565", "-0.00000049", "3999999999.9999995",
+]
+
+
+def test_float_six_is_c_formatting(spark):
+    rng = random.Random(7)
+    texts = list(FLOAT_TEXTS)
+    texts += [f"{rng.randint(-180, 180)}.{rng.randint(0, 999999):06d}5" for _ in range(3000)]
+    texts += [repr(rng.uniform(-1000, 1000)) for _ in range(1000)]
+    texts += [repr(k / 128) for k in range(-300, 300)]
+    assert apply(spark, texts, C.float_six) == ["%.6f" % float(t) for t in texts]
+
+
+@settings(max_examples=3, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.floats(-4e9 + 1, 4e9 - 1), min_size=50, max_size=300))
+def test_float_six_property(spark, numbers):
+    texts = [repr(n) for n in numbers]
+    assert apply(spark, texts, C.float_six) == ["%.6f" % float(t) for t in texts]
+
+
+def test_float_six_missing_and_unreadable(spark):
+    values = ["", None, "abc", "1.5d", "NaN", "1,5", "12345678901234.5"]
+    assert apply(spark, values, C.float_six) == ["", "", None, None, None, None, "12345678901234.500000"]
+
+
+KEPT = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789|-"
+
+
+def test_whitelist(spark):
+    rng = random.Random(3)
+    alphabet = KEPT + "#_ ,.;中é\n"
+    values = ["a#b,c中", "", None, "###", "__", "aAzZ09|-"]
+    values += ["".join(rng.choice(alphabet) for _ in range(rng.randint(1, 30))) for _ in range(1000)]
+
+    def want(value):
+        kept = [("/" if ch == "#" else ch) for ch in value or "" if ch in KEPT or ch == "#"]
+        return "".join(kept) or None
+
+    assert apply(spark, values, C.whitelist) == [want(v) for v in values]
+
+
+def test_epoch_seconds(spark):
+    good = ["2019-6-1 3:03:01", "2019-06-01 03:03:01", "2019-06-01   23:59:59"]
+    bad = ["", None, "2019-13-01 00:00:00", "2019-02-30 00:00:00", "2019-06-01", "19-06-01 00:00:00", "2019-06-01 00:00:00.5"]
+    want = [
+        int(datetime(*time.strptime(t, "%Y-%m-%d %H:%M:%S")[:6], tzinfo=timezone.utc).timestamp()) for t in good
+    ]
+    assert apply(spark, good + bad, C.epoch_seconds) == want + [None] * len(bad)
+
+
+def test_epoch_seconds_follows_the_session_zone(spark):
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Shanghai")
+    try:
+        got = apply(spark, ["2019-06-01 08:00:00"], C.epoch_seconds)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert got == [int(datetime(2019, 6, 1, tzinfo=timezone.utc).timestamp())]
+
+
+def test_small_functions(spark):
+    assert apply(spark, ["ID-A-17", "x", "", None], C.drop_last) == ["ID-A-1", "", "", None]
+    assert apply(spark, ["7", "", None], lambda c: C.add_suffix(c, "0000")) == ["70000", "", ""]
+    assert apply(spark, ["a,b,,c", None], C.scrub) == ["a b  c", None]
+    assert apply(spark, ["x", None], lambda c: C.concat_text(F.lit("#"), c)) == ["#x", "#"]
+    assert apply(spark, ["x", None], lambda c: C.delimited_line([c, F.lit(1), c], "\t")) == ["x\t1\tx", "\t1\t"]
+    assert apply(spark, ["\ra\rb\r\r", "a"], C.strip_line_end) == ["a\rb", "a"]
+    long_codes = ["D" * 50, "D" * 51, "中" * 16, "中" * 17]
+    assert apply(spark, long_codes, lambda c: C.too_long(c, 50)) == [False, True, False, True]
+
+
+@pytest.mark.parametrize("delimiter", [",", "|", "\t", ".", "^", "::"])
+def test_split_line_takes_delimiters_literally(spark, delimiter):
+    line = delimiter.join(["a", "", "b", ""])
+    assert apply(spark, [line], lambda c: C.split_line(c, delimiter)) == [["a", "", "b", ""]]
