@@ -95,13 +95,13 @@ def chunk_column(chunk_rows: int) -> Column:
     """File number of a numbered row: 0 for a result that fits one file, else from 1 up."""
     if chunk_rows == 0:
         return F.lit(0).cast("long")
-    number = F.floor((F.col("rn") - 1) / F.lit(chunk_rows)) + 1
+    number = F.expr(f"(rn - 1) div {chunk_rows} + 1")
     return F.when(F.col("group_rows") <= chunk_rows, F.lit(0).cast("long")).otherwise(number)
 
 
-def part_column(chunk_rows: int) -> Column:
+def part_column(part_rows: int) -> Column:
     """File number within one converted input file, from 1 up even if there is only one."""
-    return F.floor((F.col("rn") - 1) / F.lit(chunk_rows)) + 1
+    return F.expr(f"(rn - 1) div {part_rows} + 1")
 
 
 def manifest(chunked: DataFrame, key: str, group_by: tuple[str, ...] = ()) -> DataFrame:

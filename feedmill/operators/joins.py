@@ -36,12 +36,12 @@ def repeat_per_match(
     few = joined.where(F.col("_n") <= block).select(
         *left.columns, F.explode(F.sequence(F.lit(1).cast("long"), "_n")).alias("_copy")
     )
-    last_block = F.floor((F.col("_n") - 1) / block)
+    last_block = F.expr(f"(_n - 1) div {block}")
     in_block = F.least(F.lit(block).cast("long"), F.col("_n") - F.col("_block") * block)
     many = (
         joined.where(F.col("_n") > block)
         .withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), last_block)))
-        .repartition(left_key, "_block")
+        .repartition(*left.columns, "_block")
         .select(*left.columns, F.explode(F.sequence(F.lit(1).cast("long"), in_block)).alias("_copy"))
     )
     return few.unionByName(many).drop("_copy")

@@ -115,6 +115,12 @@ def export_incremental(spark: SparkSession, feed: FeedSpec, run: ExportRun, ledg
     return rows
 
 
+def read_delivered(spark: SparkSession, feed: str, ledger: Ledger) -> DataFrame:
+    """Lines of a feed's delivered files, and where they lie; files the ledger does not know are not read."""
+    lines = spark.read.option("recursiveFileLookup", "true").text(ledger.paths(feed))
+    return lines.select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file_path"))
+
+
 def is_due(ledger: Ledger, now: datetime, interval_seconds: int) -> bool:
     """Whether the latest delivery lies at least the interval back."""
     last = ledger.last_run()

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from feedmill.operators import joins
-from feedmill.operators.chunks import chunk_column, manifest, number_rows
+from feedmill.operators.chunks import chunk_column, manifest, number_rows, part_column
+from feedmill.plans.export import read_delivered, run_catalogue
 from feedmill.registry.base import query
 from feedmill.registry.exports import CUSTOMER_FEED, ORDERS_FEED, ORDERS_SQL, export_run, new_ledger
-from feedmill.plans.export import run_catalogue
 from feedmill.sources.relational import read_table, register_tables
 from feedmill.streaming.convert import PART_ROWS
 
@@ -70,8 +70,6 @@ def chunk_assignment_nulls(spark, sf_dir):
     """
 )
 def chunk_per_file(spark, sf_dir):
-    from feedmill.operators.chunks import part_column
-
     events = read_table(spark, sf_dir, "events").select("event_type", "event_id", "ts")
     numbered = number_rows(events, ("ts", "event_id"), ("event_type",)).rows
     return numbered.select("event_type", "event_id", "rn", part_column(PART_ROWS).alias("chunk"))
@@ -115,8 +113,5 @@ def chunk_files(spark, sf_dir):
     ledger = new_ledger(spark)
     ledger.close("orders", None, 0, 0, None)
     run_catalogue(spark, [ORDERS_FEED, CUSTOMER_FEED], export_run(spark), ledger)
-    paths = ledger.paths("orders") + ledger.paths("customer")
-    return spark.read.text([f"{p}/*" for p in paths]).select(
-        F.element_at(F.split("_metadata.file_path", "/"), -2).substr(len("file_name=") + 1, 1000).alias("file_name"),
-        F.col("value").alias("line"),
-    )
+    lines = read_delivered(spark, "orders", ledger).unionByName(read_delivered(spark, "customer", ledger))
+    return lines.select(F.regexp_extract("file_path", "file_name=([^/]*)", 1).alias("file_name"), "line")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from feedmill.functions import columns as C
 from feedmill.operators import joins, keys
 from feedmill.operators.chunks import row_order
-from feedmill.plans.export import ExportRun, export_incremental, feed_line, feed_rows, run_catalogue, seed
+from feedmill.plans.export import ExportRun, export_incremental, feed_line, feed_rows, read_delivered, run_catalogue, seed
 from feedmill.registry.base import query
 from feedmill.session import fresh_dir
 from feedmill.sinks.delimited import write_ordered
@@ -249,7 +249,7 @@ def replay_idempotent(spark, sf_dir):
     for _ in range(2):
         export_incremental(spark, ORDERS_FEED, run, ledger)
     deliveries = ledger.done().where("path IS NOT NULL").count()
-    lines = spark.read.text(ledger.paths("orders")).select(F.col("value").alias("line"))
+    lines = read_delivered(spark, "orders", ledger).select("line")
     return lines.withColumn("deliveries", F.lit(deliveries).cast("long"))
 
 
