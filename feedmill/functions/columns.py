@@ -27,12 +27,14 @@ def is_number(text: Column) -> Column:
     return F.coalesce(text.rlike(NUMBER_PATTERN), F.lit(False))
 
 
-def decimal_six(text: Column) -> Column:
+def decimal_six(text: Column, strict: bool = False) -> Column:
     """Number text with up to three integer digits and six decimals, rounded half away from zero.
 
-    NULL when the value is missing, unreadable or too wide; see :func:`decimal_six_bad`.
+    NULL when the value is missing. An unreadable or too wide one is NULL as well, see
+    :func:`decimal_six_bad`; ``strict`` makes it fail the job.
     """
-    return F.nullif(F.trim(text), F.lit("")).try_cast("decimal(9,6)").cast("string")
+    number = F.nullif(F.trim(text), F.lit(""))
+    return (number.cast if strict else number.try_cast)("decimal(9,6)").cast("string")
 
 
 def decimal_six_bad(text: Column) -> Column:

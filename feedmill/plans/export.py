@@ -30,6 +30,7 @@ class ExportRun:
     backup_dir: str | None = None
     by_day: bool = False
     keep_keys: bool = False
+    interval_seconds: int = 0
 
 
 def feed_rows(spark: SparkSession, feed: FeedSpec, start: int | None = None, end: int | None = None) -> DataFrame:
@@ -99,17 +100,22 @@ def export_full(spark: SparkSession, feed: FeedSpec, run: ExportRun, ledger: Led
 def export_incremental(spark: SparkSession, feed: FeedSpec, run: ExportRun, ledger: Ledger) -> int | None:
     """Export keys above the mark up to the table's highest; None when there are no new keys.
 
-    The mark moves only after the write, and also when no row of the range qualifies.
+    The mark moves only after the write, and also when no row of the range qualifies. A feed
+    without a mark is seeded instead.
     """
     start = ledger.mark(feed.name)
+    if start is None:
+        seed(spark, [feed], ledger)
+        return None
     top = max_key(spark.table(feed.table), feed.key)
-    if start is None or top is None or top <= start:
+    if top is None or top <= start:
         return None
     end = ledger.open_range(feed.name, start, top)
     sub_dir = f"feed={feed.name}/start={start}/end={end}"
-    rows, path = deliver(feed, feed_rows(spark, feed, start, end), run, sub_dir)
+    rows, path = deliver(feed, feed_rows(spark, feed, start - feed.overlap, end), run, sub_dir)
     if run.keep_keys:
-        keys = spark.table(feed.table).select(feed.key).where(key_range(F.col(feed.key), start, end))
+        exported = key_range(F.col(feed.key), start - feed.overlap, end)
+        keys = spark.table(feed.table).select(feed.key).where(exported)
         keys.write.mode("overwrite").parquet(f"{run.out_dir}/_keys/{sub_dir}")
     ledger.close(feed.name, start, end, rows, path)
     return rows
@@ -128,7 +134,16 @@ def is_due(ledger: Ledger, now: datetime, interval_seconds: int) -> bool:
 
 
 def run_catalogue(spark: SparkSession, feeds: list[FeedSpec], run: ExportRun, ledger: Ledger) -> dict[str, int]:
-    """Run the enabled feeds in order; rows per feed that exported."""
+    """Run the enabled feeds in order; rows per feed that exported.
+
+    The first run ever seeds the keyed feeds and exports nothing. A run that comes before the
+    interval since the latest delivery has passed does nothing.
+    """
+    if ledger.last_run() is None:
+        seed(spark, feeds, ledger)
+        return {}
+    if not is_due(ledger, run.now, run.interval_seconds):
+        return {}
     delivered = {}
     for feed in feeds:
         if not feed.enabled:

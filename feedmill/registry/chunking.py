@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from feedmill.operators import joins
 from feedmill.operators.chunks import chunk_column, manifest, number_rows, part_column
+from feedmill.plans.convert import PART_ROWS
 from feedmill.plans.export import read_delivered, run_catalogue
 from feedmill.registry.base import query
 from feedmill.registry.exports import CUSTOMER_FEED, ORDERS_FEED, ORDERS_SQL, export_run, new_ledger
 from feedmill.sources.relational import read_table, register_tables
-from feedmill.streaming.convert import PART_ROWS
 
 
 def numbered_sql(columns: str, source: str, order: str, chunk_rows: int = PART_ROWS) -> str:

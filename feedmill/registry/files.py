@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from feedmill.operators.layouts import WIDE_INPUT, wide_layout
+from feedmill.plans.convert import PART_ROWS, LineFeed, read_rejects, run_line_feeds
 from feedmill.registry.base import query
 from feedmill.registry.lines import EVENT_LINES_SQL, JUDGED_SQL, WIDE_SQL, event_lines
 from feedmill.session import fresh_dir
 from feedmill.sinks.ledger import SeenFiles
 from feedmill.sources.line_files import list_files, read_lines, read_unseen
 from feedmill.sources.relational import read_table
-from feedmill.streaming.convert import PART_ROWS, convert_stream, convert_stream_parts, stream_lines
+from feedmill.streaming.convert import convert_stream, convert_stream_parts, stream_lines
 
 CUTOFF = "2024-01-16 00:00:00"
 # Spark names its files part-..., so that is the prefix of the feed.
@@ -91,3 +92,19 @@ def stream_file_parts(spark, sf_dir):
     lines = spark.read.text(f"{out}/batch=*").select("file_name", F.col("value").alias("line"))
     sizes = lines.groupBy("file_name").agg((F.count(F.lit(1)) <= PART_ROWS).alias("fits"))
     return lines.join(sizes, "file_name").select("line", "fits")
+
+
+@query(f"SELECT out AS line, CAST(NULL AS VARCHAR) AS reason FROM ({WIDE_SQL}) UNION ALL SELECT rtrim(line, chr(13)), reason FROM ({JUDGED_SQL}) WHERE reason IS NOT NULL")
+def convert_line_feeds(spark, sf_dir):
+    """Two passes over a folder that grows in between, and a feed that is switched off."""
+    folder, out, bad = (fresh_dir(spark, d) for d in ("drop", "batches", "rejects"))
+    seen = SeenFiles(spark, fresh_dir(spark, "seen"))
+    feeds = [
+        LineFeed("events", folder, PREFIX, WIDE_INPUT, wide_layout),
+        LineFeed("off", folder, PREFIX, WIDE_INPUT, wide_layout, enabled=False),
+    ]
+    for condition in (f"ts < '{CUTOFF}'", f"ts >= '{CUTOFF}'"):
+        drop_lines(_lines(spark, sf_dir, condition), folder)
+        run_line_feeds(spark, feeds, out, bad, seen)
+    good = spark.read.text(out).select(F.col("value").alias("line"), F.lit(None).cast("string").alias("reason"))
+    return good.unionByName(read_rejects(spark, bad).select("line", "reason"))

@@ -33,11 +33,14 @@ def chunk_name(name: str, chunk: Column) -> Column:
     return F.concat(F.lit(stem), suffix, F.lit(dot + extension))
 
 
-def write_chunks(rows: DataFrame, line: Column, file_name: Column, path: str, compression: str = "none") -> None:
+def write_chunks(
+    rows: DataFrame, line: Column, file_name: Column, path: str, compression: str = "none", add: bool = False
+) -> None:
     """Write numbered rows as one text file per file name, in ``rn`` order.
 
     Each file name is a folder holding one part file. All rows of a name meet in one task, so
-    names should stand for chunks of bounded size.
+    names should stand for chunks of bounded size. The path is replaced; with ``add`` only the
+    file names written are.
     """
     (
         rows.select(file_name.alias("file_name"), "rn", line.alias("line"))
@@ -46,6 +49,7 @@ def write_chunks(rows: DataFrame, line: Column, file_name: Column, path: str, co
         .select("file_name", "line")
         .write.mode("overwrite")
         .partitionBy("file_name")
+        .option("partitionOverwriteMode", "dynamic" if add else "static")
         .option("compression", compression)
         .text(path)
     )

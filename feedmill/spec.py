@@ -13,7 +13,8 @@ class FeedSpec:
     incremental over that key; one without is exported in full each run. ``order_by`` names
     result columns and should end in a unique one, so that row numbers are repeatable.
     ``columns`` are the rendered columns by position (a name may occur twice); by default all.
-    ``chunk_rows`` of None takes the run's default, and 0 means unsplit.
+    ``chunk_rows`` of None takes the run's default, and 0 means unsplit. ``overlap`` starts each
+    range that many keys below the mark, to pick up keys committed late, at the price of repeats.
     """
 
     name: str
@@ -25,6 +26,7 @@ class FeedSpec:
     chunk_rows: int | None = None
     enabled: bool = True
     file_name: str = "FEED-[DT].dat"
+    overlap: int = 0
 
     @property
     def incremental(self) -> bool:

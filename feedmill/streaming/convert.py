@@ -6,16 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from feedmill.operators.chunks import number_staged, part_column
 from feedmill.operators.layouts import Layout
-from feedmill.operators.validate import judge_lines
-from feedmill.session import fresh_dir
-from feedmill.sinks.delimited import chunk_suffix, write_chunks
+from feedmill.plans.convert import PART_ROWS, convert_batch, convert_lines
 from feedmill.sources.line_files import LOG_GLOB, name_matches
 from feedmill.spec import LineFormat
 
-# Lines per converted file, seconds between polls.
-PART_ROWS = 5000
+# Fixed value: time between polls.
 PERIOD = "60 seconds"
 
 
@@ -50,15 +46,6 @@ def _trigger(once: bool) -> dict:
     return {"availableNow": True} if once else {"processingTime": PERIOD}
 
 
-def convert_lines(lines: DataFrame, fmt: LineFormat, layout: Layout, codes: str = "") -> DataFrame:
-    """Each line with its ``reason``; accepted ones are replaced by their output line."""
-    judged = judge_lines(lines, fmt, codes).transform(layout)
-    # Picked by index, since Spark would not share repeated parts of ``out`` inside a branch.
-    line = F.get(F.array("out", "line"), F.when(F.col("reason").isNull(), 0).otherwise(1))
-    others = [c for c in lines.columns if c != "line"]
-    return judged.select(*others, line.alias("line"), "reason")
-
-
 def convert_stream(
     lines: DataFrame, fmt: LineFormat, layout: Layout, out_dir: str, checkpoint: str, codes: str = "", once: bool = False
 ) -> StreamingQuery:
@@ -78,35 +65,6 @@ def convert_stream(
     )
 
 
-def convert_batch(
-    lines: DataFrame, fmt: LineFormat, layout: Layout, out_dir: str, reject_dir: str, codes: str = "",
-    part_rows: int = PART_ROWS,
-) -> None:
-    """Convert a batch of lines into files of ``part_rows`` accepted lines per input file.
-
-    The input is read once. The scan already has the lines in file order, so they are staged as
-    they come, accepted ones first within each task, and numbered without a shuffle.
-    """
-    spark = lines.sparkSession
-    stage = fresh_dir(spark, "converted")
-    placed = (
-        convert_lines(lines, fmt, layout, codes)
-        .withColumn("rejected", F.col("reason").isNotNull())
-        .sortWithinPartitions("rejected", "scan_pos")
-        .withColumn("_pos", F.monotonically_increasing_id())
-    )
-    placed.write.partitionBy("rejected").parquet(f"{stage}/rows")
-    staged = spark.read.schema(placed.schema).parquet(f"{stage}/rows")
-
-    good = staged.where("NOT rejected")
-    numbered = number_staged(good, stage, ["file_name", "line"], ("file_name",), ("block_start",))
-    name = F.concat("file_name", chunk_suffix(part_column(part_rows)), F.lit(".dat"))
-    write_chunks(numbered.rows, F.col("line"), name, out_dir)
-    bad = staged.where("rejected").select("file_name", "line", "reason")
-    bad.write.mode("overwrite").parquet(reject_dir)
-    numbered.release()
-
-
 def convert_stream_parts(
     lines: DataFrame, fmt: LineFormat, layout: Layout, out_dir: str, reject_dir: str, checkpoint: str,
     codes: str = "", part_rows: int = PART_ROWS, once: bool = False,

@@ -23,6 +23,13 @@ def test_decimal_six(spark):
     assert apply(spark, values, C.decimal_six_bad) == bad
 
 
+def test_decimal_six_strict(spark):
+    assert apply(spark, ["1.5", ""], lambda c: C.decimal_six(c, strict=True)) == ["1.500000", None]
+    for bad in ("abc", "1000"):
+        with pytest.raises(Exception, match="CAST_INVALID_INPUT|NUMERIC_VALUE_OUT_OF_RANGE"):
+            apply(spark, [bad], lambda c: C.decimal_six(c, strict=True))
+
+
 FLOAT_TEXTS = [
     "0", "-0", "1", "-1.25", "113.1234565", "0.0000005", "-0.0000005", "0.0000015", "0.0078125", "-0.0234375",
     "22.5431235", "1e3", "1.5E-7", "+3.", ".5", " 7.25 ", "123456789.1234565", "-0.00000049", "3999999999.9999995",

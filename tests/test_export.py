@@ -136,6 +136,8 @@ def test_seeding(spark, ledger, run):
     assert {r.feed: r.end_key for r in ledger.done().collect()} == {"facts": 7, "off": 7}
     assert export_incremental(spark, FEED, run, ledger) is None
     assert export_incremental(spark, empty, run, ledger) is None
+    late = FeedSpec(**{**FEED.__dict__, "name": "late"})
+    assert export_incremental(spark, late, run, ledger) is None and ledger.mark("late") == 7
 
 
 @pytest.mark.parametrize("per_file", [0, 4, 100])
@@ -190,13 +192,28 @@ def test_days_backup_and_compression(spark, ledger, tmp_path):
 
 def test_catalogue(spark, ledger, run):
     facts(spark, 6)
-    ledger.close("facts", None, 0, 0, None)
     off = FeedSpec(**{**FEED.__dict__, "name": "off", "enabled": False})
     full = FeedSpec(name="full", sql="SELECT pk FROM facts", order_by=("pk",), file_name="F.dat")
-    assert run_catalogue(spark, [FEED, off, full], run, ledger) == {"facts": 6, "full": 6}
+    feeds = [FEED, off, full]
+    # The first run only seeds, also the feed that is off.
+    assert run_catalogue(spark, feeds, run, ledger) == {}
+    assert ledger.mark("facts") == ledger.mark("off") == 6 and files(run.out_dir) == {}
+    facts(spark, 10)
+    assert run_catalogue(spark, feeds, run, ledger) == {"facts": 4, "full": 10}
+    assert ledger.mark("off") == 6
+    soon = ExportRun(out_dir=run.out_dir, now=datetime.now(timezone.utc), interval_seconds=3600)
+    assert run_catalogue(spark, feeds, soon, ledger) == {}
     assert FEED.rows_per_file(2000) == 10 and full.rows_per_file(2000) == 2000
 
 
+def test_overlap(spark, ledger, run):
+    facts(spark, 10)
+    ledger.close("facts", None, 8, 0, None)
+    feed = FeedSpec(**{**FEED.__dict__, "overlap": 3})
+    assert export_incremental(spark, feed, run, ledger) == 5
+    assert list(files(run.out_dir).values()) == [lines(range(10, 5, -1))]
+
+
 def test_interval(spark, ledger):
     assert is_due(ledger, datetime.now(timezone.utc), 10)
     ledger.close("facts", None, 1, 0, None)

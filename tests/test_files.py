@@ -6,7 +6,8 @@ from feedmill.session import fresh_dir
 from feedmill.sinks.ledger import SeenFiles
 from feedmill.sources.line_files import list_files, read_lines, read_unseen
 from feedmill.sources.relational import jdbc_options
-from feedmill.streaming.convert import convert_batch, convert_stream, convert_stream_parts, stream_lines
+from feedmill.plans.convert import LineFeed, convert_batch, convert_new_files, read_rejects, run_line_feeds
+from feedmill.streaming.convert import convert_stream, convert_stream_parts, stream_lines
 from test_export import files
 from test_validate import line
 
@@ -86,7 +87,7 @@ def test_each_accepted_line_once_in_order(spark, tmp_path):
         "FEED_1.log_0001.dat": [narrow(i) for i in range(5001) if i != 2500],
         "FEED_2.log_0001.dat": [narrow(i) for i in range(90000, 90012)],
     }
-    assert [(r.file_name, r.line, r.reason) for r in spark.read.parquet(bad).collect()] == [("FEED_1.log", "broken", "arity")]
+    assert [(r.file_name, r.line, r.reason) for r in read_rejects(spark, bad).collect()] == [("FEED_1.log", "broken", "arity")]
 
 
 def test_part_sizes_over_splits(spark, tmp_path):
@@ -100,14 +101,14 @@ def test_part_sizes_over_splits(spark, tmp_path):
     got = files(out)
     assert [len(got[f"FEED_1.log_{i:04d}.dat"]) for i in (1, 2, 3, 4)] == [300, 300, 300, 100]
     assert [x for _, part in sorted(got.items()) for x in part] == [narrow(i) for i in range(1000)]
-    assert spark.read.parquet(bad).count() == 0
+    assert read_rejects(spark, bad).count() == 0
 
 
 def test_a_batch_without_accepted_lines(spark, tmp_path):
     folder, out, bad = (str(tmp_path / d) for d in ("in", "out", "bad"))
     drop(folder, "FEED_1.log", ["x", "y"])
     convert_batch(read_lines(spark, folder, "FEED"), NARROW_INPUT, narrow_layout, out, bad)
-    assert files(out) == {} and spark.read.parquet(bad).count() == 2
+    assert files(out) == {} and read_rejects(spark, bad).count() == 2
 
 
 def run_stream(spark, folder, out, checkpoint, archive=None):
@@ -155,7 +156,7 @@ def test_stream_parts_and_replayed_batch(spark, tmp_path):
     got = files(out)
     assert sorted(map(len, got.values())) == [5, 10, 10]
     assert [x for _, part in sorted(got.items()) for x in part] == [narrow(i) for i in range(25)]
-    assert [r.reason for r in spark.read.parquet(f"{bad}/batch=0").collect()] == ["arity"]
+    assert [r.reason for r in read_rejects(spark, bad).collect()] == ["arity"]
     # The commit of the batch is lost: it runs again and replaces its own files.
     os.remove(f"{checkpoint}/commits/0")
     if os.path.exists(f"{checkpoint}/commits/.0.crc"):
@@ -179,3 +180,26 @@ def test_jdbc_options():
     }
     got = jdbc_options("jdbc:x", "facts", "pk", (1, 900), 8)
     assert (got["partitionColumn"], got["lowerBound"], got["upperBound"], got["numPartitions"]) == ("pk", "1", "900", "8")
+
+
+def test_line_feeds(spark, tmp_path):
+    folder, out, bad = (str(tmp_path / d) for d in ("in", "out", "bad"))
+    seen = SeenFiles(spark, str(tmp_path / "seen"))
+    on = LineFeed("beats", folder, "FEED", NARROW_INPUT, narrow_layout, part_rows=4)
+    off = LineFeed("off", folder, "FEED", NARROW_INPUT, narrow_layout, enabled=False)
+    drop(folder, "FEED_1.log", beats(5) + ["broken"])
+    assert run_line_feeds(spark, [on, off], out, bad, seen) == ["beats"]
+    assert run_line_feeds(spark, [on, off], out, bad, seen) == []
+    drop(folder, "FEED_2.log", beats(2, 100))
+    assert run_line_feeds(spark, [on, off], out, bad, seen) == ["beats"]
+    want = {
+        "FEED_1.log_0001.dat": [narrow(i) for i in range(4)],
+        "FEED_1.log_0002.dat": [narrow(4)],
+        "FEED_2.log_0001.dat": [narrow(100), narrow(101)],
+    }
+    assert files(out) == want
+    assert [r.reason for r in read_rejects(spark, bad).collect()] == ["arity"]
+    # The names are lost after the write: the same files are converted into the same outputs.
+    forgetful = SeenFiles(spark, str(tmp_path / "other"))
+    assert convert_new_files(spark, on, out, bad, forgetful).count() == 2
+    assert files(out) == want and read_rejects(spark, bad).count() == 1
