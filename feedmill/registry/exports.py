@@ -133,13 +133,10 @@ def left_join_multiplicity(spark, sf_dir):
     return joins.repeat_per_match(part, read_table(spark, sf_dir, "lineitem"), "p_partkey", "l_partkey")
 
 
-@query("SELECT event_id, ts, event_type FROM events ORDER BY ts, event_id")
+@query("SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS event_time, event_type FROM events ORDER BY ts, event_id")
 def sorted_export(spark, sf_dir):
-    return (
-        read_table(spark, sf_dir, "events")
-        .select("event_id", "ts", "event_type")
-        .orderBy(*row_order(["ts", "event_id"]))
-    )
+    events = read_table(spark, sf_dir, "events").orderBy(*row_order(["ts", "event_id"]))
+    return events.select("event_id", C.time_text(F.col("ts")).alias("event_time"), "event_type")
 
 
 @query(

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import functions as F
 
+from feedmill.operators import checks
 from feedmill.operators.layouts import WIDE_INPUT, wide_layout
 from feedmill.plans.convert import PART_ROWS, LineFeed, read_rejects, run_line_feeds
 from feedmill.registry.base import query
@@ -108,3 +111,16 @@ def convert_line_feeds(spark, sf_dir):
         run_line_feeds(spark, feeds, out, bad, seen)
     good = spark.read.text(out).select(F.col("value").alias("line"), F.lit(None).cast("string").alias("reason"))
     return good.unionByName(read_rejects(spark, bad).select("line", "reason"))
+
+
+@query("SELECT '*.log' AS pattern, count(*) > 0 AS ok FROM events UNION ALL SELECT '*.dat', false")
+def file_freshness(spark, sf_dir):
+    """Files written just now into today's folder are fresh; none of the other pattern is there."""
+    root, today = fresh_dir(spark, "daily"), datetime.now(timezone.utc)
+    drop_lines(_lines(spark, sf_dir), f"{root}/{today:%Y%m%d}")
+
+    def check(pattern):
+        found = checks.file_freshness(spark, root, "%Y%m%d", pattern, today.replace(tzinfo=None), 5)
+        return found.select(F.lit(pattern).alias("pattern"), "ok")
+
+    return check("*.log").unionByName(check("*.dat"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from feedmill.functions.columns import time_text
 from feedmill.operators.keys import key_range, late_keys, max_key
 from feedmill.plans.export import export_incremental
 from feedmill.plans.sync import read_synced, sync_full, sync_incremental
@@ -31,7 +34,7 @@ def late_key_audit(spark, sf_dir):
     return late_keys(orders, exported, "o_orderkey", ledger.mark("visible_orders"), after=0)
 
 
-@query("SELECT * FROM orders")
+@query("SELECT * REPLACE (strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate) FROM orders")
 def table_sync_incremental(spark, sf_dir):
     """The table arrives in two halves; a third run finds nothing new."""
     orders = read_table(spark, sf_dir, "orders")
@@ -39,7 +42,8 @@ def table_sync_incremental(spark, sf_dir):
     half = max_key(orders, "o_orderkey") // 2
     for source in (orders.where(key_range(orders.o_orderkey, None, half)), orders, orders):
         sync_incremental(source, "orders", "o_orderkey", target, ledger)
-    return read_synced(spark, "orders", ledger)
+    copied = read_synced(spark, "orders", ledger)
+    return copied.withColumn("o_orderdate", time_text(F.col("o_orderdate")))
 
 
 @query("SELECT * FROM customer")
