@@ -8,32 +8,54 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from feedmill.session import drop_dir
+
 LEDGER_SCHEMA = (
     "feed string, start_key long, end_key long, rows long, path string, state string, committed_at timestamp"
 )
 SEEN_SCHEMA = "feed string, file_name string, seen_at timestamp"
 
 
-def read_or_empty(spark: SparkSession, schema: str, path: str) -> DataFrame:
-    """The table at the path, or no rows before its first append."""
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException as missing:
-        if missing.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], schema)
+class AppendOnly:
+    """A table that grows by small files, one per append."""
+
+    schema: str
 
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark = spark
+        self.path = path
 
-class Ledger:
+    def read(self) -> DataFrame:
+        """The table, or no rows before its first append."""
+        try:
+            return self.spark.read.schema(self.schema).parquet(self.path)
+        except AnalysisException as missing:
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], self.schema)
+
+    def compact(self) -> None:
+        """Merge the files read now into one and drop them.
+
+        A crash in between leaves rows twice, which readers tell by their equal times and ignore.
+        """
+        if self.read().isEmpty():
+            return
+        rows = self.read()
+        merged = [r.file_path for r in rows.select("_metadata.file_path").distinct().collect()]
+        rows.distinct().coalesce(1).write.mode("append").parquet(self.path)
+        for file_path in merged:
+            drop_dir(self.spark, file_path)
+
+
+class Ledger(AppendOnly):
     """Ranges of each feed: ``open`` when an export has fixed its bounds, ``done`` once delivered.
 
     An open range that was never done is a crashed export: the next run repeats the same bounds,
     writes to the same path and so replaces whatever the crash left there. One writer per feed.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark = spark
-        self.path = path
+    schema = LEDGER_SCHEMA
 
     def _append(self, feed, start, end, rows, path, state) -> None:
         self.spark.sql(
@@ -46,7 +68,7 @@ class Ledger:
         ).write.mode("append").parquet(self.path)
 
     def entries(self) -> DataFrame:
-        return read_or_empty(self.spark, LEDGER_SCHEMA, self.path)
+        return self.read().distinct()
 
     def done(self) -> DataFrame:
         return self.entries().where("state = 'done'")
@@ -87,18 +109,14 @@ class Ledger:
         return None if micros is None else datetime.fromtimestamp(micros / 1e6, timezone.utc)
 
 
-class SeenFiles:
+class SeenFiles(AppendOnly):
     """Names of input files already processed."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark = spark
-        self.path = path
+    schema = SEEN_SCHEMA
 
     def names(self, feed: str) -> DataFrame:
-        seen = read_or_empty(self.spark, SEEN_SCHEMA, self.path)
-        return seen.where(F.col("feed") == feed).select("file_name")
+        return self.read().where(F.col("feed") == feed).select("file_name")
 
     def add(self, feed: str, files: DataFrame) -> None:
-        files.select(
-            F.lit(feed).alias("feed"), "file_name", F.current_timestamp().alias("seen_at")
-        ).write.mode("append").parquet(self.path)
+        names = files.select(F.lit(feed).alias("feed"), "file_name", F.current_timestamp().alias("seen_at"))
+        names.repartition(1).write.mode("append").parquet(self.path)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,8 +63,9 @@ def read_unseen(spark: SparkSession, folder: str, prefix: str, seen: DataFrame)
     The paths pass through the driver, which lists the folder for any Spark read anyway.
     """
     fresh = unseen_files(list_files(spark, folder, prefix), seen).select("path", "file_name")
-    found = [tuple(row) for row in fresh.toLocalIterator()]
+    found = [tuple(row) for row in fresh.collect()]
     if not found:
         return None
-    lines = read_lines(spark, [path for path, _ in found], prefix)
+    # Paths are read as patterns, so characters that mean something there are escaped.
+    lines = read_lines(spark, [re.sub(r"([\[\]{}*?\\])", r"\\\1", path) for path, _ in found], prefix)
     return lines, spark.createDataFrame(found, fresh.schema)

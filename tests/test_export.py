@@ -223,6 +223,20 @@ def test_interval(spark, ledger):
     assert is_due(ledger, now + timedelta(days=2, seconds=1), 3600)
 
 
+def test_compact_ledger(spark, ledger, monkeypatch):
+    for k in range(1, 5):
+        ledger.close("facts", k - 1, k, 1, f"p{k}")
+    before = sorted(ledger.entries().collect())
+    with monkeypatch.context() as crash:
+        crash.setattr("feedmill.sinks.ledger.drop_dir", lambda *a: None)
+        ledger.compact()
+    # Both the merged and the single entries are there, and each still counts once.
+    assert sorted(ledger.entries().collect()) == before
+    ledger.compact()
+    assert sorted(ledger.entries().collect()) == before and ledger.mark("facts") == 4
+    assert len([n for n in os.listdir(ledger.path) if n.startswith("part-")]) == 1
+
+
 def test_bounds_are_parameters(spark):
     facts(spark, 10)
     assert [r.pk for r in feed_rows(spark, FEED, 3, 5).orderBy("pk").collect()] == [4, 5]

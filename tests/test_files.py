@@ -60,6 +60,27 @@ def test_seen_names_are_dropped(spark, tmp_path):
     assert lines.count() == 2
 
 
+def test_odd_file_names(spark, tmp_path):
+    folder, seen = str(tmp_path / "in"), SeenFiles(spark, str(tmp_path / "seen"))
+    names = ["FEED [1].log", "FEED{a,b}.log", "FEED%20x.log"]
+    for name in names:
+        drop(folder, name, [name])
+    lines, found = read_unseen(spark, folder, "FEED", seen.names("f"))
+    assert sorted(r.line for r in lines.collect()) == sorted(names)
+    seen.add("f", found)
+    assert read_unseen(spark, folder, "FEED", seen.names("f")) is None
+
+
+def test_compact_seen_files(spark, tmp_path):
+    seen = SeenFiles(spark, str(tmp_path / "seen"))
+    seen.compact()
+    for name in "abc":
+        seen.add("f", spark.createDataFrame([(name,)], "file_name string"))
+    seen.compact()
+    assert sorted(r.file_name for r in seen.names("f").collect()) == ["a", "b", "c"]
+    assert len([n for n in os.listdir(tmp_path / "seen") if n.startswith("part-")]) == 1
+
+
 def beats(n, start=0):
     return [",".join(["x", "y", "z", f"DEV{i:05d}"] + [""] * 16) for i in range(start, start + n)]
 
