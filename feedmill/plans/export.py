@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from feedmill.functions.columns import delimited_line, scrub
 from feedmill.operators.chunks import chunk_column, number_rows
-from feedmill.operators.keys import key_range, max_key
+from feedmill.operators.keys import key_range, late_keys, max_key
 from feedmill.session import drop_dir
 from feedmill.sinks.delimited import chunk_name, stamp_name, write_chunks, write_ordered
 from feedmill.sinks.ledger import Ledger
@@ -61,11 +61,10 @@ def seed(spark: SparkSession, feeds: list[FeedSpec], ledger: Ledger) -> None:
                 ledger.close(feed.name, None, top, 0, None)
 
 
-def deliver(feed: FeedSpec, df: DataFrame, run: ExportRun, sub_dir: str) -> tuple[int, str | None]:
+def deliver(feed: FeedSpec, df: DataFrame, run: ExportRun, sub_dir: str, day: str) -> tuple[int, str | None]:
     """Write a feed's rows under ``sub_dir``; no rows write nothing. Returns rows and path."""
     line = feed_line(feed, df, run)
     per_file = feed.rows_per_file(run.chunk_rows)
-    day = run.now.strftime("%Y%m%d")
     targets = [f"{run.out_dir}/{day}/{sub_dir}" if run.by_day else f"{run.out_dir}/{sub_dir}"]
     if run.backup_dir:
         targets.append(f"{run.backup_dir}/{day}/{sub_dir}")
@@ -89,10 +88,14 @@ def deliver(feed: FeedSpec, df: DataFrame, run: ExportRun, sub_dir: str) -> tupl
     return total, targets[0] if total else None
 
 
+def day_of(run: ExportRun) -> str:
+    return run.now.strftime("%Y%m%d")
+
+
 def export_full(spark: SparkSession, feed: FeedSpec, run: ExportRun, ledger: Ledger) -> int:
     """Export a feed without a key."""
     sub_dir = f"feed={feed.name}/run={run.now.strftime('%Y%m%d%H%M%S')}"
-    rows, path = deliver(feed, feed_rows(spark, feed), run, sub_dir)
+    rows, path = deliver(feed, feed_rows(spark, feed), run, sub_dir, day_of(run))
     ledger.close(feed.name, None, None, rows, path)
     return rows
 
@@ -110,9 +113,9 @@ def export_incremental(spark: SparkSession, feed: FeedSpec, run: ExportRun, ledg
     top = max_key(spark.table(feed.table), feed.key)
     if top is None or top <= start:
         return None
-    end = ledger.open_range(feed.name, start, top)
+    end, day = ledger.open_range(feed.name, start, top, day_of(run))
     sub_dir = f"feed={feed.name}/start={start}/end={end}"
-    rows, path = deliver(feed, feed_rows(spark, feed, start - feed.overlap, end), run, sub_dir)
+    rows, path = deliver(feed, feed_rows(spark, feed, start - feed.overlap, end), run, sub_dir, day)
     if run.keep_keys:
         exported = key_range(F.col(feed.key), start - feed.overlap, end)
         keys = spark.table(feed.table).select(feed.key).where(exported)
@@ -121,6 +124,22 @@ def export_incremental(spark: SparkSession, feed: FeedSpec, run: ExportRun, ledg
     return rows
 
 
+def audit_late_keys(spark: SparkSession, feed: FeedSpec, run: ExportRun, ledger: Ledger, after: int | None = None) -> DataFrame:
+    """Keys of the feed's table that lie within delivered ranges but were not there when these
+    were exported with ``keep_keys``. ``after`` leaves out ranges up to that key, else all are read."""
+    ranges = ledger.done().where((F.col("feed") == feed.name) & F.col("start_key").isNotNull())
+    if after is not None:
+        ranges = ranges.where(F.col("end_key") > after)
+    bounds = sorted((r.start_key, r.end_key) for r in ranges.select("start_key", "end_key").distinct().collect())
+    source = spark.table(feed.table)
+    if not bounds:
+        return source.select(feed.key).limit(0)
+    paths = [f"{run.out_dir}/_keys/feed={feed.name}/start={start}/end={end}" for start, end in bounds]
+    exported = spark.read.schema(source.select(feed.key).schema).parquet(*paths)
+    lowest = bounds[0][0] if after is None else max(after, bounds[0][0])
+    return late_keys(source, exported, feed.key, bounds[-1][1], lowest)
+
+
 def read_delivered(spark: SparkSession, feed: str, ledger: Ledger) -> DataFrame:
     """Lines of a feed's delivered files, and where they lie; files the ledger does not know are not read."""
     lines = spark.read.option("recursiveFileLookup", "true").text(ledger.paths(feed))

@@ -18,7 +18,7 @@ def sync_incremental(source: DataFrame, name: str, key: str, target_dir: str, le
     top = max_key(source, key)
     if top is None or (start is not None and top <= start):
         return None
-    end = ledger.open_range(name, start, top)
+    end, _ = ledger.open_range(name, start, top)
     path = f"{target_dir}/start={'none' if start is None else start}/end={end}"
     fresh = source.where(key_range(F.col(key), start, end))
     fresh.write.mode("overwrite").parquet(path)

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from feedmill.functions.columns import time_text
-from feedmill.operators.keys import key_range, late_keys, max_key
-from feedmill.plans.export import export_incremental
+from feedmill.operators.keys import key_range, max_key
+from feedmill.plans.export import audit_late_keys, export_incremental
 from feedmill.plans.sync import read_synced, sync_full, sync_incremental
 from feedmill.registry.base import query
 from feedmill.registry.exports import export_run, new_ledger, plain_feed
@@ -24,14 +24,13 @@ from feedmill.sources.relational import read_table
 def late_key_audit(spark, sf_dir):
     """Pending orders become visible only after the rest was exported."""
     orders = read_table(spark, sf_dir, "orders")
-    orders.where("o_orderstatus <> 'P'").createOrReplaceTempView("visible_orders")
-    ledger = new_ledger(spark)
-    ledger.close("visible_orders", None, 0, 0, None)
-    run = export_run(spark, keep_keys=True)
-    feed = plain_feed("visible_orders", "o_orderkey", "o_orderdate", chunk_rows=5000)
+    orders.where("o_orderstatus <> 'P'").createOrReplaceTempView("arriving_orders")
+    feed = plain_feed("arriving_orders", "o_orderkey", "o_orderdate", chunk_rows=5000)
+    ledger, run = new_ledger(spark), export_run(spark, keep_keys=True)
+    ledger.close(feed.name, None, 0, 0, None)
     export_incremental(spark, feed, run, ledger)
-    exported = spark.read.parquet(f"{run.out_dir}/_keys/feed=visible_orders")
-    return late_keys(orders, exported, "o_orderkey", ledger.mark("visible_orders"), after=0)
+    orders.createOrReplaceTempView("arriving_orders")
+    return audit_late_keys(spark, feed, run, ledger)
 
 
 @query("SELECT * REPLACE (strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate) FROM orders")

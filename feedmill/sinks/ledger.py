@@ -77,16 +77,19 @@ class Ledger(AppendOnly):
         """Highest key delivered or seeded for the feed."""
         return self.done().where(F.col("feed") == feed).agg(F.max("end_key")).first()[0]
 
-    def open_range(self, feed: str, start: int | None, end: int) -> int:
-        """Fix the end of the next range; a crashed export of the same start keeps its end."""
+    def open_range(self, feed: str, start: int | None, end: int, place: str = "") -> tuple[int, str]:
+        """Fix the end of the next range and the place it is written to.
+
+        A crashed export of the same start keeps both, so that its replay replaces what it left.
+        """
         pending = self.entries().where(
             (F.col("feed") == feed) & F.col("start_key").eqNullSafe(F.lit(start)) & (F.col("state") == "open")
         )
-        fixed = pending.agg(F.min("end_key")).first()[0]
-        if fixed is not None:
-            return fixed
-        self._append(feed, start, end, None, None, "open")
-        return end
+        first = pending.orderBy("committed_at").select("end_key", "path").first()
+        if first is not None:
+            return first.end_key, first.path
+        self._append(feed, start, end, None, place, "open")
+        return end, place
 
     def close(self, feed: str, start: int | None, end: int, rows: int, path: str | None) -> None:
         """Record delivery, once per range."""

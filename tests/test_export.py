@@ -111,6 +111,42 @@ def test_crash_between_write_and_ledger(spark, ledger, run, monkeypatch):
     assert ledger.done().where("rows > 0").count() == 2
 
 
+def test_replay_on_the_next_day_goes_to_the_same_folder(spark, ledger, tmp_path, monkeypatch):
+    facts(spark, 3)
+    ledger.close("facts", None, 0, 0, None)
+    first = ExportRun(out_dir=str(tmp_path / "out"), now=NOW, by_day=True)
+    with monkeypatch.context() as crash:
+        crash.setattr(Ledger, "close", lambda *a: (_ for _ in ()).throw(RuntimeError("lost")))
+        with pytest.raises(RuntimeError):
+            export_incremental(spark, FEED, first, ledger)
+    later = ExportRun(out_dir=str(tmp_path / "out"), now=NOW + timedelta(days=1), by_day=True)
+    assert export_incremental(spark, FEED, later, ledger) == 3
+    assert os.listdir(first.out_dir) == ["20240201"]
+    assert files(first.out_dir) == {"FACTS-20240202063000.dat": lines([3, 2, 1])}
+
+
+def test_audit_of_late_keys(spark, ledger, tmp_path):
+    run = ExportRun(out_dir=str(tmp_path / "out"), now=NOW, keep_keys=True)
+    ledger.close("facts", None, 2, 0, None)
+
+    def visible(*keys):
+        facts(spark, 30)
+        spark.table("facts").where(F.col("pk").isin(*keys)).createOrReplaceTempView("facts")
+
+    def late(after=None):
+        return sorted(r.pk for r in X.audit_late_keys(spark, FEED, run, ledger, after).collect())
+
+    visible(1, 2, 5)
+    assert late() == []
+    export_incremental(spark, FEED, run, ledger)
+    visible(1, 2, 3, 5, 9)
+    export_incremental(spark, FEED, run, ledger)
+    visible(*range(1, 12))
+    # Keys up to the seeded mark and above the current one are not late.
+    assert late() == [3, 4, 6, 7, 8]
+    assert late(after=5) == [6, 7, 8] and late(after=9) == []
+
+
 def test_same_range_delivered_once(spark, ledger):
     for _ in range(2):
         ledger.close("facts", 0, 5, 5, "p")
