@@ -12,9 +12,13 @@ def key_range(key: Column, start: int | None, end: int) -> Column:
     return upper if start is None else (key > F.lit(start)) & upper
 
 
-def max_key(df: DataFrame, key: str) -> int | None:
-    """Highest key, or None for an empty table."""
-    return df.agg(F.max(key)).first()[0]
+def max_key(df: DataFrame, key: str, above: int | None = None) -> int | None:
+    """Highest key, or None if there is none (above a mark).
+
+    With a mark, files and row groups without newer keys are skipped by their statistics.
+    """
+    newer = df if above is None else df.where(F.col(key) > above)
+    return newer.agg(F.max(key)).first()[0]
 
 
 def row_count(df: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
@@ -31,6 +32,7 @@ class ExportRun:
     by_day: bool = False
     keep_keys: bool = False
     interval_seconds: int = 0
+    parallel: int = 1
 
 
 def feed_rows(spark: SparkSession, feed: FeedSpec, start: int | None = None, end: int | None = None) -> DataFrame:
@@ -70,9 +72,7 @@ def deliver(feed: FeedSpec, df: DataFrame, run: ExportRun, sub_dir: str, day: st
         targets.append(f"{run.backup_dir}/{day}/{sub_dir}")
 
     if per_file == 0:
-        for target in targets:
-            write_ordered(df, line, feed.order_by, target, run.compression)
-        total = df.sparkSession.read.schema("value string").text(targets[0]).count()
+        total = max(write_ordered(df, line, feed.order_by, target, run.compression) for target in targets)
         if not total:
             for target in targets:
                 drop_dir(df.sparkSession, target)
@@ -110,8 +110,8 @@ def export_incremental(spark: SparkSession, feed: FeedSpec, run: ExportRun, ledg
     if start is None:
         seed(spark, [feed], ledger)
         return None
-    top = max_key(spark.table(feed.table), feed.key)
-    if top is None or top <= start:
+    top = max_key(spark.table(feed.table), feed.key, above=start)
+    if top is None:
         return None
     end, day = ledger.open_range(feed.name, start, top, day_of(run))
     sub_dir = f"feed={feed.name}/start={start}/end={end}"
@@ -153,7 +153,7 @@ def is_due(ledger: Ledger, now: datetime, interval_seconds: int) -> bool:
 
 
 def run_catalogue(spark: SparkSession, feeds: list[FeedSpec], run: ExportRun, ledger: Ledger) -> dict[str, int]:
-    """Run the enabled feeds in order; rows per feed that exported.
+    """Run the enabled feeds in order, or several at a time; rows per feed that exported.
 
     The first run ever seeds the keyed feeds and exports nothing. A run that comes before the
     interval since the latest delivery has passed does nothing.
@@ -163,11 +163,10 @@ def run_catalogue(spark: SparkSession, feeds: list[FeedSpec], run: ExportRun, le
         return {}
     if not is_due(ledger, run.now, run.interval_seconds):
         return {}
-    delivered = {}
-    for feed in feeds:
-        if not feed.enabled:
-            continue
-        rows = (export_incremental if feed.incremental else export_full)(spark, feed, run, ledger)
-        if rows is not None:
-            delivered[feed.name] = rows
-    return delivered
+    def export(feed: FeedSpec) -> int | None:
+        return (export_incremental if feed.incremental else export_full)(spark, feed, run, ledger)
+
+    enabled = [feed for feed in feeds if feed.enabled]
+    with ThreadPoolExecutor(run.parallel) as pool:
+        delivered = dict(zip([feed.name for feed in enabled], pool.map(export, enabled)))
+    return {name: rows for name, rows in delivered.items() if rows is not None}

@@ -15,8 +15,8 @@ def sync_incremental(source: DataFrame, name: str, key: str, target_dir: str, le
     Each range is a folder of its own, replaced if the same range is copied again.
     """
     start = ledger.mark(name)
-    top = max_key(source, key)
-    if top is None or (start is not None and top <= start):
+    top = max_key(source, key, above=start)
+    if top is None:
         return None
     end, _ = ledger.open_range(name, start, top)
     path = f"{target_dir}/start={'none' if start is None else start}/end={end}"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from feedmill.operators.chunks import row_order
@@ -55,8 +55,10 @@ def write_chunks(
     )
 
 
-def write_ordered(df: DataFrame, line: Column, order_by: tuple[str, ...], path: str, compression: str = "none") -> None:
-    """Write an unsplit result as part files which, in name order, follow the row order."""
-    df.orderBy(*row_order(order_by)).select(line.alias("line")).write.mode("overwrite").option(
-        "compression", compression
-    ).text(path)
+def write_ordered(df: DataFrame, line: Column, order_by: tuple[str, ...], path: str, compression: str = "none") -> int:
+    """Write an unsplit result as part files which, in name order, follow the row order; its rows."""
+    written = Observation()
+    # Observed above the sort: below it, the pass that samples for the sort would count as well.
+    ordered = df.orderBy(*row_order(order_by)).observe(written, F.count(F.lit(1)).alias("rows"))
+    ordered.select(line.alias("line")).write.mode("overwrite").option("compression", compression).text(path)
+    return written.get["rows"]

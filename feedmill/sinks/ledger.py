@@ -17,7 +17,7 @@ SEEN_SCHEMA = "feed string, file_name string, seen_at timestamp"
 
 
 class AppendOnly:
-    """A table that grows by small files, one per append."""
+    """A table that grows by small files, in a folder per feed. One writer per feed."""
 
     schema: str
 
@@ -25,6 +25,9 @@ class AppendOnly:
         self.spark = spark
         self.path = path
 
+    def append(self, feed: str, rows: DataFrame) -> None:
+        rows.write.mode("append").parquet(f"{self.path}/feed={feed}")
+
     def read(self) -> DataFrame:
         """The table, or no rows before its first append."""
         try:
@@ -35,7 +38,7 @@ class AppendOnly:
             return self.spark.createDataFrame([], self.schema)
 
     def compact(self) -> None:
-        """Merge the files read now into one and drop them.
+        """Merge the files of each feed into one; to be run while no feed is.
 
         A crash in between leaves rows twice, which readers tell by their equal times and ignore.
         """
@@ -43,7 +46,8 @@ class AppendOnly:
             return
         rows = self.read()
         merged = [r.file_path for r in rows.select("_metadata.file_path").distinct().collect()]
-        rows.distinct().coalesce(1).write.mode("append").parquet(self.path)
+        for feed in [r.feed for r in rows.select("feed").distinct().collect()]:
+            self.append(feed, rows.where(F.col("feed") == feed).drop("feed").distinct().coalesce(1))
         for file_path in merged:
             drop_dir(self.spark, file_path)
 
@@ -52,20 +56,20 @@ class Ledger(AppendOnly):
     """Ranges of each feed: ``open`` when an export has fixed its bounds, ``done`` once delivered.
 
     An open range that was never done is a crashed export: the next run repeats the same bounds,
-    writes to the same path and so replaces whatever the crash left there. One writer per feed.
+    writes to the same path and so replaces whatever the crash left there.
     """
 
     schema = LEDGER_SCHEMA
 
     def _append(self, feed, start, end, rows, path, state) -> None:
-        self.spark.sql(
+        entry = self.spark.sql(
             """
-            SELECT :feed AS feed, cast(:start AS bigint) AS start_key, cast(:end AS bigint) AS end_key,
-                   cast(:rows AS bigint) AS rows, cast(:path AS string) AS path, :state AS state,
-                   current_timestamp() AS committed_at
+            SELECT cast(:start AS bigint) AS start_key, cast(:end AS bigint) AS end_key, cast(:rows AS bigint) AS rows,
+                   cast(:path AS string) AS path, :state AS state, current_timestamp() AS committed_at
             """,
-            args={"feed": feed, "start": start, "end": end, "rows": rows, "path": path, "state": state},
-        ).write.mode("append").parquet(self.path)
+            args={"start": start, "end": end, "rows": rows, "path": path, "state": state},
+        )
+        self.append(feed, entry)
 
     def entries(self) -> DataFrame:
         return self.read().distinct()
@@ -121,5 +125,4 @@ class SeenFiles(AppendOnly):
         return self.read().where(F.col("feed") == feed).select("file_name")
 
     def add(self, feed: str, files: DataFrame) -> None:
-        names = files.select(F.lit(feed).alias("feed"), "file_name", F.current_timestamp().alias("seen_at"))
-        names.repartition(1).write.mode("append").parquet(self.path)
+        self.append(feed, files.select("file_name", F.current_timestamp().alias("seen_at")).repartition(1))

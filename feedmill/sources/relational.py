@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from feedmill.operators.keys import max_key
+
 
 def jdbc_options(
     url: str,
@@ -34,6 +36,13 @@ def read_jdbc(spark: SparkSession, url: str, table: str, **options) -> DataFrame
     return spark.read.format("jdbc").options(**jdbc_options(url, table, **options)).load()
 
 
+def register_jdbc(spark: SparkSession, url: str, table: str, key: str, mark: int, **options) -> None:
+    """Make a keyed database table known by name, read in parallel ranges of its keys above the mark."""
+    top = max_key(read_jdbc(spark, url, table, **options), key, above=mark)
+    ranged = options if top is None else {**options, "key": key, "bounds": (mark, top)}
+    read_jdbc(spark, url, table, **ranged).createOrReplaceTempView(table)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -195,7 +195,7 @@ def test_unsplit_full_export_is_ordered_over_its_parts(spark, ledger, tmp_path):
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
         df = spark.range(1000).select(F.col("id"), F.lit("x").alias("v"))
-        X.write_ordered(df, F.col("id").cast("string"), ("id",), str(tmp_path / "parts"))
+        assert X.write_ordered(df, F.col("id").cast("string"), ("id",), str(tmp_path / "parts")) == 1000
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     names = sorted(n for n in os.listdir(tmp_path / "parts") if n.startswith("part-"))
@@ -242,6 +242,16 @@ def test_catalogue(spark, ledger, run):
     assert FEED.rows_per_file(2000) == 10 and full.rows_per_file(2000) == 2000
 
 
+def test_several_feeds_at_a_time(spark, ledger, tmp_path):
+    facts(spark, 20)
+    run = ExportRun(out_dir=str(tmp_path / "out"), now=NOW, parallel=3)
+    feeds = [FeedSpec(**{**FEED.__dict__, "name": f"f{i}"}) for i in range(4)]
+    for i, feed in enumerate(feeds):
+        ledger.close(feed.name, None, i, 0, None)
+    assert run_catalogue(spark, feeds, run, ledger) == {"f0": 20, "f1": 19, "f2": 18, "f3": 17}
+    assert [ledger.mark(feed.name) for feed in feeds] == [20] * 4
+
+
 def test_overlap(spark, ledger, run):
     facts(spark, 10)
     ledger.close("facts", None, 8, 0, None)
@@ -270,7 +280,7 @@ def test_compact_ledger(spark, ledger, monkeypatch):
     assert sorted(ledger.entries().collect()) == before
     ledger.compact()
     assert sorted(ledger.entries().collect()) == before and ledger.mark("facts") == 4
-    assert len([n for n in os.listdir(ledger.path) if n.startswith("part-")]) == 1
+    assert len([n for n in os.listdir(f"{ledger.path}/feed=facts") if n.startswith("part-")]) == 1
 
 
 def test_bounds_are_parameters(spark):

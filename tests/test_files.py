@@ -78,7 +78,7 @@ def test_compact_seen_files(spark, tmp_path):
         seen.add("f", spark.createDataFrame([(name,)], "file_name string"))
     seen.compact()
     assert sorted(r.file_name for r in seen.names("f").collect()) == ["a", "b", "c"]
-    assert len([n for n in os.listdir(tmp_path / "seen") if n.startswith("part-")]) == 1
+    assert len([n for n in os.listdir(tmp_path / "seen" / "feed=f") if n.startswith("part-")]) == 1
 
 
 def beats(n, start=0):
@@ -224,3 +224,20 @@ def test_line_feeds(spark, tmp_path):
     forgetful = SeenFiles(spark, str(tmp_path / "other"))
     assert convert_new_files(spark, on, out, bad, forgetful).count() == 2
     assert files(out) == want and read_rejects(spark, bad).count() == 1
+
+
+def test_register_jdbc_bounds_the_new_keys(spark, monkeypatch):
+    from feedmill.sources import relational
+
+    calls = []
+
+    def read(spark, url, table, **options):
+        calls.append(options)
+        return spark.range(1, 11).withColumnRenamed("id", "pk")
+
+    monkeypatch.setattr(relational, "read_jdbc", read)
+    relational.register_jdbc(spark, "jdbc:x", "db_facts", "pk", 4, num_partitions=8)
+    assert calls[-1] == {"num_partitions": 8, "key": "pk", "bounds": (4, 10)}
+    assert spark.table("db_facts").count() == 10
+    relational.register_jdbc(spark, "jdbc:x", "db_facts", "pk", 10)
+    assert calls[-1] == {}
