@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 NUMBER_PATTERN = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+WHITESPACE = " \t\n\r\x0b\x0c"
 TIME_PATTERN = r"^\d{4}-\d{1,2}-\d{1,2}\s+\d{1,2}:\d{1,2}:\d{1,2}$"
 
 # Above this, a double times 10**6 no longer holds halves exactly.
@@ -49,7 +50,7 @@ def float_six(text: Column) -> Column:
     into its rounded value and its exact error, and the error decides ties. Missing stays empty,
     unreadable gives NULL.
     """
-    number = F.when(is_number(text), F.trim(text))
+    number = F.when(is_number(text), F.trim(text, F.lit(WHITESPACE)))
     double = number.cast("double")
     value = F.when(F.abs(double) < EXACT_LIMIT, double)
     scaled = value * F.lit(1e6)
@@ -105,6 +106,7 @@ def epoch_seconds(text: Column) -> Column:
 
 
 def drop_last(text: Column) -> Column:
+    """Without the last character; empty stays empty."""
     return F.left(text, F.length(text) - 1)
 
 

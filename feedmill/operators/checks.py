@@ -34,7 +34,8 @@ def volume_check(spark: SparkSession, checks: list[CheckSpec], now: datetime) ->
         for c in checks
         if c.enabled
     ]
-    return reduce(DataFrame.unionByName, results)
+    none = spark.createDataFrame([], "check_name string, observed long, min_rows long, ok boolean")
+    return reduce(DataFrame.unionByName, results) if results else none
 
 
 def freshness_check(df: DataFrame, feed: str, time: str, now: datetime, minutes: int) -> DataFrame:

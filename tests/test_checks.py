@@ -36,6 +36,7 @@ def test_volume(spark):
     ]
     got = {r.check_name: (r.observed, r.ok) for r in checks.volume_check(spark, specs, NOW).collect()}
     assert got == {"enough": (9, True), "too_few": (9, False)}
+    assert checks.volume_check(spark, specs[2:], NOW).collect() == []
 
 
 def test_freshness(spark):

@@ -33,6 +33,7 @@ def test_decimal_six_strict(spark):
 FLOAT_TEXTS = [
     "0", "-0", "1", "-1.25", "113.1234565", "0.0000005", "-0.0000005", "0.0000015", "0.0078125", "-0.0234375",
     "22.5431235", "1e3", "1.5E-7", "+3.", ".5", " 7.25 ", "123456789.1234565", "-0.00000049", "3999999999.9999995",
+    "\t-0.0", "\r1.5\x0b",
 ]
 
 
