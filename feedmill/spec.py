@@ -28,6 +28,12 @@ class FeedSpec:
     file_name: str = "FEED-[DT].dat"
     overlap: int = 0
 
+    def __post_init__(self):
+        if not self.order_by:
+            raise ValueError(f"feed {self.name}: order_by fixes the rows of each file and cannot be empty")
+        if (self.table is None) != (self.key is None):
+            raise ValueError(f"feed {self.name}: table and key go together")
+
     @property
     def incremental(self) -> bool:
         return self.table is not None and self.key is not None

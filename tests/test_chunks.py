@@ -1,6 +1,8 @@
 import random
 
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from feedmill.operators.chunks import PARTITION_SHIFT, chunk_column, manifest, number_rows, part_column
@@ -93,3 +95,21 @@ def test_many_segments_are_joined_by_shuffle(spark):
         assert sorted(r.rn for r in numbered.rows.collect()) == list(range(1, len(values) + 1))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@settings(max_examples=5, deadline=None, suppress_health_check=list(HealthCheck))
+@given(
+    st.lists(st.tuples(st.sampled_from([None, "a", "b", "hot"]), st.none() | st.integers(-3, 3)), min_size=1, max_size=400),
+    st.integers(1, 50),
+)
+def test_numbering_property(spark, cells, per_file):
+    rows = [(i, g, v) for i, (g, v) in enumerate(cells)]
+    df = spark.createDataFrame(rows, "id long, g string, v int")
+    got = number_rows(df, ("v", "id"), ("g",)).rows.withColumn("chunk", chunk_column(per_file)).collect()
+    want = {}
+    for i, g, v in sorted(rows, key=lambda r: (r[1] is None, r[1] or "", r[2] is None, r[2] or 0, r[0])):
+        want.setdefault(g, []).append(i)
+    assert len(got) == len(rows)
+    for r in got:
+        assert want[r.g][r.rn - 1] == r.id and r.group_rows == len(want[r.g])
+        assert r.chunk == (0 if len(want[r.g]) <= per_file else (r.rn - 1) // per_file + 1)

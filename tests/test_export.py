@@ -283,6 +283,13 @@ def test_compact_ledger(spark, ledger, monkeypatch):
     assert len([n for n in os.listdir(f"{ledger.path}/feed=facts") if n.startswith("part-")]) == 1
 
 
+def test_feed_declarations():
+    with pytest.raises(ValueError, match="order_by"):
+        FeedSpec(name="f", sql="SELECT 1", order_by=())
+    with pytest.raises(ValueError, match="table and key"):
+        FeedSpec(name="f", sql="SELECT 1", order_by=("a",), table="t")
+
+
 def test_bounds_are_parameters(spark):
     facts(spark, 10)
     assert [r.pk for r in feed_rows(spark, FEED, 3, 5).orderBy("pk").collect()] == [4, 5]

@@ -1,6 +1,8 @@
 import os
 import time
 
+import pytest
+
 from feedmill.operators.layouts import NARROW_INPUT, WIDE_INPUT, narrow_layout, wide_layout
 from feedmill.session import fresh_dir
 from feedmill.sinks.ledger import SeenFiles
@@ -195,6 +197,20 @@ def test_staging_lies_under_the_shared_folder(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir", spark.sparkContext.getCheckpointDir())
 
 
+def test_a_cluster_must_name_its_shared_folder():
+    from types import SimpleNamespace
+
+    from feedmill.session import shared_dir
+
+    def session(master, conf):
+        context = SimpleNamespace(master=master, getCheckpointDir=lambda: None)
+        return SimpleNamespace(conf=SimpleNamespace(get=conf.get), sparkContext=context)
+
+    assert shared_dir(session("spark://x:7077", {"spark.checkpoint.dir": "s3://b/c/"})) == "s3://b/c"
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(session("spark://x:7077", {}))
+
+
 def test_jdbc_options():
     assert jdbc_options("jdbc:x", "(select 1) q", user="u") == {
         "url": "jdbc:x", "dbtable": "(select 1) q", "fetchsize": "10000", "user": "u",

@@ -1,3 +1,5 @@
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from feedmill.operators.layouts import NARROW_INPUT, WIDE_INPUT, narrow_layout, render, wide_layout
@@ -74,3 +76,16 @@ def test_layout_of_the_users_own(lines_of):
     rows = accepted(judge_lines(lines_of([line()]), WIDE_INPUT))
     got = rows.transform(lambda df: render(df, [F.col("device_code"), F.lit("x")], "|")).first().out
     assert got == "DEV0001|x"
+
+
+FIELD = st.sampled_from(["", "x", "1.5", "-0.0000005", "2019-06-01 00:00:01", "2019-6-1 0:0:1", "码" * 17, "\r", "DEV0001", " "])
+
+
+@settings(max_examples=4, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.lists(FIELD, min_size=15, max_size=18).map(",".join), min_size=20, max_size=200))
+def test_every_line_is_accepted_or_rejected_once(lines_of, lines):
+    judged = judge_lines(lines_of(lines), WIDE_INPUT)
+    good = accepted(judged).transform(wide_layout).collect()
+    bad = rejects(judged).collect()
+    assert sorted([r.line for r in good] + [r.line for r in bad]) == sorted(lines)
+    assert all(r.out.count(",") == 20 for r in good)
