@@ -16,7 +16,11 @@ SPLITTER = 134217729.0
 
 
 def time_text(ts: Column) -> Column:
-    return F.date_format(ts, "yyyy-MM-dd HH:mm:ss")
+    """``yyyy-MM-dd HH:mm:ss`` of a date or time, fractions cut off.
+
+    A time without zone is never moved into the session's zone, where its hour may not exist.
+    """
+    return F.left(ts.cast("timestamp_ntz").cast("string"), F.lit(19))
 
 
 def present(text: Column) -> Column:

@@ -92,6 +92,20 @@ def test_epoch_seconds_follows_the_session_zone(spark):
     assert got == [int(datetime(2019, 6, 1, tzinfo=timezone.utc).timestamp())]
 
 
+def test_time_text(spark):
+    # The hour after 2 a.m. does not exist on that day in New York.
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        df = spark.sql("""
+            SELECT timestamp_ntz'2024-03-10 02:30:00.999' AS a, timestamp_ltz'2024-07-01 23:59:59' AS b,
+                   date'2024-02-29' AS c, cast(null AS timestamp) AS d
+        """)
+        got = df.select(*[C.time_text(F.col(c)).alias(c) for c in df.columns]).first()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert tuple(got) == ("2024-03-10 02:30:00", "2024-07-01 23:59:59", "2024-02-29 00:00:00", None)
+
+
 def test_small_functions(spark):
     assert apply(spark, ["ID-A-17", "x", "", None], C.drop_last) == ["ID-A-1", "", "", None]
     assert apply(spark, ["7", "", None], lambda c: C.add_suffix(c, "0000")) == ["70000", "", ""]
