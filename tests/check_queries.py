@@ -11,9 +11,10 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 import duckdb
 
-from feedmill.registry import ORACLE, QUERIES
+import __spark_entry__ as spark_entry
 from feedmill.session import local_session
 
+QUERIES, ORACLE = spark_entry.queries(), spark_entry.oracle_sql()
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 ).split()
