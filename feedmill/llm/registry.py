@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedmill.llm import mixing, urls
+from feedmill.llm import licences, mixing, urls
 from feedmill.sources.relational import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -97,3 +97,9 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
     judged = urls.judge_urls(pages, urls.rule_table(spark, URL_RULES), default="allow")
     return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+@query()
+def op4_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scanned = licences.scan_licences(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return scanned.drop("text", "places")
