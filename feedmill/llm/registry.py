@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedmill.llm import licences, mixing, urls
+from feedmill.llm import licences, mixing, quality, toxicity, urls
+from feedmill.llm.samples import crc_fold
 from feedmill.sources.relational import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -103,3 +104,29 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     scanned = licences.scan_licences(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return scanned.drop("text", "places")
+
+
+@query()
+def op2_quality_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, read_table(spark, sf_dir, "labels"), crc_fold(F.col("doc_id"), 3) != 1)
+    return quality.score_quality(docs, model).select(
+        "doc_id",
+        F.coalesce(crc_fold(F.col("doc_id"), 3) == 1, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
+@query()
+def op5_toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, read_table(spark, sf_dir, "labels"), crc_fold(F.col("doc_id"), 5) != 0)
+    return toxicity.tag_toxic(docs, model).select(
+        "doc_id",
+        F.coalesce(crc_fold(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        "toxic_words",
+        "spans",
+    )
