@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedmill.llm import licences, mixing, quality, toxicity, urls
+from feedmill.llm import jaccard, licences, mixing, quality, toxicity, urls
 from feedmill.llm.samples import crc_fold
 from feedmill.sources.relational import read_table
 
@@ -130,3 +130,9 @@ def op5_toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
         "toxic_words",
         "spans",
     )
+
+
+@query()
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return jaccard.jaccard_classes(docs, n=3, percent=90)
