@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedmill.llm import jaccard, licences, mixing, quality, toxicity, urls
+from feedmill.llm import ann, chat, decontam, jaccard, licences, mixing, quality, tokens, toxicity, urls
 from feedmill.llm.samples import crc_fold
 from feedmill.sources.relational import read_table
 
@@ -136,3 +136,38 @@ def op5_toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return jaccard.jaccard_classes(docs, n=3, percent=90)
+
+
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
+@query()
+def op1_token_lengths(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABULARY) -> DataFrame:
+    with open(vocabulary, "rb") as ranks:
+        counted = tokens.count_tokens(read_table(spark, sf_dir, "documents").select("text"), ranks.read())
+    return tokens.length_curve(tokens.length_histogram(counted))
+
+
+@query()
+def op3_prefix_target_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = F.lit("</s>[INST] ok [/INST]").alias("text")
+    own = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        said,
+    )
+    turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(own)
+    return chat.read_back(chat.format_turns(turns))
+
+
+@query()
+def op6_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+@query()
+def op10_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontam.find_leaks(docs, read_table(spark, sf_dir, "benchmark"))
+    return found.where(F.size("leaks") > 0).select("doc_id", F.inline("leaks"))

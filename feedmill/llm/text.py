@@ -32,7 +32,14 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-_POWERS: dict[int, np.ndarray] = {}
+class _Cache(dict):
+    """Kept in a process, and left behind when a function that uses it is sent to a task."""
+
+    def __reduce__(self):
+        return _Cache, ()
+
+
+_POWERS: dict[int, np.ndarray] = _Cache()
 
 
 def powers(base: int, n: int) -> np.ndarray:
