@@ -26,7 +26,7 @@ def labelled_sample(
 
     ``allowed`` says which label rows may be learnt from. Labels are chosen by the hash of their key, so reruns agree;
     a key with several labels counts as its highest. Only the chosen keys, at most 2 * per_class, are broadcast to find
-    their texts; texts beyond the byte bound are left out, longest last per class.
+    their texts; of each class the longest texts are left out where the bytes would not do.
     """
     chosen = labels.where(allowed & F.col(label).isin(0, 1) & F.col(key).isNotNull())
     chosen = chosen.groupBy(F.col(key).alias("_key")).agg(F.max(label).cast("int").alias("_label"))

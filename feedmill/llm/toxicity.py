@@ -161,19 +161,22 @@ class ToxicModel:
         return constant + per_mass * np.log1p(mass) + per_most * most, mass, words, spans
 
 
-def seed_words(features: np.ndarray, doc: np.ndarray, labels: np.ndarray, least: int = 5, share: float = 0.02) -> np.ndarray:
-    """Whether each word of a toxic document has a feature seen in at least ``least`` and ``share`` of the toxic
-    documents, and in next to no clean ones (5 % of their rate)."""
+def seed_words(
+    features: np.ndarray, word: np.ndarray, doc: np.ndarray, labels: np.ndarray, least: int = 5, share: float = 0.02
+) -> np.ndarray:
+    """Which words have a feature seen in at least ``least`` and ``share`` of the toxic documents, and in next to no clean
+    ones (5 % of their rate). (word, doc) are the distinct words of each document."""
     toxic = labels == 1
     n1, n0 = max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
-    keys, inverse = np.unique(features, return_inverse=True)
-    inverse = inverse.reshape(features.shape)
-    seen = np.unique(inverse.astype(np.int64) * len(labels) + doc[:, None])
-    key, of = seen // len(labels), seen % len(labels)
-    in_toxic = np.bincount(key, weights=toxic[of], minlength=len(keys))
-    in_clean = np.bincount(key, minlength=len(keys)) - in_toxic
-    seeds = (in_toxic >= max(least, share * n1)) & (in_clean / n0 <= 0.05 * in_toxic / n1)
-    return seeds[inverse].any(axis=1) & toxic[doc]
+    seeds = np.zeros(len(features), dtype=bool)
+    for column in features.T:
+        _, kind = np.unique(column, return_inverse=True)
+        seen = np.unique(kind[word] * len(labels) + doc)
+        of, among = toxic[seen % len(labels)], seen // len(labels)
+        in_toxic = np.bincount(among, weights=of, minlength=kind.max() + 1)
+        in_clean = np.bincount(among, weights=~of, minlength=kind.max() + 1)
+        seeds |= ((in_toxic >= max(least, share * n1)) & (in_clean / n0 <= 0.05 * in_toxic / n1))[kind]
+    return seeds
 
 
 def train(sample: list[tuple[str, int]], prior: tuple[int, int], bits: int = 18, rounds: int = 60, l2: float = 1e-3) -> ToxicModel:
@@ -185,20 +188,29 @@ def train(sample: list[tuple[str, int]], prior: tuple[int, int], bits: int = 18,
     empty = ToxicModel(bits, np.zeros(1 << bits), -5.0, 0.0, np.zeros((2, 2)), (base, 0.0, 0.0))
     if not len(labels) or labels.min() == labels.max():
         return empty
-    found, docs, chains, so_far = [], [], [], 0
+    # Emissions depend on the word alone: features are kept by distinct word.
+    own, docs, chains, known, so_far = [], [], [], {}, 0
     for part in slices(pa.array([text for text, _ in sample], pa.large_string())):
         tokens = tokens_of(part)
-        found.append(tokens.features)
-        docs.append(part.rows[tokens.row])
+        words, example = np.unique(tokens.features[:, 0], return_index=True)
+        for word, features in zip(words.tolist(), tokens.features[example]):
+            known.setdefault(word, features.copy())
+        own.append(tokens.features[:, 0].copy())
+        docs.append(part.rows[tokens.row].astype(np.int32))
         chains.append(tokens.chain + so_far)
         so_far += len(tokens.start)
-    features, doc, chain = np.concatenate(found), np.concatenate(docs), np.concatenate(chains)
-    target = seed_words(features, doc, labels)
+    doc, chain = np.concatenate(docs), np.concatenate(chains)
+    words = np.array(sorted(known), dtype=np.uint64)
+    if not len(words):
+        return empty
+    features = np.stack([known[w] for w in words.tolist()])
+    kind = np.searchsorted(words, np.concatenate(own)).astype(np.int32)
+    pairs = np.unique(kind.astype(np.int64) * len(labels) + doc)
+    seeds = seed_words(features, pairs // len(labels), pairs % len(labels), labels)
+    target = seeds[kind] & (labels[doc] == 1)
     if not target.any():
         return empty
-    # Emissions depend on the word alone: work by distinct word.
-    _, example, kind = np.unique(features[:, 0], return_index=True, return_inverse=True)
-    buckets = (features[example] >> np.uint64(64 - bits)).astype(np.int64)
+    buckets = (features >> np.uint64(64 - bits)).astype(np.int64)
     heads = np.zeros(len(target), dtype=bool)
     heads[chain] = True
     follow = ~heads[1:]
@@ -210,17 +222,18 @@ def train(sample: list[tuple[str, int]], prior: tuple[int, int], bits: int = 18,
     squares, small = np.full(1 << bits, 1e-8), np.full(6, 1e-8)
     for done in range(rounds):
         emission = (weights[buckets].sum(axis=1) + bias)[kind]
-        p, pairs = marginals(emission, chain, start, trans)
-        wrong = np.bincount(kind, weights=target - p, minlength=len(example))
-        step = np.bincount(buckets.ravel(), weights=np.repeat(wrong, buckets.shape[1]), minlength=1 << bits) - l2 * weights
+        p, both = marginals(emission, chain, start, trans)
+        wrong = np.bincount(kind, weights=target - p, minlength=len(words))
+        step = -l2 * weights
+        for column in buckets.T:
+            step += np.bincount(column, weights=wrong, minlength=1 << bits)
         squares += step * step
         weights += step / np.sqrt(squares)
-        rest = np.concatenate([[wrong.sum(), (target - p)[chain].sum()], (counted - pairs).ravel()])
+        rest = np.concatenate([[wrong.sum(), (target - p)[chain].sum()], (counted - both).ravel()])
         small = 0.8 * small + 0.2 * rest * rest
         moves = 0.2 * (1 - done / rounds) * rest / np.sqrt(small)
         bias, start, trans = bias + moves[0], start + moves[1], trans + moves[2:].reshape(2, 2)
-    model = ToxicModel(bits, weights, bias, start, trans, (base, 0.0, 0.0))
-    p = model.tag(Tokens(doc, doc, doc, features, chain))
+    p, _ = marginals((weights[buckets].sum(axis=1) + bias)[kind], chain, start, trans)
     mass, most = np.zeros(len(labels)), np.zeros(len(labels))
     strong = p >= STRONG
     np.add.at(mass, doc[strong], p[strong])
@@ -250,7 +263,7 @@ def fit(
     allowed: Column,
     label: str = "toxic",
     per_class: int = 1500,
-    max_bytes: int = 16_000_000,
+    max_bytes: int = 6_000_000,
 ) -> ToxicModel:
     """Learn from at most ``per_class`` labelled documents of each class and ``max_bytes`` of their text."""
     sample = labelled_sample(docs, labels, label, allowed, per_class, max_bytes)
