@@ -87,7 +87,7 @@ def slices(column: pa.Array, size: int = SLICE_BYTES) -> Iterator[Slice]:
             if stop < end:
                 blank = np.flatnonzero(SPACES[data[at:stop]])
                 while not len(blank) and stop < end:  # a word longer than a slice
-                    ahead = np.flatnonzero(SPACES[data[stop : stop + size]])
+                    ahead = np.flatnonzero(SPACES[data[stop : min(stop + size, end)]])
                     blank, stop = (ahead[:1] + (stop - at), stop) if len(ahead) else (ahead, min(stop + size, end))
                 stop = at + int(blank[-1]) + 1 if len(blank) else end
             yield Slice(data[at:stop], np.zeros(1, np.int64), np.array([row]), int(at - begin))
