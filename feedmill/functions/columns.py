@@ -9,8 +9,8 @@ NUMBER_PATTERN = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 WHITESPACE = " \t\n\r\x0b\x0c"
 TIME_PATTERN = r"^\d{4}-\d{1,2}-\d{1,2}\s+\d{1,2}:\d{1,2}:\d{1,2}$"
 
-# Above this, a double times 10**6 no longer holds halves exactly.
-EXACT_LIMIT = 4e9
+# Whole parts from 2**63 on do not fit a long; such numbers are not printed but rejected.
+WHOLE_LIMIT = 9.223372036854775807e18
 # Dekker's splitter for 53-bit doubles: 2**27 + 1.
 SPLITTER = 134217729.0
 
@@ -32,6 +32,12 @@ def is_number(text: Column) -> Column:
     return F.coalesce(text.rlike(NUMBER_PATTERN), F.lit(False))
 
 
+def is_printable(text: Column) -> Column:
+    """A number whose six decimals :func:`float_six` can print: a finite double with a whole part below 2**63."""
+    double = F.trim(text, F.lit(WHITESPACE)).try_cast("double")
+    return is_number(text) & F.coalesce(F.abs(double) < WHOLE_LIMIT, F.lit(False))
+
+
 def decimal_six(text: Column, strict: bool = False) -> Column:
     """Number text with up to three integer digits and six decimals, rounded half away from zero.
 
@@ -50,13 +56,15 @@ def float_six(text: Column) -> Column:
     """Six decimals of the nearest double, ties in its exact binary value going to even.
 
     Decimal arithmetic on the text would differ when the seventh decimal is a final 5, because
-    the double lies a little above or below the tie. The product with 10**6 is therefore split
-    into its rounded value and its exact error, and the error decides ties. Missing stays empty,
-    unreadable gives NULL.
+    the double lies a little above or below the tie. The double is cut into its whole part and its
+    fraction, both exact. The fraction's product with 10**6 is split into its rounded value and
+    its exact error, and the error decides ties. Missing stays empty; what :func:`is_printable`
+    refuses gives NULL.
     """
-    number = F.when(is_number(text), F.trim(text, F.lit(WHITESPACE)))
-    double = number.cast("double")
-    value = F.when(F.abs(double) < EXACT_LIMIT, double)
+    number = F.when(is_printable(text), F.trim(text, F.lit(WHITESPACE)))
+    double = F.abs(number.cast("double"))
+    whole = F.floor(double)
+    value = double - whole.cast("double")
     scaled = value * F.lit(1e6)
     spread = value * F.lit(SPLITTER)
     high = spread - (spread - value)
@@ -66,20 +74,23 @@ def float_six(text: Column) -> Column:
     up = ((rest == 0.5) & (error > 0)).cast("long")
     down = ((rest == -0.5) & (error < 0)).cast("long")
     units = nearest.cast("long") + up - down
+    carry = units.cast("long") == 1_000_000
     # '-0.0' and values that round to zero from below keep their sign, as C formatting does.
-    sign = F.when((units == 0) & number.startswith("-"), F.lit("-")).otherwise(F.lit(""))
-    exact = F.concat(sign, (units.cast("decimal(19,0)") * F.lit("0.000001").cast("decimal(7,6)")).cast("string"))
-    # Every step is used at the top of the expression, where Spark computes repeated parts once.
-    return F.coalesce(
-        exact,
-        F.when(double.isNotNull(), number.try_cast("decimal(38,6)").cast("string")),
-        F.when(~present(text), F.lit("")),
+    sign = F.when(number.startswith("-"), F.lit("-")).otherwise(F.lit(""))
+    exact = F.concat(
+        sign,
+        (whole + carry.cast("long")).cast("string"),
+        F.lit("."),
+        F.lpad(F.when(carry, F.lit(0)).otherwise(units).cast("string"), 6, "0"),
     )
+    # Every step is used at the top of the expression, where Spark computes repeated parts once.
+    return F.coalesce(exact, F.when(~present(text), F.lit("")))
 
 
 def scrub(text: Column, delimiter: str = ",", by: str = " ") -> Column:
-    """Keep a delimiter out of a value."""
-    return F.replace(text, F.lit(delimiter), F.lit(by))
+    """Keep a delimiter and line ends out of a value."""
+    inline = F.translate(text, "\r\n", by * 2) if len(by) == 1 else F.regexp_replace(text, "[\r\n]", by)
+    return F.replace(inline, F.lit(delimiter), F.lit(by))
 
 
 def whitelist(text: Column) -> Column:

@@ -8,6 +8,7 @@ from __future__ import annotations
 from datetime import datetime, timedelta
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,23 +39,28 @@ def volume_check(spark: SparkSession, checks: list[CheckSpec], now: datetime) ->
     return reduce(DataFrame.unionByName, results) if results else none
 
 
-def freshness_check(df: DataFrame, feed: str, time: str, now: datetime, minutes: int) -> DataFrame:
-    """Newest time per feed, and whether it is within ``minutes`` of now."""
-    return (
-        df.groupBy(feed)
-        .agg(F.max(time).alias("newest"))
-        .withColumn("ok", F.col("newest") >= F.lit(str(now - timedelta(minutes=minutes))))
-    )
+def freshness_check(
+    df: DataFrame, feed: str, time: str, now: datetime, minutes: int, expected: DataFrame | None = None
+) -> DataFrame:
+    """Newest time per feed, and whether it is within ``minutes`` of now.
+
+    ``expected`` lists the feeds (a column ``feed``) of which each gets a row: one that never sent anything fails.
+    """
+    newest = df.groupBy(feed).agg(F.max(time).alias("newest"))
+    if expected is not None:
+        newest = expected.select(feed).distinct().join(newest, feed, "left")
+    return newest.withColumn("ok", F.coalesce(F.col("newest") >= F.lit(str(now - timedelta(minutes=minutes))), F.lit(False)))
 
 
 def file_freshness(spark: SparkSession, root: str, day_format: str, pattern: str, now: datetime, minutes: int) -> DataFrame:
     """Newest matching file in today's folder; a folder without one gives one failing row."""
-    files = (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", pattern)
-        .load(f"{root}/{now.strftime(day_format)}")
-        .agg(F.max("modificationTime").alias("newest"))
-    )
+    try:
+        found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(f"{root}/{now.strftime(day_format)}")
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        found = spark.createDataFrame([], "modificationTime timestamp")
+    files = found.agg(F.max("modificationTime").alias("newest"))
     limit = F.lit(str(now - timedelta(minutes=minutes)))
     return files.withColumn("ok", F.coalesce(F.col("newest") >= limit, F.lit(False)))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from feedmill.functions.columns import (
     epoch_seconds,
-    is_number,
+    is_printable,
     present,
     split_line,
     strip_line_end,
@@ -46,7 +46,7 @@ def reject_reason(fmt: LineFormat) -> Column:
     code = F.col(fmt.code_field)
     rules += [("no_code", ~present(code)), ("long_code", too_long(code, fmt.max_code_bytes))]
     for name in fmt.number_fields:
-        rules.append((f"bad_{name}", present(F.col(name)) & ~is_number(F.col(name))))
+        rules.append((f"bad_{name}", present(F.col(name)) & ~is_printable(F.col(name))))
     reason = F.lit(None).cast("string")
     for label, failed in reversed(rules):
         reason = F.when(failed, F.lit(label)).otherwise(reason)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from feedmill.operators.chunks import number_staged, part_column
 from feedmill.operators.layouts import Layout
 from feedmill.operators.validate import judge_lines
-from feedmill.session import fresh_dir
+from feedmill.session import drop_dir, fresh_dir
 from feedmill.sinks.delimited import chunk_suffix, write_chunks
 from feedmill.sinks.ledger import SeenFiles
 from feedmill.sources.line_files import read_unseen
@@ -64,6 +64,14 @@ def convert_batch(
         .sortWithinPartitions("rejected", "scan_pos")
         .withColumn("_pos", F.monotonically_increasing_id())
     )
+    try:
+        _write_converted(placed, stage, out_dir, reject_dir, part_rows, add)
+    finally:
+        drop_dir(spark, stage)
+
+
+def _write_converted(placed: DataFrame, stage: str, out_dir: str, reject_dir: str, part_rows: int, add: bool) -> None:
+    spark = placed.sparkSession
     placed.write.partitionBy("rejected").parquet(f"{stage}/rows")
     staged = spark.read.schema(placed.schema).parquet(f"{stage}/rows")
 
@@ -79,7 +87,6 @@ def convert_batch(
         .partitionBy("file_name")
         .parquet(reject_dir)
     )
-    numbered.release()
 
 
 def read_rejects(spark: SparkSession, reject_dir: str) -> DataFrame:

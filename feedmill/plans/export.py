@@ -5,8 +5,11 @@ from __future__ import annotations
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from datetime import datetime, timezone
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from feedmill.functions.columns import delimited_line, scrub
@@ -18,6 +21,9 @@ from feedmill.sinks.ledger import Ledger
 from feedmill.spec import FeedSpec
 
 
+LOWEST_KEY = -(2**63)
+
+
 @dataclass(frozen=True)
 class ExportRun:
     """Settings shared by the feeds of one run."""
@@ -36,8 +42,9 @@ class ExportRun:
 
 
 def feed_rows(spark: SparkSession, feed: FeedSpec, start: int | None = None, end: int | None = None) -> DataFrame:
-    """The feed's result, bounded by the key range when it is incremental."""
-    bounds = {"start_pkid": start, "end_pkid": end} if feed.incremental else None
+    """The feed's result, bounded by the key range when it is incremental; no start means from the beginning."""
+    first = LOWEST_KEY if start is None else start
+    bounds = {"start_pkid": first, "end_pkid": end} if feed.incremental else None
     return spark.sql(feed.sql, args=bounds)
 
 
@@ -54,13 +61,11 @@ def feed_line(feed: FeedSpec, df: DataFrame, run: ExportRun):
 def seed(spark: SparkSession, feeds: list[FeedSpec], ledger: Ledger) -> None:
     """Start each keyed feed, also a disabled one, at its table's highest key; export nothing.
 
-    An empty table leaves no mark.
+    The feed of an empty table is seeded without a mark: its next export starts from the beginning.
     """
     for feed in feeds:
         if feed.incremental:
-            top = max_key(spark.table(feed.table), feed.key)
-            if top is not None:
-                ledger.close(feed.name, None, top, 0, None)
+            ledger.close(feed.name, None, max_key(spark.table(feed.table), feed.key), 0, None)
 
 
 def deliver(feed: FeedSpec, df: DataFrame, run: ExportRun, sub_dir: str, day: str) -> tuple[int, str | None]:
@@ -79,12 +84,14 @@ def deliver(feed: FeedSpec, df: DataFrame, run: ExportRun, sub_dir: str, day: st
         return total, targets[0] if total else None
 
     numbered = number_rows(df, feed.order_by)
-    total = numbered.total()
-    if total:
-        name = chunk_name(stamp_name(feed.file_name, run.now), chunk_column(per_file))
-        for target in targets:
-            write_chunks(numbered.rows, line, name, target, run.compression)
-    numbered.release()
+    try:
+        total = numbered.total()
+        if total:
+            name = chunk_name(stamp_name(feed.file_name, run.now), chunk_column(per_file))
+            for target in targets:
+                write_chunks(numbered.rows, line, name, target, run.compression)
+    finally:
+        numbered.release()
     return total, targets[0] if total else None
 
 
@@ -104,40 +111,58 @@ def export_incremental(spark: SparkSession, feed: FeedSpec, run: ExportRun, ledg
     """Export keys above the mark up to the table's highest; None when there are no new keys.
 
     The mark moves only after the write, and also when no row of the range qualifies. A feed
-    without a mark is seeded instead.
+    that was never seeded is seeded instead.
     """
-    start = ledger.mark(feed.name)
-    if start is None:
+    seeded, start = ledger.position(feed.name)
+    if not seeded:
         seed(spark, [feed], ledger)
         return None
     top = max_key(spark.table(feed.table), feed.key, above=start)
     if top is None:
         return None
     end, day = ledger.open_range(feed.name, start, top, day_of(run))
-    sub_dir = f"feed={feed.name}/start={start}/end={end}"
-    rows, path = deliver(feed, feed_rows(spark, feed, start - feed.overlap, end), run, sub_dir, day)
+    sub_dir = f"feed={feed.name}/start={'none' if start is None else start}/end={end}"
+    since = None if start is None else start - feed.overlap
     if run.keep_keys:
-        exported = key_range(F.col(feed.key), start - feed.overlap, end)
-        keys = spark.table(feed.table).select(feed.key).where(exported)
-        keys.write.mode("overwrite").parquet(f"{run.out_dir}/_keys/{sub_dir}")
+        # Before the export reads the table: a key committed in between is then reported late, never lost.
+        kept = f"{run.out_dir}/_keys/{sub_dir}"
+        spark.table(feed.table).select(feed.key).where(key_range(F.col(feed.key), since, end)).write.mode("overwrite").parquet(kept)
+        ledger.keep_keys(feed.name, start, end, kept)
+    rows, path = deliver(feed, feed_rows(spark, feed, since, end), run, sub_dir, day)
     ledger.close(feed.name, start, end, rows, path)
     return rows
 
 
 def audit_late_keys(spark: SparkSession, feed: FeedSpec, run: ExportRun, ledger: Ledger, after: int | None = None) -> DataFrame:
-    """Keys of the feed's table that lie within delivered ranges but were not there when these
-    were exported with ``keep_keys``. ``after`` leaves out ranges up to that key, else all are read."""
-    ranges = ledger.done().where((F.col("feed") == feed.name) & F.col("start_key").isNotNull())
-    if after is not None:
-        ranges = ranges.where(F.col("end_key") > after)
-    bounds = sorted((r.start_key, r.end_key) for r in ranges.select("start_key", "end_key").distinct().collect())
+    """Keys of the feed's table within the ranges exported with ``keep_keys`` that were not there just before their
+    export read it: they were committed late, or while it ran. Ranges whose keys were not kept are left out, and with
+    ``after`` all up to that key.
+
+    The kept keys are read from their common folder, so no list of paths is made. Ranges that follow each other are one;
+    there is one condition for each time that keeping keys was taken up anew.
+    """
     source = spark.table(feed.table)
-    if not bounds:
+    kept = ledger.entries().where((F.col("feed") == feed.name) & (F.col("state") == "keys"))
+    if after is not None:
+        kept = kept.where(F.col("end_key") > after)
+    first = F.coalesce("start_key", F.lit(LOWEST_KEY))
+    by_end = W.orderBy("high")
+    runs = (
+        kept.select(first.alias("low"), F.col("end_key").alias("high"))
+        .distinct()
+        .withColumn("new", (F.col("low") > F.lag("high", 1, LOWEST_KEY).over(by_end)).cast("int"))
+        .withColumn("run", F.sum("new").over(by_end))
+        .groupBy("run")
+        .agg(F.min("low").alias("low"), F.max("high").alias("high"))
+        .collect()
+    )
+    if not runs:
         return source.select(feed.key).limit(0)
-    paths = [f"{run.out_dir}/_keys/feed={feed.name}/start={start}/end={end}" for start, end in bounds]
-    exported = spark.read.schema(source.select(feed.key).schema).parquet(*paths)
-    lowest = bounds[0][0] if after is None else max(after, bounds[0][0])
-    return late_keys(source, exported, feed.key, bounds[-1][1], lowest)
+    lows = [r["low"] if after is None else max(after, r["low"]) for r in runs]
+    audited = [key_range(F.col(feed.key), None if low == LOWEST_KEY else low, r["high"]) for low, r in zip(lows, runs)]
+    folder = spark.read.option("recursiveFileLookup", "true").schema(source.select(feed.key).schema)
+    exported = folder.parquet(f"{run.out_dir}/_keys/feed={feed.name}")
+    return late_keys(source.where(reduce(or_, audited)), exported, feed.key, max(r["high"] for r in runs), after)
 
 
 def read_delivered(spark: SparkSession, feed: str, ledger: Ledger) -> DataFrame:
@@ -147,7 +172,7 @@ def read_delivered(spark: SparkSession, feed: str, ledger: Ledger) -> DataFrame:
 
 
 def is_due(ledger: Ledger, now: datetime, interval_seconds: int) -> bool:
-    """Whether the latest delivery lies at least the interval back."""
+    """Whether the latest run or delivery lies at least the interval back."""
     last = ledger.last_run()
     return last is None or abs((now.astimezone(timezone.utc) - last).total_seconds()) >= interval_seconds
 
@@ -156,10 +181,12 @@ def run_catalogue(spark: SparkSession, feeds: list[FeedSpec], run: ExportRun, le
     """Run the enabled feeds in order, or several at a time; rows per feed that exported.
 
     The first run ever seeds the keyed feeds and exports nothing. A run that comes before the
-    interval since the latest delivery has passed does nothing.
+    interval since the latest run has passed does nothing. Every other run is recorded, also one
+    that had nothing to export.
     """
     if ledger.last_run() is None:
         seed(spark, feeds, ledger)
+        ledger.record_run()
         return {}
     if not is_due(ledger, run.now, run.interval_seconds):
         return {}
@@ -169,4 +196,5 @@ def run_catalogue(spark: SparkSession, feeds: list[FeedSpec], run: ExportRun, le
     enabled = [feed for feed in feeds if feed.enabled]
     with ThreadPoolExecutor(run.parallel) as pool:
         delivered = dict(zip([feed.name for feed in enabled], pool.map(export, enabled)))
+    ledger.record_run()
     return {name: rows for name, rows in delivered.items() if rows is not None}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from feedmill.operators.keys import key_range, max_key
 from feedmill.sinks.ledger import Ledger
@@ -27,9 +28,12 @@ def sync_incremental(source: DataFrame, name: str, key: str, target_dir: str, le
     return rows
 
 
-def read_synced(spark: SparkSession, name: str, ledger: Ledger) -> DataFrame:
-    """The target table: delivered ranges only."""
-    return spark.read.parquet(*ledger.paths(name))
+def read_synced(spark: SparkSession, name: str, ledger: Ledger, schema: StructType | str | None = None) -> DataFrame:
+    """The target table: delivered ranges only. Before the first of them it is empty, if ``schema`` says of what."""
+    paths = ledger.paths(name)
+    if not paths and schema is not None:
+        return spark.createDataFrame([], schema)
+    return spark.read.parquet(*paths)
 
 
 def sync_full(source: DataFrame, target_dir: str) -> None:

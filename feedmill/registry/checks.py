@@ -40,11 +40,13 @@ def volume_check(spark, sf_dir):
     SELECT event_type, strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') AS newest,
            max(ts) >= TIMESTAMP '2024-01-30 23:45:00' AS ok
     FROM events GROUP BY event_type
+    UNION ALL SELECT 'never_sent', NULL, false
     """
 )
 def freshness_check(spark, sf_dir):
     events = read_table(spark, sf_dir, "events")
-    result = checks.freshness_check(events, "event_type", "ts", datetime(2024, 1, 31), 15)
+    expected = events.select("event_type").distinct().union(spark.range(1).select(F.lit("never_sent")))
+    result = checks.freshness_check(events, "event_type", "ts", datetime(2024, 1, 31), 15, expected)
     return result.withColumn("newest", F.date_format("newest", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
 
 

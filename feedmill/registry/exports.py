@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timezone
 
 from pyspark.sql import functions as F
 
 from feedmill.functions import columns as C
 from feedmill.operators import joins, keys
 from feedmill.operators.chunks import row_order
-from feedmill.plans.export import ExportRun, export_incremental, feed_line, feed_rows, read_delivered, run_catalogue, seed
+from feedmill.plans.export import ExportRun, export_incremental, feed_line, feed_rows, is_due, read_delivered, run_catalogue, seed
 from feedmill.registry.base import query
 from feedmill.session import fresh_dir
 from feedmill.sinks.delimited import write_ordered
@@ -165,10 +165,8 @@ def delimited_line(spark, sf_dir):
     """
 )
 def max_key(spark, sf_dir):
-    def top(table, key):
-        return read_table(spark, sf_dir, table).agg(F.max(key).alias("top_key")).select(F.lit(table).alias("feed"), "top_key")
-
-    return top("orders", "o_orderkey").unionByName(top("lineitem", "l_orderkey"))
+    found = [(t, keys.max_key(read_table(spark, sf_dir, t), k)) for t, k in (("orders", "o_orderkey"), ("lineitem", "l_orderkey"))]
+    return spark.createDataFrame(found, "feed string, top_key long")
 
 
 @query(f"SELECT count(*) AS row_count FROM ({ORDERS_SQL})")
@@ -195,6 +193,7 @@ def plain_feed(table: str, key: str, order: str, condition: str = "true", **sett
     SELECT 'orders' AS feed, CAST(max(o_orderkey) AS BIGINT) AS end_key FROM orders
     UNION ALL SELECT 'events', CAST(max(event_id) AS BIGINT) FROM events
     UNION ALL SELECT 'customer', CAST(max(c_custkey) AS BIGINT) FROM customer
+    UNION ALL SELECT 'no_events', CAST(NULL AS BIGINT)
     """
 )
 def seed_high_water(spark, sf_dir):
@@ -266,3 +265,46 @@ def empty_range(spark, sf_dir):
     return ledger.done().where("start_key IS NOT NULL").select(
         "feed", "start_key", "end_key", "rows", F.col("path").isNull().alias("no_file")
     )
+
+
+@query(
+    """
+    SELECT c_custkey || ',' || c_name || ',' || c_mktsegment || ',' || CAST(CAST(c_acctbal AS DECIMAL(18,6)) AS VARCHAR)
+           || ',' || coalesce(n_name, '') AS line
+    FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey AND n_regionkey = 2
+    WHERE c_acctbal >= 0 AND c_mktsegment IN ('BUILDING', 'MACHINERY')
+    """
+)
+def full_only_catalogue(spark, sf_dir):
+    """A catalogue without keyed feeds: its first run is recorded, its second delivers."""
+    register_tables(spark, sf_dir, "customer", "nation")
+    ledger, run = new_ledger(spark), export_run(spark)
+    for _ in range(2):
+        run_catalogue(spark, [CUSTOMER_FEED], run, ledger)
+    return read_delivered(spark, "customer", ledger).select("line")
+
+
+@query("SELECT o_orderkey || '' AS line FROM orders")
+def empty_then_filled(spark, sf_dir):
+    """A table that is empty at the first run: all that it has at the second is delivered."""
+    orders = read_table(spark, sf_dir, "orders")
+    feed = plain_feed("filling_orders", "o_orderkey", "o_orderdate", columns=("o_orderkey",), chunk_rows=5000)
+    ledger, run = new_ledger(spark), export_run(spark)
+    for table in (orders.where("o_orderkey IS NULL"), orders):
+        table.createOrReplaceTempView("filling_orders")
+        run_catalogue(spark, [feed], run, ledger)
+    return read_delivered(spark, feed.name, ledger).select("line")
+
+
+@query("SELECT 'orders' AS feed, max(o_orderkey) AS end_key, true AS due_at_first, false AS due_after_idle FROM orders")
+def idle_interval(spark, sf_dir):
+    """A run that finds nothing new counts for the interval as well."""
+    register_tables(spark, sf_dir, "orders")
+    ledger, run = new_ledger(spark), export_run(spark)
+    feed = plain_feed("orders", "o_orderkey", "o_orderdate")
+    due = is_due(ledger, datetime.now(timezone.utc), 3600)
+    run_catalogue(spark, [feed], run, ledger)
+    run_catalogue(spark, [feed], run, ledger)
+    after = is_due(ledger, datetime.now(timezone.utc), 3600)
+    marks = ledger.done().groupBy("feed").agg(F.max("end_key").alias("end_key"))
+    return marks.select("feed", "end_key", F.lit(due).alias("due_at_first"), F.lit(after).alias("due_after_idle"))

@@ -43,7 +43,9 @@ def epoch_seconds(spark, sf_dir):
            CASE WHEN abs(CAST(plain AS DECIMAL(18,2))) < 1000
                 THEN CAST(CAST(plain AS DECIMAL(9,6)) AS VARCHAR) END AS as_decimal,
            abs(CAST(plain AS DECIMAL(18,2))) >= 1000 AS too_wide,
-           printf('%.6f', CAST(fine AS DOUBLE)) AS as_float
+           printf('%.6f', CAST(fine AS DOUBLE)) AS as_float,
+           printf('%.6f', CAST(CAST(4000000000 + c_custkey % 7 AS VARCHAR) || '.0000005' AS DOUBLE)) AS as_large,
+           CAST(9007199254740992 + 2 * c_custkey AS VARCHAR) || '.000000' AS as_whole, false AS prints_huge
     FROM n
     """
 )
@@ -56,6 +58,9 @@ def fixed_six(spark, sf_dir):
         C.decimal_six(plain).alias("as_decimal"),
         C.decimal_six_bad(plain).alias("too_wide"),
         C.float_six(fine).alias("as_float"),
+        C.float_six(F.concat((F.lit(4000000000) + F.col("c_custkey") % 7).cast("string"), F.lit(".0000005"))).alias("as_large"),
+        C.float_six((F.lit(9007199254740992) + 2 * F.col("c_custkey")).cast("string")).alias("as_whole"),
+        C.is_printable(F.concat(F.lit("1"), F.col("c_custkey").cast("string"), F.lit("e40"))).alias("prints_huge"),
     )
 
 
@@ -78,7 +83,7 @@ def charset_whitelist(spark, sf_dir):
     return kept("pages", "page", "page_id", "url").unionByName(kept("documents", "document", "doc_id", "text"))
 
 
-@query("SELECT doc_id, replace(text, ',', ' ') AS scrubbed FROM documents")
+@query("SELECT doc_id, translate(replace(text, ',', ' '), chr(10) || chr(13), '  ') AS scrubbed FROM documents")
 def delimiter_scrub(spark, sf_dir):
     return read_table(spark, sf_dir, "documents").select("doc_id", C.scrub(F.col("text")).alias("scrubbed"))
 

@@ -13,6 +13,8 @@ from feedmill.session import drop_dir
 LEDGER_SCHEMA = (
     "feed string, start_key long, end_key long, rows long, path string, state string, committed_at timestamp"
 )
+# Feed name under which runs of the whole catalogue are recorded.
+RUNS = "_catalogue"
 SEEN_SCHEMA = "feed string, file_name string, seen_at timestamp"
 
 
@@ -53,7 +55,8 @@ class AppendOnly:
 
 
 class Ledger(AppendOnly):
-    """Ranges of each feed: ``open`` when an export has fixed its bounds, ``done`` once delivered.
+    """Ranges of each feed: ``open`` when an export has fixed its bounds, ``done`` once delivered,
+    ``keys`` when the keys it may deliver were kept; and ``run`` for each run of the catalogue.
 
     An open range that was never done is a crashed export: the next run repeats the same bounds,
     writes to the same path and so replaces whatever the crash left there.
@@ -78,8 +81,21 @@ class Ledger(AppendOnly):
         return self.entries().where("state = 'done'")
 
     def mark(self, feed: str) -> int | None:
-        """Highest key delivered or seeded for the feed."""
-        return self.done().where(F.col("feed") == feed).agg(F.max("end_key")).first()[0]
+        """Highest key delivered or seeded for the feed; None also for one seeded from the beginning."""
+        return self.position(feed)[1]
+
+    def position(self, feed: str) -> tuple[bool, int | None]:
+        """Whether the feed was seeded, and its mark."""
+        row = self.done().where(F.col("feed") == feed).agg(F.count(F.lit(1)).alias("n"), F.max("end_key").alias("top")).first()
+        return row["n"] > 0, row["top"]
+
+    def keep_keys(self, feed: str, start: int | None, end: int, path: str) -> None:
+        """Record that the keys of a range were kept, and where."""
+        self._append(feed, start, end, None, path, "keys")
+
+    def record_run(self) -> None:
+        """Record that the catalogue has run, whatever it delivered."""
+        self._append(RUNS, None, None, None, None, "run")
 
     def open_range(self, feed: str, start: int | None, end: int, place: str = "") -> tuple[int, str]:
         """Fix the end of the next range and the place it is written to.
@@ -111,8 +127,8 @@ class Ledger(AppendOnly):
         return [row.path for row in found.select("path").distinct().toLocalIterator()]
 
     def last_run(self) -> datetime | None:
-        """When the latest delivery was recorded, in UTC."""
-        micros = self.done().agg(F.unix_micros(F.max("committed_at"))).first()[0]
+        """When the latest run or delivery was recorded, in UTC."""
+        micros = self.entries().where("state IN ('done', 'run')").agg(F.unix_micros(F.max("committed_at"))).first()[0]
         return None if micros is None else datetime.fromtimestamp(micros / 1e6, timezone.utc)
 
 

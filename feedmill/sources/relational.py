@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from feedmill.operators.keys import max_key
-
 
 def jdbc_options(
     url: str,
@@ -36,9 +34,21 @@ def read_jdbc(spark: SparkSession, url: str, table: str, **options) -> DataFrame
     return spark.read.format("jdbc").options(**jdbc_options(url, table, **options)).load()
 
 
+def max_key_options(url: str, table: str, key: str, above: int | None = None, **connection: str) -> dict[str, str]:
+    """Reader options that let the database find the highest key (above a mark): one row comes back."""
+    newer = "" if above is None else f" where {key} > {int(above)}"
+    return {"url": url, "dbtable": f"(select max({key}) as top_key from {table}{newer}) q", **connection}
+
+
+def max_key_jdbc(spark: SparkSession, url: str, table: str, key: str, above: int | None = None, **options) -> int | None:
+    """Highest key of a database table (above a mark), found by the database."""
+    connection = {name: v for name, v in options.items() if name not in ("num_partitions", "fetch_rows")}
+    return spark.read.format("jdbc").options(**max_key_options(url, table, key, above, **connection)).load().first()[0]
+
+
 def register_jdbc(spark: SparkSession, url: str, table: str, key: str, mark: int, **options) -> None:
     """Make a keyed database table known by name, read in parallel ranges of its keys above the mark."""
-    top = max_key(read_jdbc(spark, url, table, **options), key, above=mark)
+    top = max_key_jdbc(spark, url, table, key, mark, **options)
     ranged = options if top is None else {**options, "key": key, "bounds": (mark, top)}
     read_jdbc(spark, url, table, **ranged).createOrReplaceTempView(table)
 

@@ -11,8 +11,10 @@ from feedmill.plans.convert import PART_ROWS, convert_batch, convert_lines
 from feedmill.sources.line_files import LOG_GLOB, name_matches
 from feedmill.spec import LineFormat
 
-# Fixed value: time between polls.
+# Fixed value: time between polls, unless a feed has its own.
 PERIOD = "60 seconds"
+# A file is new by its name, however old it is: longer than any file lives.
+ANY_AGE = "36500d"
 
 
 def stream_lines(
@@ -26,6 +28,7 @@ def stream_lines(
         .option("pathGlobFilter", LOG_GLOB)
         .option("recursiveFileLookup", "true")
         .option("fileNameOnly", "true")
+        .option("maxFileAge", ANY_AGE)
         .option("maxFilesPerTrigger", max_files)
     )
     if archive:
@@ -42,12 +45,13 @@ def stream_lines(
     )
 
 
-def _trigger(once: bool) -> dict:
-    return {"availableNow": True} if once else {"processingTime": PERIOD}
+def _trigger(once: bool, period: str) -> dict:
+    return {"availableNow": True} if once else {"processingTime": period}
 
 
 def convert_stream(
-    lines: DataFrame, fmt: LineFormat, layout: Layout, out_dir: str, checkpoint: str, codes: str = "", once: bool = False
+    lines: DataFrame, fmt: LineFormat, layout: Layout, out_dir: str, checkpoint: str, codes: str = "", once: bool = False,
+    period: str = PERIOD,
 ) -> StreamingQuery:
     """Convert lines in one pass: ``reason=ok`` holds output lines, other folders the rejects.
 
@@ -60,14 +64,14 @@ def convert_stream(
         .partitionBy("reason")
         .option("path", out_dir)
         .option("checkpointLocation", checkpoint)
-        .trigger(**_trigger(once))
+        .trigger(**_trigger(once, period))
         .start()
     )
 
 
 def convert_stream_parts(
     lines: DataFrame, fmt: LineFormat, layout: Layout, out_dir: str, reject_dir: str, checkpoint: str,
-    codes: str = "", part_rows: int = PART_ROWS, once: bool = False,
+    codes: str = "", part_rows: int = PART_ROWS, once: bool = False, period: str = PERIOD,
 ) -> StreamingQuery:
     """As convert_stream, but with files of exactly ``part_rows`` lines per input file.
 
@@ -83,6 +87,6 @@ def convert_stream_parts(
     return (
         lines.writeStream.foreachBatch(convert)
         .option("checkpointLocation", checkpoint)
-        .trigger(**_trigger(once))
+        .trigger(**_trigger(once, period))
         .start()
     )

@@ -47,15 +47,18 @@ def test_float_six_is_c_formatting(spark):
 
 
 @settings(max_examples=3, deadline=None, suppress_health_check=list(HealthCheck))
-@given(st.lists(st.floats(-4e9 + 1, 4e9 - 1), min_size=50, max_size=300))
+@given(st.lists(st.one_of(st.floats(-4e9, 4e9), st.floats(-9.2e18, 9.2e18)), min_size=50, max_size=300))
 def test_float_six_property(spark, numbers):
     texts = [repr(n) for n in numbers]
     assert apply(spark, texts, C.float_six) == ["%.6f" % float(t) for t in texts]
 
 
 def test_float_six_missing_and_unreadable(spark):
-    values = ["", None, "abc", "1.5d", "NaN", "1,5", "12345678901234.5"]
-    assert apply(spark, values, C.float_six) == ["", "", None, None, None, None, "12345678901234.500000"]
+    values = ["", None, "abc", "1.5d", "NaN", "1,5", "12345678901234.5", "4000000001.0000005", "9007199254740993", "0.9999999"]
+    assert apply(spark, values, C.float_six) == ["", "", None, None, None, None, *["%.6f" % float(v) for v in values[6:]]]
+    huge = ["1e40", "-1e400", "9223372036854775807", "9.2e18"]
+    assert apply(spark, huge, C.float_six) == [None, None, None, "%.6f" % 9.2e18]
+    assert apply(spark, [*values, *huge], C.is_printable) == [False] * 6 + [True] * 4 + [False] * 3 + [True]
 
 
 KEPT = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789|-"
@@ -109,7 +112,7 @@ def test_time_text(spark):
 def test_small_functions(spark):
     assert apply(spark, ["ID-A-17", "x", "", None], C.drop_last) == ["ID-A-1", "", "", None]
     assert apply(spark, ["7", "", None], lambda c: C.add_suffix(c, "0000")) == ["70000", "", ""]
-    assert apply(spark, ["a,b,,c", None], C.scrub) == ["a b  c", None]
+    assert apply(spark, ["a,b,,c", None, "a\r\nb\n"], C.scrub) == ["a b  c", None, "a  b "]
     assert apply(spark, ["x", None], lambda c: C.concat_text(F.lit("#"), c)) == ["#x", "#"]
     assert apply(spark, ["x", None], lambda c: C.delimited_line([c, F.lit(1), c], "\t")) == ["x\t1\tx", "\t1\t"]
     assert apply(spark, ["\ra\rb\r\r", "a"], C.strip_line_end) == ["a\rb", "a"]

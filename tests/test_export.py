@@ -145,6 +145,28 @@ def test_audit_of_late_keys(spark, ledger, tmp_path):
     # Keys up to the seeded mark and above the current one are not late.
     assert late() == [3, 4, 6, 7, 8]
     assert late(after=5) == [6, 7, 8] and late(after=9) == []
+    # A range whose keys were not kept is left out.
+    plain = ExportRun(out_dir=run.out_dir, now=NOW)
+    export_incremental(spark, FEED, plain, ledger)
+    visible(*range(1, 20))
+    assert late() == [3, 4, 6, 7, 8]
+
+
+def test_a_key_committed_during_the_export_is_reported(spark, ledger, tmp_path, monkeypatch):
+    run = ExportRun(out_dir=str(tmp_path / "out"), now=NOW, keep_keys=True)
+    ledger.close("facts", None, 0, 0, None)
+    facts(spark, 5)
+    spark.table("facts").where("pk <> 3").createOrReplaceTempView("facts")
+    deliver = X.deliver
+
+    def late_commit(*args):
+        result = deliver(*args)
+        facts(spark, 5)
+        return result
+
+    monkeypatch.setattr(X, "deliver", late_commit)
+    assert export_incremental(spark, FEED, run, ledger) == 4
+    assert [r.pk for r in X.audit_late_keys(spark, FEED, run, ledger).collect()] == [3]
 
 
 def test_same_range_delivered_once(spark, ledger):
@@ -169,9 +191,12 @@ def test_seeding(spark, ledger, run):
     empty = FeedSpec(**{**FEED.__dict__, "name": "empty", "table": "nothing"})
     full = FeedSpec(name="full", sql="SELECT 1 AS pk", order_by=("pk",))
     seed(spark, [FEED, off, empty, full], ledger)
-    assert {r.feed: r.end_key for r in ledger.done().collect()} == {"facts": 7, "off": 7}
+    assert {r.feed: r.end_key for r in ledger.done().collect()} == {"facts": 7, "off": 7, "empty": None}
     assert export_incremental(spark, FEED, run, ledger) is None
     assert export_incremental(spark, empty, run, ledger) is None
+    # What fills the table later is delivered from the beginning.
+    spark.table("facts").createOrReplaceTempView("nothing")
+    assert export_incremental(spark, empty, run, ledger) == 7 and ledger.mark("empty") == 7
     late = FeedSpec(**{**FEED.__dict__, "name": "late"})
     assert export_incremental(spark, late, run, ledger) is None and ledger.mark("late") == 7
 

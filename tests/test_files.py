@@ -252,8 +252,45 @@ def test_register_jdbc_bounds_the_new_keys(spark, monkeypatch):
         return spark.range(1, 11).withColumnRenamed("id", "pk")
 
     monkeypatch.setattr(relational, "read_jdbc", read)
+    monkeypatch.setattr(relational, "max_key_jdbc", lambda spark, url, table, key, above, **o: 10 if above < 10 else None)
     relational.register_jdbc(spark, "jdbc:x", "db_facts", "pk", 4, num_partitions=8)
     assert calls[-1] == {"num_partitions": 8, "key": "pk", "bounds": (4, 10)}
     assert spark.table("db_facts").count() == 10
     relational.register_jdbc(spark, "jdbc:x", "db_facts", "pk", 10)
     assert calls[-1] == {}
+
+
+def test_the_database_finds_the_highest_key():
+    from feedmill.sources.relational import max_key_options
+
+    assert max_key_options("jdbc:x", "t", "pk", 4, user="u") == {
+        "url": "jdbc:x",
+        "dbtable": "(select max(pk) as top_key from t where pk > 4) q",
+        "user": "u",
+    }
+    assert max_key_options("jdbc:x", "t", "pk")["dbtable"] == "(select max(pk) as top_key from t) q"
+
+
+def test_a_late_old_file_is_converted_by_the_stream(spark, tmp_path):
+    """A file a month older than the newest one is new all the same; a name that returns is not."""
+    from feedmill.streaming.convert import stream_lines
+
+    folder, out = tmp_path / "in", str(tmp_path / "out")
+    os.makedirs(folder)
+
+    def drop(name, text, days):
+        (folder / name).write_text(text)
+        old = time.time() - days * 86_400
+        os.utime(folder / name, (old, old))
+
+    def poll():
+        lines = stream_lines(spark, str(folder), "a")
+        query = lines.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "ck"))
+        query.trigger(availableNow=True).start().awaitTermination()
+        return sorted(r.line for r in spark.read.parquet(out).collect())
+
+    drop("a1.log", "new", 0)
+    assert poll() == ["new"]
+    drop("a2.log", "late", 30)
+    drop("a1.log", "again", 0)
+    assert poll() == ["late", "new"]
