@@ -209,16 +209,26 @@ def jaccard_classes(
     )
     classes = sketched.where("n > 0").groupBy("cid").agg(F.min("key").alias("rep"), F.first("n").alias("n"), F.first("low").alias("low"))
 
-    # Groups: by min-hash, large ones in blocks.
-    sizes = classes.groupBy("low").agg(F.sum("n").alias("total")).where(F.col("total") > BLOCK_TOKENS)
-    cut = staged(sizes.select(F.col("low").alias("_low"), F.ceil(F.col("total") / BLOCK_TOKENS).alias("blocks")), "blocks")
+    # Groups: by min-hash and size, large ones in blocks. Sets that link are at most one size band apart; one more is
+    # allowed for rounding.
+    band = F.floor(F.log("n") / np.log(100 / min(percent, 99))).cast("int")
+    banded = classes.withColumn("band", band)
+    sizes = banded.groupBy("low", "band").agg(F.sum("n").alias("total")).where(F.col("total") > BLOCK_TOKENS)
+    cut = staged(
+        sizes.select(F.col("low").alias("_low"), F.col("band").alias("_band"), F.ceil(F.col("total") / BLOCK_TOKENS).alias("blocks")),
+        "blocks",
+    )
     block = F.pmod(F.xxhash64("cid"), F.coalesce("blocks", F.lit(1)))
     groups = staged(
-        classes.join(cut, F.col("low") == F.col("_low"), "left").select("cid", "rep", "n", F.xxhash64("low", block).alias("g")),
+        banded.join(cut, (F.col("low") == F.col("_low")) & (F.col("band") == F.col("_band")), "left").select(
+            "cid", "rep", "n", "band", F.xxhash64("low", "band", block).alias("g")
+        ),
         "groups",
     )
 
     # Token order: classes per token, over all stored tokens.
+    need = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    kept = F.least(F.col("n"), need + F.ceil(need / 4) + 8)
     places = sketched.where("tokens IS NOT NULL").select("cid", "n", F.explode("tokens").alias("token"))
     shared = staged(
         places.repartition("token")
@@ -228,45 +238,69 @@ def jaccard_classes(
         .where("df > 1"),
         "tokens",
     )
-    need = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    kept = F.least(F.col("n"), need + F.ceil(need / 4) + 8)
     frequent = shared.where(F.col("df") > hot).groupBy("cid").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("hot"))
-    # How many tokens two sets must share within what is stored; below 1 the set is dense.
-    spare = staged(frequent.select("cid", (kept - F.col("hot") - need + 1).alias("least")), "spare")
-    cold = shared.where(F.col("df") <= hot).join(spare.withColumnRenamed("cid", "_cid"), F.col("cid") == F.col("_cid"), "left")
-    cold = staged(cold.select("token", "cid", F.coalesce("least", kept - need + 1).alias("least")).where("least >= 1"), "cold")
+    # Of the tokens stored of a set, how many that are not frequent any partner must have; below 1 the set is dense.
+    spare = staged(frequent.select(F.col("cid").alias("_cid"), (kept - F.col("hot") - need + 1).alias("_least")), "spare")
+
+    def with_least(tokens: DataFrame) -> DataFrame:
+        joined = tokens.join(spare, F.col("cid") == F.col("_cid"), "left")
+        return joined.withColumn("least", F.coalesce("_least", kept - need + 1)).where("least >= 1").drop("_cid", "_least")
 
     # Sparse sets with each other.
+    cold = staged(with_least(shared.where(F.col("df") <= hot)).select("token", "cid", "n", "least"), "cold")
     pairs = (
         cold.alias("x")
-        .join(cold.alias("y"), F.expr("x.token = y.token AND x.cid < y.cid"))
+        .join(cold.alias("y"), F.expr(f"x.token = y.token AND x.cid < y.cid AND 100 * x.n >= {percent} * y.n AND 100 * y.n >= {percent} * x.n"))
         .groupBy(F.col("x.cid").alias("a"), F.col("y.cid").alias("b"))
         .agg(F.count(F.lit(1)).alias("both"), F.min(F.least("x.least", "y.least")).alias("least"))
         .where("both >= least")
         .select("a", "b")
     )
     of_a, of_b = (groups.select(F.col("cid").alias(c), F.col("g").alias(f"g_{c}")) for c in "ab")
-    pairs = pairs.join(of_a, "a").join(of_b, "b")
+    pairs = staged(pairs.join(of_a, "a").join(of_b, "b"), "pairs")
     ends = (F.least("g_a", "g_b").alias("ga"), F.greatest("g_a", "g_b").alias("gb"))
-    touched = pairs.select(*ends, F.explode(F.array(F.struct(F.col("a").alias("cid"), F.col("g_a").alias("g")), F.struct(F.col("b").alias("cid"), F.col("g_b").alias("g")))).alias("m")).select("ga", "gb", "m.cid", "m.g")
+    touched = pairs.select(*ends, F.col("a").alias("cid"), F.col("g_a").alias("g")).union(
+        pairs.select(*ends, F.col("b").alias("cid"), F.col("g_b").alias("g"))
+    )
 
-    # Dense sets: whole, as a matrix of tokens and groups.
-    dense = staged(groups.join(spare.where("least < 1").select("cid"), "cid").select("cid", "rep", "g"), "dense")
-    full = docs.join(dense, F.col("key").eqNullSafe(F.col("rep"))).select("g", "cid", F.explode(_shingles_of(n)("text")).alias("token"))
-    matrix = staged(full.groupBy("token", "g").agg(F.min("cid").alias("one"), F.max("cid").alias("other")), "matrix")
-    dense_pairs = (
+    # Dense sets: whole, as a matrix of tokens and groups. A sparse set needs its share of stored tokens in a group's
+    # union, two groups of dense sets as many tokens in common as the smaller bound of either's members.
+    dense = staged(groups.join(spare.where("_least < 1"), F.col("cid") == F.col("_cid")).select("cid", "rep", "n", "band", "g"), "dense")
+    full = docs.join(dense, F.col("key").eqNullSafe(F.col("rep"))).select(
+        "g", "band", "cid", F.explode(_shingles_of(n)("text")).alias("token")
+    )
+    matrix = staged(full.groupBy("token", "g").agg(F.first("band").alias("band"), F.min("cid").alias("one"), F.max("cid").alias("other")), "matrix")
+    least_of = dense.groupBy("g").agg(F.min("n").alias("smallest"))
+    near = "abs(x.band - y.band) <= 2"
+    common = (
         matrix.alias("x")
-        .join(matrix.alias("y"), F.expr("x.token = y.token AND x.g <= y.g AND (x.g < y.g OR x.one < x.other)"))
-        .select(F.col("x.g").alias("ga"), F.col("y.g").alias("gb"))
-        .distinct()
+        .join(matrix.alias("y"), F.expr(f"x.token = y.token AND x.g <= y.g AND (x.g < y.g OR x.one < x.other) AND {near}"))
+        .groupBy(F.col("x.g").alias("ga"), F.col("y.g").alias("gb"))
+        .agg(F.count(F.lit(1)).alias("both"))
     )
-    sparse_dense = (
-        cold.join(matrix.select("token", F.col("g").alias("g_b")), "token")
-        .select("cid", "g_b")
+    smallest = [least_of.select(F.col("g").alias(g), F.col("smallest").alias(f"_{g}")) for g in ("ga", "gb")]
+    dense_pairs = (
+        common.join(smallest[0], "ga")
+        .join(smallest[1], "gb")
+        .where(F.col("both") * 100 >= F.greatest("_ga", "_gb") * percent)
+        .select("ga", "gb")
+    )
+    few = shared.where(F.col("df") > hot).select("token").distinct()
+    with_dense = (
+        places.join(matrix.select("token", F.col("g").alias("g_b"), F.col("band").alias("band_b")), "token")
+        .where(F.abs(F.col("band_b") - band) <= 2)
+        .join(few, "token", "left_anti")
         .distinct()
+    )
+    with_dense = (
+        with_least(with_dense)
+        .groupBy("cid", "g_b")
+        .agg(F.count(F.lit(1)).alias("both"), F.first("least").alias("least"))
+        .where("both >= least")
         .join(groups.select("cid", F.col("g").alias("g_a")), "cid")
+        .select("cid", "g_a", *ends)
     )
-    with_dense = staged(sparse_dense.select("cid", "g_a", *ends).distinct(), "sparse-dense")
+    with_dense = staged(with_dense, "sparse-dense")
     dense_ends = dense_pairs.union(with_dense.select("ga", "gb")).distinct()
     side = dense_ends.select("ga", "gb", F.explode(F.array_distinct(F.array("ga", "gb"))).alias("g"))
     touched = touched.union(side.join(dense, "g").select("ga", "gb", "cid", "g")).union(
