@@ -2,10 +2,10 @@
 
 1. A document is the set of hashes of its word n-grams; equal sets are one class, and one document of each stands for it.
 2. Classes fall into groups by their min-hash, so that a group's members are alike; a group that is large is cut into blocks.
-3. Tokens have one order: frequent ones last, by hash otherwise. Two sets that link must share tokens among the first of each
-   (the prefix principle), at least as many as the shorter of their prefixes is longer than it need be.
-   Frequent tokens count only for the few dense sets that have hardly any other: these are kept as a matrix
-   of tokens and groups, so that a large family of near copies costs a row per token and group, not per pair.
+3. Tokens have one order: by hash, but those last that many documents share. Two sets that link must share tokens among
+   the first of each (the prefix principle), at least as many as the shorter of their prefixes is longer than it need be.
+   Tokens that are frequent even so count only for the few dense sets that have hardly any other: these are kept as a
+   matrix of tokens and groups, so that a large family of near copies costs a row per token and group, not per pair.
 4. Pairs of groups that qualify are opened: a task gets the touched members' texts, bounds each member's overlap with the
    other group's token union, and compares the members that pass with exact counts.
 5. Links become connected components.
@@ -30,6 +30,10 @@ from feedmill.llm.text import LOWER, SPACES, Hashes, mix, slices, words_of
 
 # A token in the prefixes of more classes than this is frequent. It changes the work only, not the result.
 FREQUENT = 32
+# Tokens put last in the order are those that this share of the documents of some batch have, the most frequent first, and
+# no more of them than go to every task. Any choice gives the same result.
+COMMON_SHARE = 0.002
+COMMON_MOST = 50_000
 # N-grams in a group before it is cut into blocks.
 BLOCK_TOKENS = 40_000
 # Columns of a comparison's token table at a time.
@@ -58,7 +62,34 @@ def shingle_sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
         yield np.unique(mix(total))
 
 
-def _sketch(n: int, percent: int, key_type: pa.DataType) -> Callable:
+def common_tokens(texts: DataFrame, n: int) -> np.ndarray:
+    """Sorted hashes of the shingles that many documents share, counted over all of them.
+
+    A shingle that a share of all documents has, has it in some batch as well, so tasks pass on only those.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = list(shingle_sets(batch.column(0), n))
+            own, counts = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_counts=True)
+            some = np.flatnonzero(counts >= max(8, COMMON_SHARE * len(sets)))
+            yield pa.RecordBatch.from_arrays([pa.array(own[some].astype(np.int64)), pa.array(counts[some])], names=["token", "docs"])
+
+    counted = texts.mapInArrow(count, "token bigint, docs bigint").groupBy("token").agg(F.sum("docs").alias("docs"))
+    most = counted.orderBy(F.desc("docs"), "token").limit(COMMON_MOST).select("token").toArrow().column(0)
+    return np.sort(most.to_numpy().astype(np.uint64))
+
+
+def in_order(tokens: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """A sorted set in token order: those in ``common`` last."""
+    if not len(common):
+        return tokens
+    place = np.minimum(np.searchsorted(common, tokens), len(common) - 1)
+    last = common[place] == tokens
+    return np.concatenate([tokens[~last], tokens[last]])
+
+
+def _sketch(n: int, percent: int, key_type: pa.DataType, common: np.ndarray) -> Callable:
     """Per document: class, set size, min-hash, and the start of its token order. The tokens are given once per class
     and task, so many copies of one text do not multiply them."""
     schema = pa.schema(
@@ -79,7 +110,7 @@ def _sketch(n: int, percent: int, key_type: pa.DataType) -> Callable:
                 cid = int(np.sum(mix(own ^ np.uint64(0xA5A5)), dtype=np.uint64).astype(np.int64))
                 cids.append(cid)
                 lows.append(int(np.min(mix(own ^ np.uint64(0x5A5A))).astype(np.int64)))
-                tokens.append(None if cid in seen else own[: stored(len(own), percent)].astype(np.int64))
+                tokens.append(None if cid in seen else in_order(own, common)[: stored(len(own), percent)].astype(np.int64))
                 seen.add(cid)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -203,7 +234,7 @@ def jaccard_classes(
     kind = docs.schema["key"].dataType.simpleString()
     sketched = staged(
         docs.mapInArrow(
-            _sketch(n, percent, key_type), f"key {kind}, cid bigint, n bigint, low bigint, tokens array<bigint>"
+            _sketch(n, percent, key_type, common_tokens(docs.select("text"), n)), f"key {kind}, cid bigint, n bigint, low bigint, tokens array<bigint>"
         ),
         "sketch",
     )
@@ -310,7 +341,8 @@ def jaccard_classes(
 
     # Open: each group pair in one task, with the texts of its touched members.
     wanted = staged(opened.select("cid", "rep").distinct(), "wanted")
-    texts = docs.join(wanted, F.col("key").eqNullSafe(F.col("rep"))).select("cid", "text").dropDuplicates(["cid"])
+    # Texts are shuffled at any size, so that the plan does not change with it.
+    texts = docs.join(wanted.hint("merge"), F.col("key").eqNullSafe(F.col("rep"))).select("cid", "text").dropDuplicates(["cid"])
     links = staged(
         opened.select("ga", "gb", "g", "cid").join(texts, "cid").groupBy("ga", "gb").applyInArrow(_open(n, percent), "a bigint, b bigint"),
         "found",
