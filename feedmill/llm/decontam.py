@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedmill.llm.staging import staged
-from feedmill.llm.text import LOWER, Hashes, mix, slices, words_of
+from feedmill.llm.text import LOWER, Hashes, mix, row_runs, slices, words_of
 from feedmill.llm.toxicity import LETTERS
 
 # Words in a block. Windows begin at every block and have as many blocks as an item part fills, two at least, so one of
@@ -31,7 +31,7 @@ BLOCK = 16
 # Words of a text worked at a time, and blocks that a window reaches beyond.
 PIECE = BLOCK * 8192
 BEYOND = 5
-PORTION = 250_000
+PORTION = 60_000
 # Items are compared in parts of this many words: the bits of a machine word.
 PART = 64
 MATCH = "array<struct<item:int,start:bigint,cosine:double,lcs:double,answered:boolean>>"
@@ -165,7 +165,8 @@ def window_sums(sums: np.ndarray, blocks: int) -> np.ndarray:
 
 def stored_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
     for batch in batches:
-        yield [np.frombuffer(b.as_py() or b"", dtype=np.int32) for b in batch.column(0)]
+        for at in range(0, batch.num_rows, 1000):
+            yield [np.frombuffer(b.as_py() or b"", dtype=np.int32) for b in batch.column(0).slice(at, 1000)]
 
 
 def inverse_frequencies(numbers: DataFrame, words: int) -> np.ndarray:
@@ -381,7 +382,8 @@ def _search(df: DataFrame, bench: Benchmark, text: str, dims: int, least_cosine:
 
     @F.arrow_udf("binary")
     def numbered(texts: pa.Array) -> pa.Array:
-        return pa.array([n.tobytes() for n in numbers_by_row(texts, hashes)], pa.binary())
+        runs = [pa.array([n.tobytes() for n in numbers_by_row(own, hashes)], pa.binary()) for own in row_runs(texts)]
+        return pa.concat_arrays([*runs, pa.array([], pa.binary())])
 
     numbers = staged(df.select(numbered(F.col(text)).alias("numbers")), "numbers")
     idf = inverse_frequencies(numbers, len(hashes))
@@ -392,6 +394,6 @@ def _search(df: DataFrame, bench: Benchmark, text: str, dims: int, least_cosine:
         kind = pa.list_(
             pa.struct([("item", pa.int32()), ("start", pa.int64()), ("cosine", pa.float64()), ("lcs", pa.float64()), ("answered", pa.bool_())])
         )
-        return pa.array(retriever.matches(texts), kind)
+        return pa.array([found for own in row_runs(texts) for found in retriever.matches(own)], kind)
 
     return leaks

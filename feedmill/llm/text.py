@@ -95,6 +95,16 @@ def slices(column: pa.Array, size: int = SLICE_BYTES) -> Iterator[Slice]:
         row += 1
 
 
+def row_runs(column: pa.Array, size: int = 4 * SLICE_BYTES) -> Iterator[pa.Array]:
+    """The array in runs of rows with about ``size`` bytes, for work that keeps something of each text."""
+    _, bounds = string_buffer(column)
+    row = 0
+    while row < len(column):
+        end = max(row + 1, int(np.searchsorted(bounds, bounds[row] + size, side="right")) - 1)
+        yield column.slice(row, end - row)
+        row = end
+
+
 class Hashes:
     """Hash of any span of bytes, from prefix sums of byte * BASE**place modulo 2**64."""
 
