@@ -26,20 +26,26 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.score_quality(docs, model, score="_quality").where("_quality >= 0.5").select(*docs.columns)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """A staged copy in which ``_row`` is each row's own number, and ``_digest`` orders rows alike on every run."""
+    return staged(docs.withColumn("_digest", F.xxhash64(*docs.columns)).withColumn("_row", F.monotonically_increasing_id()), "numbered")
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by five-word shingles at a similarity of 0.8, directly or not, the one of smallest id.
 
-    Documents without words link with nothing and stay. Of repeated ids one row stays, also of NULL ids.
+    Rows are compared by their texts alone: rows of one id, or of none, whose texts are unlike all stay. NULL ids come last.
+    Documents without words link with nothing and stay; of those that repeat an id, or NULL, one row stays.
     """
-    classes = staged(jaccard.jaccard_classes(docs, n=5, percent=80), "near-duplicates")
-    first = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    kept = classes.where(first).groupBy(F.col("doc_id").alias("_kept")).agg(F.count(F.lit(1)).alias("_rows"))
-    kept = staged(kept, "kept")
-    found = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")))
-    once, often = found.where("_rows = 1"), found.where("_rows > 1")
-    if kept.where("_rows > 1").isEmpty():
-        return once.select(*docs.columns)
-    return once.union(often.dropDuplicates(["doc_id"])).select(*docs.columns)
+    rows = numbered(docs)
+    classes = jaccard.jaccard_classes(rows.select("_row", "text"), n=5, percent=80, key="_row")
+    classes = staged(classes.withColumnRenamed("_row", "_of"), "near-duplicates")
+    found = rows.select("_row", "_digest", "doc_id").join(classes, F.col("_row") == F.col("_of"))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_digest", "_row")).alias("_first")
+    linked = found.where("n_shingles > 0").groupBy("component_id").agg(first)
+    wordless = found.where("n_shingles = 0").groupBy("doc_id").agg(first)
+    kept = staged(linked.select("_first._row").union(wordless.select("_first._row")), "kept")
+    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
 
 
 def drop_leaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,11 +55,15 @@ def drop_leaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix draws, with their ``size``, source's ``target``, words ``taken`` and number of ``draws``."""
-    taken = mixing.taken_per_document(mixing.mix(docs, weights=(5, 2, 1), share=1.5, repeats=2)).where("taken > 0")
-    lean = taken.select(F.col("doc_id").alias("_id"), "size", "source_size", "target", "taken", "draws")
+    """The documents that the mix draws, with their ``size``, source's ``target``, words ``taken`` and number of ``draws``.
+
+    Rows that repeat an id, or have none, are documents of their own."""
+    rows = numbered(docs)
+    draws = mixing.mix(rows, weights=(5, 2, 1), share=1.5, repeats=2, carried=("_digest", "_row"))
+    taken = mixing.taken_per_document(draws, carried=("_row",)).where("taken > 0")
+    lean = taken.select(F.col("_row").alias("_of"), "size", "source_size", "target", "taken", "draws")
     kept = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken", "draws")]
-    return docs.select(*kept).join(lean, F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id")
+    return rows.select(*kept, "_row").join(lean, F.col("_row") == F.col("_of")).drop("_row", "_of")
 
 
 STAGES = [

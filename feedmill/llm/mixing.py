@@ -54,25 +54,26 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, rep
 
 
 def queue_documents(
-    docs: DataFrame, weights: Sequence[float], share: float, repeats: int, key: str = "doc_id"
+    docs: DataFrame, weights: Sequence[float], share: float, repeats: int, key: str = "doc_id", carried: Sequence[str] = ()
 ) -> DataFrame:
     """Give each document its place in its source's queue.
 
     ``docs`` has the key, ``source`` and ``size``. The result adds ``source_size``, ``target``, ``before`` (words
     of the source ahead of it) and ``number`` (its rank there, from 0). A source is shuffled by the digest of its
     keys, so reruns agree. Only these few columns are sorted; a source with most rows is cut by the digest.
+    Columns ``carried`` go with each document and order those of equal key and size.
     """
     shuffle = F.md5(F.col(key).cast("string"))
-    lean = docs.select(key, "source", "size", shuffle.alias("_shuffle"), F.lit(1).alias("_one"))
+    lean = docs.select(key, "source", "size", *carried, shuffle.alias("_shuffle"), F.lit(1).alias("_one"))
     targets = staged(source_targets(lean, weights, share, repeats), "targets")
-    queued = running_totals(lean, {"before": "size", "number": "_one"}, ("_shuffle", key, "size"), ("source",))
+    queued = running_totals(lean, {"before": "size", "number": "_one"}, ("_shuffle", key, "size", *carried), ("source",))
     sided = targets.withColumnRenamed("source", "_source")
     return queued.join(sided, F.col("source").eqNullSafe(F.col("_source"))).select(
-        key, "source", "size", "source_size", "target", "before", "number"
+        key, "source", "size", *carried, "source_size", "target", "before", "number"
     )
 
 
-def draw(queued: DataFrame, repeats: int, key: str = "doc_id") -> DataFrame:
+def draw(queued: DataFrame, repeats: int, key: str = "doc_id", carried: Sequence[str] = ()) -> DataFrame:
     """Serve the queues in the order of virtual finish time, cumulative source words over target, up to the budget.
 
     Each row is one draw of a document: ``round`` (0 for its first), ``taken`` words, ``finish``, and
@@ -87,7 +88,7 @@ def draw(queued: DataFrame, repeats: int, key: str = "doc_id") -> DataFrame:
         rounds.withColumn("taken", F.greatest(F.lit(0), F.least(F.col("size"), rest)))
         .withColumn("finish", F.when(F.col("target") > 0, (start + F.col("size")) / F.col("target")))
         .where((F.col("taken") > 0) | (F.col("round") == 0))
-        .select(key, "source", "size", "source_size", "target", "number", "round", "taken", "finish")
+        .select(key, "source", "size", *carried, "source_size", "target", "number", "round", "taken", "finish")
     )
     return running_totals(served, {"position": "taken"}, ("finish", "source", "round", "number", key))
 
@@ -99,22 +100,24 @@ def mix(
     repeats: int = 2,
     key: str = "doc_id",
     text: str = "text",
+    carried: Sequence[str] = (),
 ) -> DataFrame:
     """Draws of ``docs`` (key, ``source``, text) that bring each source to its target; see :func:`draw`.
 
     Empty and NULL texts have size 0 and are never drawn; an empty table gives no rows; repeated rows queue one
-    behind the other; NULL sources are one source, the last; NULL keys queue last; other columns are ignored.
+    behind the other; NULL sources are one source, the last; NULL keys queue last; columns ``carried`` go with each draw, other columns are ignored.
     """
-    sized = docs.select(F.col(key), F.col("source"), word_count(F.col(text)).alias("size"))
-    return draw(queue_documents(sized, weights, share, repeats, key), repeats, key)
+    sized = docs.select(F.col(key), F.col("source"), word_count(F.col(text)).alias("size"), *carried)
+    return draw(queue_documents(sized, weights, share, repeats, key, carried), repeats, key, carried)
 
 
-def taken_per_document(draws: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Words each document gives to the mix, over all its draws."""
+def taken_per_document(draws: DataFrame, key: str = "doc_id", carried: Sequence[str] = ()) -> DataFrame:
+    """Words each document gives to the mix, over all its draws, with the columns it has ``carried``."""
     return draws.groupBy(key, "source", "number").agg(
         F.first("size").alias("size"),
         F.first("source_size").alias("source_size"),
         F.first("target").alias("target"),
         F.sum("taken").alias("taken"),
         F.sum(F.when(F.col("taken") > 0, 1).otherwise(0)).alias("draws"),
+        *[F.first(c).alias(c) for c in carried],
     )

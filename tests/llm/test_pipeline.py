@@ -38,3 +38,26 @@ def test_one_of_repeated_rows_stays(spark):
     docs = spark.createDataFrame(rows, read_table(spark, SF_DIR, "documents").schema)
     got = corpus_pipeline.drop_near_duplicates(spark, docs, SF_DIR).collect()
     assert sorted(str(r.doc_id) for r in got) == ["1", "None"]
+
+
+def unlike(i, words=12):
+    return " ".join(f"d{i}w{k}" for k in range(words))
+
+
+def test_unlike_rows_of_one_id_stay(spark):
+    rows = [(None, unlike(i), "en", "s", 11) for i in range(4)] + [(7, unlike(i), "en", "s", 11) for i in range(4, 7)]
+    # Near copies: under the same id, without an id, and of a row whose id is smaller.
+    rows += [(7, unlike(4, 11), "en", "s", 11), (None, unlike(1, 11), "en", "s", 11), (3, unlike(6), "en", "s", 11)]
+    docs = spark.createDataFrame(rows, read_table(spark, SF_DIR, "documents").schema)
+    got = corpus_pipeline.drop_near_duplicates(spark, docs, SF_DIR).collect()
+    assert len(got) == 7 and {r.text.split()[0] for r in got} == {f"d{i}w0" for i in range(7)}
+    assert sorted((str(r.doc_id), r.text.split()[0]) for r in got if r.text.startswith("d6")) == [("3", "d6w0")]
+
+
+def test_mix_of_repeated_ids_keeps_each_row_once(spark):
+    rows = [(None, unlike(i), "en", "s", 11) for i in range(3)] + [(7, unlike(i), "en", "t", 11) for i in range(3, 6)]
+    docs = spark.createDataFrame(rows, read_table(spark, SF_DIR, "documents").schema)
+    got = corpus_pipeline.mix_sources(spark, docs, SF_DIR).collect()
+    texts = [r.text for r in got]
+    assert len(texts) == len(set(texts)) <= len(rows) and all(r.size == 12 and 0 < r.taken <= 24 for r in got)
+    assert {s: sum(r.taken for r in got if r.source == s) for s in "st"} == {r.source: int(r.target) for r in got}
