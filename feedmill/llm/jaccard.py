@@ -89,6 +89,10 @@ def in_order(tokens: np.ndarray, common: np.ndarray) -> np.ndarray:
     return np.concatenate([tokens[~last], tokens[last]])
 
 
+def class_of(tokens: np.ndarray) -> int:
+    return int(np.sum(mix(tokens ^ np.uint64(0xA5A5)), dtype=np.uint64).astype(np.int64))
+
+
 def _sketch(n: int, percent: int, key_type: pa.DataType, common: np.ndarray) -> Callable:
     """Per document: class, set size, min-hash, and the start of its token order. The tokens are given once per class
     and task, so many copies of one text do not multiply them."""
@@ -107,7 +111,7 @@ def _sketch(n: int, percent: int, key_type: pa.DataType, common: np.ndarray) ->
                     lows.append(None)
                     tokens.append(None)
                     continue
-                cid = int(np.sum(mix(own ^ np.uint64(0xA5A5)), dtype=np.uint64).astype(np.int64))
+                cid = class_of(own)
                 cids.append(cid)
                 lows.append(int(np.min(mix(own ^ np.uint64(0x5A5A))).astype(np.int64)))
                 tokens.append(None if cid in seen else in_order(own, common)[: stored(len(own), percent)].astype(np.int64))
@@ -126,6 +130,24 @@ def _sketch(n: int, percent: int, key_type: pa.DataType, common: np.ndarray) ->
     return run
 
 
+def _texts(n: int) -> Callable:
+    """A text of each class, given once per class and task. Keys do not name a text: they may repeat, or be NULL."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            cids, rows = [], []
+            for row, own in enumerate(shingle_sets(batch.column(0), n)):
+                if len(own) and (cid := class_of(own)) not in seen:
+                    seen.add(cid)
+                    cids.append(cid)
+                    rows.append(row)
+            texts = batch.column(0).take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(cids, pa.int64()), texts], names=["cid", "text"])
+
+    return run
+
+
 def needed(n: int, percent: int) -> int:
     """Length of the prefix in which sets that link must share a token."""
     return n - ceil(percent * n / 100) + 1
@@ -230,6 +252,7 @@ def jaccard_classes(
     """
     spark = df.sparkSession
     docs = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    texts = docs.select("text").mapInArrow(_texts(n), "cid bigint, text string")
     key_type = spark.createDataFrame([], docs.select("key").schema).toArrow().schema.field(0).type
     kind = docs.schema["key"].dataType.simpleString()
     sketched = staged(
@@ -296,10 +319,8 @@ def jaccard_classes(
 
     # Dense sets: whole, as a matrix of tokens and groups. A sparse set needs its share of stored tokens in a group's
     # union, two groups of dense sets as many tokens in common as the smaller bound of either's members.
-    dense = staged(groups.join(spare.where("_least < 1"), F.col("cid") == F.col("_cid")).select("cid", "rep", "n", "band", "g"), "dense")
-    full = docs.join(dense, F.col("key").eqNullSafe(F.col("rep"))).select(
-        "g", "band", "cid", F.explode(_shingles_of(n)("text")).alias("token")
-    )
+    dense = staged(groups.join(spare.where("_least < 1"), F.col("cid") == F.col("_cid")).select("cid", "n", "band", "g"), "dense")
+    full = texts.join(dense, "cid").dropDuplicates(["cid"]).select("g", "band", "cid", F.explode(_shingles_of(n)("text")).alias("token"))
     matrix = staged(full.groupBy("token", "g").agg(F.first("band").alias("band"), F.min("cid").alias("one"), F.max("cid").alias("other")), "matrix")
     least_of = dense.groupBy("g").agg(F.min("n").alias("smallest"))
     near = "abs(x.band - y.band) <= 2"
@@ -337,12 +358,12 @@ def jaccard_classes(
     touched = touched.union(side.join(dense, "g").select("ga", "gb", "cid", "g")).union(
         with_dense.select("ga", "gb", "cid", F.col("g_a").alias("g"))
     )
-    opened = staged(touched.distinct().join(groups.select("cid", "rep"), "cid"), "opened")
+    opened = staged(touched.distinct(), "opened")
 
     # Open: each group pair in one task, with the texts of its touched members.
-    wanted = staged(opened.select("cid", "rep").distinct(), "wanted")
+    wanted = staged(opened.select("cid").distinct(), "wanted")
     # Texts are shuffled at any size, so that the plan does not change with it.
-    texts = docs.join(wanted.hint("merge"), F.col("key").eqNullSafe(F.col("rep"))).select("cid", "text").dropDuplicates(["cid"])
+    texts = texts.join(wanted.hint("merge"), "cid").dropDuplicates(["cid"])
     links = staged(
         opened.select("ga", "gb", "g", "cid").join(texts, "cid").groupBy("ga", "gb").applyInArrow(_open(n, percent), "a bigint, b bigint"),
         "found",

@@ -87,6 +87,28 @@ def test_jaccard_of_null_keys_and_repeats(spark):
     assert jaccard.jaccard_classes(spark.createDataFrame([], DOCS)).count() == 0
 
 
+@pytest.mark.parametrize("hot", [2, 32])
+def test_jaccard_of_near_copies_under_shared_keys(spark, hot):
+    chance = random.Random(hot)
+    rows = []
+    for family in range(8):
+        base = [f"f{family}w{k}" for k in range(40)]
+        for copy in range(8):
+            own = [*base, f"x{chance.randrange(10_000)}"] if copy else base
+            rows.append(((None, 5, 6, 100 + len(rows))[chance.randrange(4)], " ".join(own)))
+    rows += [(None, "unlike " + " ".join(f"u{i}w{k}" for k in range(20))) for i in range(20)]
+    df = spark.createDataFrame([(k, t, "s") for k, t in rows], DOCS)
+    for n, percent in ((3, 90), (5, 80)):
+        got = jaccard.jaccard_classes(df, n, percent, hot=hot).collect()
+        plain = plain_components({i: t for i, (_, t) in enumerate(rows)}, n, percent)
+        keys: dict = {}
+        for i, (_, root) in plain.items():
+            keys.setdefault(root, []).append(rows[i][0])
+        least = {root: min((k for k in own if k is not None), default=None) for root, own in keys.items()}
+        want = [(rows[i][0], size, least[root]) for i, (size, root) in plain.items()]
+        assert sorted(map(str, want)) == sorted(str((r.doc_id, r.n_shingles, r.component_id)) for r in got)
+
+
 def test_components_of_a_long_chain(spark):
     links = [(i, i + 1) for i in range(120)] + [(200, 201), (201, 200), (7, 7), (None, 3)]
     got = components.connected_components(spark.createDataFrame(links, "a long, b long")).collect()
