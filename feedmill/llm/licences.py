@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-# A candidate is one number: template * SPAN + start.
+# A candidate is one number: template * SPAN + start + the longest template's length, as a start may be before the text.
 SPAN = 1 << 40
 
 
@@ -120,7 +120,7 @@ def _literal_templates(templates: Sequence[Template], idf: dict[str, float]) ->
 def _literal_postings(templates: Sequence[Template], idf: dict[str, float], anchors: int) -> Column:
     return F.array(
         *[
-            F.struct(F.lit(word).alias("word"), F.lit(number).cast("long").alias("template"), F.lit(at).alias("at"))
+            F.struct(F.lit(word).alias("word"), F.lit(number).cast("long").alias("template"), F.lit(at).alias("at"), F.lit(at - t.key_at).alias("after_key"))
             for number, t in enumerate(templates)
             for word in rare_words(t, idf, 1 if t.base else anchors)
             for at in range(len(t.words))
@@ -137,7 +137,8 @@ def scan_licences(
 
     Rows are judged on their own, without a shuffle; a scan before that counts the licence words. Base phrases match word for
     word, found by their rarest word; notices by any of their ``anchors`` rarest words, if the key phrase stands whole
-    and ``least`` of the IDF weight is in place. NULL and empty texts have no words and no label; repeated rows stay.
+    and ``least`` of the IDF weight is in place. A notice whose lead words are missing before the text's first word has a
+    ``start`` below 0. NULL and empty texts have no words and no label; repeated rows stay.
     """
     templates = [*base, *notices]
     added = ("n_words", "places", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
@@ -148,17 +149,18 @@ def scan_licences(
 
     words, tables = F.col("_words"), _literal_templates(templates, idf)
     postings = _literal_postings(templates, idf, anchors)
+    longest = max((len(t.words) for t in templates), default=0)
     hits = F.filter(F.transform(words, lambda w, i: F.when(w.isin(index), i)), lambda i: i.isNotNull())
 
     def starts(i: Column) -> Column:
-        own = F.filter(postings, lambda p: (p["word"] == F.get(words, i)) & (p["at"] <= i))
-        return F.transform(own, lambda p: p["template"] * F.lit(SPAN) + (i - p["at"]))
+        own = F.filter(postings, lambda p: (p["word"] == F.get(words, i)) & (p["after_key"] <= i))
+        return F.transform(own, lambda p: p["template"] * F.lit(SPAN) + (i - p["at"] + longest))
 
     candidates = F.array_distinct(F.flatten(F.transform(F.col("_hits"), starts)))
 
     def verified(c: Column) -> Column:
         t = F.get(tables, F.shiftright(c, 40).cast("int"))
-        start = (c % F.lit(SPAN)).cast("int")
+        start = (c % F.lit(SPAN)).cast("int") - longest
         weight = F.aggregate(
             F.sequence(F.lit(0), F.size(t["words"]) - 1),
             F.lit(0.0),

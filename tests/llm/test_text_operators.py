@@ -104,6 +104,19 @@ def test_licences_on_odd_rows(spark):
     assert licences.scan_licences(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_licence_of_a_text_that_begins_with_the_key_phrase(spark):
+    heads = {"gpl-3": "GNU General Public License version 3", "cc-by-sa": "CC BY-SA 4.0", "unlicense": "unencumbered software released into the public domain"}
+    rows = [(i, f"{lead}{head}") for i, (lead, head) in enumerate((lead, head) for head in heads.values() for lead in ("", "one two three "))]
+    # Common lead words weigh little; a text may also end before or begin after a key phrase.
+    rows += [(100 + i, "licensed under the free and") for i in range(400)] + [(50, "general public license version 3"), (51, "SA 4.0"), (52, "GNU")]
+    got = {r.doc_id: r for r in licences.scan_licences(spark.createDataFrame(rows, SCHEMA)).collect()}
+    for i, label in enumerate(heads):
+        first, later = got[2 * i], got[2 * i + 1]
+        assert label in first.labels.split(",") and first.labels == later.labels and first.score == later.score
+        assert [p.start + 3 for p in first.places] == [p.start for p in later.places]
+    assert [got[i].labels for i in (50, 51, 52, 100)] == ["", "", "", ""]
+
+
 VOCABULARY = b"\n".join(base64.b64encode(bytes([i])) + b" " + str(i).encode() for i in range(256))
 
 
