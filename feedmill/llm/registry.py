@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedmill.llm import ann, chat, decontam, jaccard, licences, mixing, quality, tokens, toxicity, urls
+from feedmill.llm import ann, chat, decontam, jaccard, licences, mixing, quality, sharding, tokens, toxicity, urls
 from feedmill.llm.samples import crc_fold
 from feedmill.sources.relational import read_table
 
@@ -171,3 +171,18 @@ def op10_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontam.find_leaks(docs, read_table(spark, sf_dir, "benchmark"))
     return found.where(F.size("leaks") > 0).select("doc_id", F.inline("leaks"))
+
+
+@query()
+def op12_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = sharding.sized(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    lean = docs.withColumn("doc", F.col("doc").dropFields("text"))
+    return sharding.place(lean, shards=24, tolerance=0.01).select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
