@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedmill.llm import ann, chat, decontam, jaccard, licences, mixing, quality, sharding, tokens, toxicity, urls
+from feedmill.llm import ann, chat, crosstok, decontam, jaccard, licences, mixing, negatives, quality, sharding, tokens, toxicity, urls
 from feedmill.llm.samples import crc_fold
 from feedmill.sources.relational import read_table
 
@@ -186,3 +187,42 @@ def op12_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+@query(
+    """
+    WITH v AS (
+        SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, row_number() OVER () AS r,
+               list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS c
+        FROM embeddings
+        WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    scored AS (
+        SELECT a.r, a.vec_id AS anchor_id, b.vec_id AS other_id, b.r AS other_r, a.label = b.label AS same,
+               list_dot_product(a.c, b.c)::BIGINT AS score
+        FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.r <> b.r AND len(a.c) = len(b.c)),
+    positives AS (
+        SELECT r, anchor_id, other_id AS positive_id, other_r AS positive_r, score AS positive_score FROM scored WHERE same
+        QUALIFY row_number() OVER (PARTITION BY r ORDER BY score DESC, other_id, other_r) <= 5)
+    SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score
+    FROM (SELECT p.anchor_id, positive_id, s.other_id AS negative_id, positive_score, s.score AS negative_score,
+                 row_number() OVER (PARTITION BY p.r, positive_r ORDER BY s.score DESC, s.other_id, s.other_r)::INT AS rank
+          FROM positives p JOIN scored s ON p.r = s.r AND NOT s.same
+               AND 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score)
+    WHERE rank <= 10
+    """
+)
+def op13_kronecker_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    moved = F.when(F.col("vec_id") % 7 == 0, F.pmod(F.col("label") + 1, F.lit(10))).otherwise(F.col("label"))
+    return negatives.hard_negatives(
+        vectors.withColumn("label", moved), F.col("vec_id") % 100 == 0, positives=5, negatives=10, low=30, high=90, scale=256
+    )
+
+
+TOKENIZERS = ("/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model")
+
+
+@query()
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str, files: tuple[str, str] = TOKENIZERS) -> DataFrame:
+    vocabularies = crosstok.Vocabularies(*(Path(f).read_bytes() for f in files))
+    return crosstok.align_tokenizers(read_table(spark, sf_dir, "documents").select("doc_id", "text"), vocabularies)
