@@ -104,6 +104,16 @@ def concat_text(*parts: Column) -> Column:
     return F.concat(*[F.coalesce(p.cast("string"), F.lit("")) for p in parts])
 
 
+def byte_text(line: Column) -> Column:
+    """A line's bytes as one character each, so that every text function works on bytes and loses none of them."""
+    return F.decode(line.cast("binary"), "ISO-8859-1")
+
+
+def text_bytes(text: Column) -> Column:
+    """The bytes that :func:`byte_text` stands for, as a line again."""
+    return F.encode(text, "ISO-8859-1").cast("string")
+
+
 def split_line(line: Column, delimiter: str = ",") -> Column:
     """All fields of a line, trailing empty ones included; no quoting."""
     quoted = delimiter if delimiter not in r".$|()[{^?*+\\" else "\\" + delimiter

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedmill.functions.columns import add_suffix, delimited_line, drop_last, epoch_seconds, float_six
+from feedmill.functions.columns import add_suffix, delimited_line, drop_last, epoch_seconds, float_six, text_bytes
 from feedmill.spec import LineFormat
 
 Layout = Callable[[DataFrame], DataFrame]
@@ -23,8 +23,8 @@ NARROW_HEAD = ("0008", "8", "")
 NARROW_STATE = "01"
 WIDE_INPUT = LineFormat(
     fields=(
-        "info", "model", "start_time", "id_a", "id_b", "longitude", "latitude", "record_time", "kind",
-        "id_d", "level", "band", "address", "device_code", "vendor", "region_code", "id_c",
+        "c0", "c1", "c2", "id_a", "id_b", "longitude", "latitude", "record_time", "c8", "c9", "c10", "c11", "c12",
+        "device_code", "c14", "c15", "id_c",
     ),
     code_field="device_code",
     time_field="record_time",
@@ -38,8 +38,8 @@ NARROW_INPUT = LineFormat(
 
 
 def render(df: DataFrame, columns: list[Column], delimiter: str) -> DataFrame:
-    """A layout from a user's own column list."""
-    return df.withColumn("out", delimited_line(columns, delimiter))
+    """A layout from a user's own column list, over fields of accepted lines; ``out`` has their bytes."""
+    return df.withColumn("out", text_bytes(delimited_line(columns, delimiter)))
 
 
 def _blank(n: int) -> list[Column]:

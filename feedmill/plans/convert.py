@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from feedmill.operators.chunks import number_staged, part_column
 from feedmill.operators.layouts import Layout
 from feedmill.operators.validate import judge_lines
+from feedmill.plans.archive import archive_files, finish_moves
 from feedmill.session import drop_dir, fresh_dir
 from feedmill.sinks.delimited import chunk_suffix, write_chunks
-from feedmill.sinks.ledger import SeenFiles
+from feedmill.sinks.ledger import MoveLog, SeenFiles
 from feedmill.sources.line_files import read_unseen
 from feedmill.spec import LineFormat
 
@@ -35,10 +36,11 @@ class LineFeed:
     codes: str = ""
     part_rows: int = PART_ROWS
     enabled: bool = True
+    archive: str | None = None
 
 
 def convert_lines(lines: DataFrame, fmt: LineFormat, layout: Layout, codes: str = "") -> DataFrame:
-    """Each line with its ``reason``; accepted ones are replaced by their output line."""
+    """Each line with its ``reason``; accepted ones are replaced by their output line, in the bytes of the input."""
     judged = judge_lines(lines, fmt, codes).transform(layout)
     # Picked by index, since Spark would not share repeated parts of ``out`` inside a branch.
     line = F.get(F.array("out", "line"), F.when(F.col("reason").isNull(), 0).otherwise(1))
@@ -95,13 +97,16 @@ def read_rejects(spark: SparkSession, reject_dir: str) -> DataFrame:
 
 
 def convert_new_files(
-    spark: SparkSession, feed: LineFeed, out_dir: str, reject_dir: str, seen: SeenFiles
+    spark: SparkSession, feed: LineFeed, out_dir: str, reject_dir: str, seen: SeenFiles, moves: MoveLog | None = None
 ) -> DataFrame | None:
     """Convert the files of a feed whose names were not processed yet; these files, or None.
 
     Names are remembered after the write. A crash in between converts the same files again, into
-    the same output files.
+    the same output files. With ``moves`` the files of a feed that has an archive are then moved there, and moves that an
+    earlier run left behind are made first.
     """
+    if moves is not None and feed.archive:
+        finish_moves(spark, feed.name, moves)
     found = read_unseen(spark, feed.folder, feed.prefix, seen.names(feed.name))
     if found is None:
         return None
@@ -111,13 +116,17 @@ def convert_new_files(
         feed.codes, feed.part_rows, add=True,
     )
     seen.add(feed.name, files)
+    if moves is not None and feed.archive:
+        archive_files(spark, feed.name, files, feed.archive, moves)
     return files
 
 
-def run_line_feeds(spark: SparkSession, feeds: list[LineFeed], out_dir: str, reject_dir: str, seen: SeenFiles) -> list[str]:
+def run_line_feeds(
+    spark: SparkSession, feeds: list[LineFeed], out_dir: str, reject_dir: str, seen: SeenFiles, moves: MoveLog | None = None
+) -> list[str]:
     """Convert the new files of every enabled feed, in order; names of the feeds that had any."""
     return [
         feed.name
         for feed in feeds
-        if feed.enabled and convert_new_files(spark, feed, out_dir, reject_dir, seen) is not None
+        if feed.enabled and convert_new_files(spark, feed, out_dir, reject_dir, seen, moves) is not None
     ]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from datetime import datetime, timezone
@@ -13,11 +14,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from feedmill.functions.columns import delimited_line, scrub
-from feedmill.operators.chunks import chunk_column, number_rows
-from feedmill.operators.keys import key_range, late_keys, max_key
-from feedmill.session import drop_dir
-from feedmill.sinks.delimited import chunk_name, stamp_name, write_chunks, write_ordered
-from feedmill.sinks.ledger import Ledger
+from feedmill.operators.chunks import number_rows
+from feedmill.operators.keys import BLOCK_BITS, differing_blocks, key_block, key_digests, key_range, late_keys, max_key
+from feedmill.session import fresh_dir
+from feedmill.sinks.delimited import stamp_name
+from feedmill.sinks.delivery import check_files, file_manifest, plan_files, read_files, read_manifest, write_files, write_manifest
+from feedmill.sinks.ledger import KeyDigests, Ledger
 from feedmill.spec import FeedSpec
 
 
@@ -68,31 +70,42 @@ def seed(spark: SparkSession, feeds: list[FeedSpec], ledger: Ledger) -> None:
             ledger.close(feed.name, None, max_key(spark.table(feed.table), feed.key), 0, None)
 
 
-def deliver(feed: FeedSpec, df: DataFrame, run: ExportRun, sub_dir: str, day: str) -> tuple[int, str | None]:
-    """Write a feed's rows under ``sub_dir``; no rows write nothing. Returns rows and path."""
+def deliver(
+    feed: FeedSpec, df: DataFrame, run: ExportRun, sub_dir: str, day: str, keys_path: str | None = None
+) -> tuple[int, str | None]:
+    """Write a feed's rows under ``sub_dir``; no rows write nothing. Returns rows and path.
+
+    With ``keys_path`` the delivered keys are written there, if the feed's result has its key.
+    The feed's query runs once, into a staged copy: count, numbers, files, manifest and backup all come from that. A backup is
+    read again and compared with the manifest; one that differs fails the export, before the ledger knows of it.
+    """
+    spark = df.sparkSession
     line = feed_line(feed, df, run)
-    per_file = feed.rows_per_file(run.chunk_rows)
     targets = [f"{run.out_dir}/{day}/{sub_dir}" if run.by_day else f"{run.out_dir}/{sub_dir}"]
     if run.backup_dir:
         targets.append(f"{run.backup_dir}/{day}/{sub_dir}")
 
-    if per_file == 0:
-        total = max(write_ordered(df, line, feed.order_by, target, run.compression) for target in targets)
-        if not total:
-            for target in targets:
-                drop_dir(df.sparkSession, target)
-        return total, targets[0] if total else None
-
     numbered = number_rows(df, feed.order_by)
     try:
         total = numbered.total()
-        if total:
-            name = chunk_name(stamp_name(feed.file_name, run.now), chunk_column(per_file))
-            for target in targets:
-                write_chunks(numbered.rows, line, name, target, run.compression)
+        if keys_path and feed.key in df.columns:
+            numbered.rows.select(feed.key).write.mode("overwrite").parquet(f"{keys_path}/delivered")
+        if not total:
+            return 0, None
+        tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        plan = plan_files(stamp_name(feed.file_name, run.now), total, feed.rows_per_file(run.chunk_rows), tasks)
+        for target in targets:
+            write_files(numbered.rows, line, plan, target, run.compression)
+            if target == targets[0]:
+                write_manifest(file_manifest(numbered.rows, line, plan, feed.key), target)
+            else:
+                write_manifest(read_manifest(spark, targets[0]).drop("path"), target)
     finally:
         numbered.release()
-    return total, targets[0] if total else None
+    for target in targets[1:]:
+        if not check_files(spark, target).where("NOT ok").isEmpty():
+            raise RuntimeError(f"backup {target} is not as its manifest tells")
+    return total, targets[0]
 
 
 def day_of(run: ExportRun) -> str:
@@ -123,34 +136,43 @@ def export_incremental(spark: SparkSession, feed: FeedSpec, run: ExportRun, ledg
     end, day = ledger.open_range(feed.name, start, top, day_of(run))
     sub_dir = f"feed={feed.name}/start={'none' if start is None else start}/end={end}"
     since = None if start is None else start - feed.overlap
-    if run.keep_keys:
-        # Before the export reads the table: a key committed in between is then reported late, never lost.
-        kept = f"{run.out_dir}/_keys/{sub_dir}"
-        spark.table(feed.table).select(feed.key).where(key_range(F.col(feed.key), since, end)).write.mode("overwrite").parquet(kept)
+    kept = f"{run.out_dir}/_keys/{sub_dir}/{uuid.uuid4().hex}" if run.keep_keys else None
+    if kept:
+        # Before the export reads the table: a key committed in between is reported late, unless the export carried it.
+        source = spark.table(feed.table).select(feed.key).where(key_range(F.col(feed.key), since, end))
+        source.write.parquet(f"{kept}/before")
+    rows, path = deliver(feed, feed_rows(spark, feed, since, end), run, sub_dir, day, kept)
+    if kept:
+        known = spark.read.schema(source.schema).option("recursiveFileLookup", "true").parquet(kept)
+        digests_of(ledger).add(feed.name, key_digests(known.where(key_range(F.col(feed.key), start, end)), feed.key), kept)
         ledger.keep_keys(feed.name, start, end, kept)
-    rows, path = deliver(feed, feed_rows(spark, feed, since, end), run, sub_dir, day)
     ledger.close(feed.name, start, end, rows, path)
     return rows
 
 
+def digests_of(ledger: Ledger) -> KeyDigests:
+    """The digests that belong to a ledger; their folder is passed over by the ledger's own reads."""
+    return KeyDigests(ledger.spark, f"{ledger.path}/_digests")
+
+
 def audit_late_keys(spark: SparkSession, feed: FeedSpec, run: ExportRun, ledger: Ledger, after: int | None = None) -> DataFrame:
-    """Keys of the feed's table within the ranges exported with ``keep_keys`` that were not there just before their
-    export read it: they were committed late, or while it ran. Ranges whose keys were not kept are left out, and with
-    ``after`` all up to that key.
+    """Keys of the feed's table within the ranges exported with ``keep_keys`` that neither were there just before their export
+    read it nor were delivered by it: they were committed late. Ranges whose keys were not kept are left out, and with
+    ``after`` all ranges that end at or before that key.
 
-    The kept keys are read from their common folder, so no list of paths is made. Ranges that follow each other are one;
-    there is one condition for each time that keeping keys was taken up anew.
+    The table's keys are reduced to a digest per block of keys and compared with the digests kept of the ranges. Keys that
+    were kept are read for the ranges that meet a block which differs, and for no others; a clean audit reads none. Keys
+    that have vanished since make a block differ as well, and are not reported.
     """
     source = spark.table(feed.table)
-    kept = ledger.entries().where((F.col("feed") == feed.name) & (F.col("state") == "keys"))
+    kept = ledger.kept_keys(feed.name)
     if after is not None:
         kept = kept.where(F.col("end_key") > after)
-    first = F.coalesce("start_key", F.lit(LOWEST_KEY))
+    low = F.coalesce("start_key", F.lit(LOWEST_KEY))
     by_end = W.orderBy("high")
+    ranges = kept.select(low.alias("low"), F.col("end_key").alias("high"), "path")
     runs = (
-        kept.select(first.alias("low"), F.col("end_key").alias("high"))
-        .distinct()
-        .withColumn("new", (F.col("low") > F.lag("high", 1, LOWEST_KEY).over(by_end)).cast("int"))
+        ranges.withColumn("new", (F.col("low") > F.lag("high", 1, LOWEST_KEY).over(by_end)).cast("int"))
         .withColumn("run", F.sum("new").over(by_end))
         .groupBy("run")
         .agg(F.min("low").alias("low"), F.max("high").alias("high"))
@@ -158,17 +180,33 @@ def audit_late_keys(spark: SparkSession, feed: FeedSpec, run: ExportRun, ledger:
     )
     if not runs:
         return source.select(feed.key).limit(0)
-    lows = [r["low"] if after is None else max(after, r["low"]) for r in runs]
-    audited = [key_range(F.col(feed.key), None if low == LOWEST_KEY else low, r["high"]) for low, r in zip(lows, runs)]
-    folder = spark.read.option("recursiveFileLookup", "true").schema(source.select(feed.key).schema)
-    exported = folder.parquet(f"{run.out_dir}/_keys/feed={feed.name}")
-    return late_keys(source.where(reduce(or_, audited)), exported, feed.key, max(r["high"] for r in runs), after)
+    audited = reduce(or_, [key_range(F.col(feed.key), None if r["low"] == LOWEST_KEY else r["low"], r["high"]) for r in runs])
+    now = source.select(feed.key).where(audited)
+    told = digests_of(ledger).read().where(F.col("feed") == feed.name).join(ranges.select("path"), "path", "left_semi")
+    blocks = differing_blocks(key_digests(now, feed.key), told)
+    stage = fresh_dir(spark, "differing")
+    blocks.write.parquet(stage)
+    blocks = spark.read.schema(blocks.schema).parquet(stage)
+    bounds = blocks.agg(F.min("block"), F.max("block")).first()
+    if bounds[0] is None:
+        return now.limit(0)
+    # Ranges with keys in a differing block: these are opened.
+    paths = [r["path"] for r in told.join(blocks, "block", "left_semi").select("path").distinct().collect()]
+    read = spark.read.schema(now.schema).option("recursiveFileLookup", "true")
+    known = read.parquet(*paths) if paths else now.limit(0)
+    in_blocks = now.join(blocks, key_block(F.col(feed.key)) == F.col("block"), "left_semi")
+    first = bounds[0] << BLOCK_BITS
+    return late_keys(in_blocks, known, feed.key, (bounds[1] + 1 << BLOCK_BITS) - 1, max(first - 1, LOWEST_KEY if after is None else after))
 
 
 def read_delivered(spark: SparkSession, feed: str, ledger: Ledger) -> DataFrame:
-    """Lines of a feed's delivered files, and where they lie; files the ledger does not know are not read."""
-    lines = spark.read.option("recursiveFileLookup", "true").text(ledger.paths(feed))
-    return lines.select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file_path"))
+    """Lines of a feed's delivered files with ``file_name`` and ``position``; files the ledger does not know are not read."""
+    return read_files(spark, ledger.paths(feed))
+
+
+def delivered_manifest(spark: SparkSession, feed: str, ledger: Ledger) -> DataFrame:
+    """What the manifests tell of a feed's delivered files: name, rows, lines, bytes, checksum and key bounds of each."""
+    return read_manifest(spark, ledger.paths(feed))
 
 
 def is_due(ledger: Ledger, now: datetime, interval_seconds: int) -> bool:

@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 from feedmill.operators import joins
 from feedmill.operators.chunks import chunk_column, manifest, number_rows, part_column
 from feedmill.plans.convert import PART_ROWS
-from feedmill.plans.export import read_delivered, run_catalogue
+from feedmill.plans.export import delivered_manifest, export_full, read_delivered, run_catalogue
 from feedmill.registry.base import query
 from feedmill.registry.exports import CUSTOMER_FEED, ORDERS_FEED, ORDERS_SQL, export_run, new_ledger
+from feedmill.session import fresh_dir
+from feedmill.sinks.delivery import check_files, read_files
 from feedmill.sources.relational import read_table, register_tables
+from feedmill.spec import FeedSpec
 
 
 def numbered_sql(columns: str, source: str, order: str, chunk_rows: int = PART_ROWS) -> str:
@@ -87,31 +90,81 @@ def chunk_manifest(spark, sf_dir):
 
 
 def _named_chunks(name: str, source: str, order: str, chunk_rows: int) -> str:
+    """File names and positions of the ordered lines of ``source``, which also has a ``key``."""
     return f"""
         SELECT CASE WHEN total <= {chunk_rows} THEN '{name}.dat'
-                    ELSE '{name}_' || lpad(CAST((rn - 1) // {chunk_rows} + 1 AS VARCHAR), 4, '0') || '.dat' END AS file_name, line
-        FROM (SELECT line, row_number() OVER (ORDER BY {order}) AS rn, count(*) OVER () AS total FROM {source})
+                    ELSE '{name}_' || lpad(CAST((rn - 1) // {chunk_rows} + 1 AS VARCHAR), 4, '0') || '.dat' END AS file_name,
+               CASE WHEN total <= {chunk_rows} THEN rn ELSE (rn - 1) % {chunk_rows} + 1 END AS position, line, key
+        FROM (SELECT *, row_number() OVER (ORDER BY {order}) AS rn, count(*) OVER () AS total FROM {source})
     """
 
 
-@query(
-    _named_chunks("ORDERS-20240201063000", f"({ORDERS_SQL})", "o_orderdate, o_orderkey", 5000)
-    + " UNION ALL "
-    + _named_chunks(
-        "CUSTOMER-20240201063000",
-        """(SELECT c_custkey || ',' || c_name || ',' || c_mktsegment || ',' || CAST(c_acctbal AS DECIMAL(18,6)) || ','
-                   || coalesce(n_name, '') AS line, c_name, c_custkey
-            FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey AND n_regionkey = 2
-            WHERE c_acctbal >= 0 AND c_mktsegment IN ('BUILDING', 'MACHINERY'))""",
-        "c_name, c_custkey",
-        2000,
-    )
-)
-def chunk_files(spark, sf_dir):
-    """Two feeds delivered as files, read back."""
+ORDER_FILES_SQL = _named_chunks("ORDERS-20240201063000", f"(SELECT *, o_orderkey AS key FROM ({ORDERS_SQL}))", "o_orderdate, o_orderkey", 5000)
+CUSTOMER_LINES_SQL = """
+    SELECT c_custkey || ',' || c_name || ',' || c_mktsegment || ',' || CAST(c_acctbal AS DECIMAL(18,6)) || ','
+           || coalesce(n_name, '') AS line, c_name, c_custkey, NULL::BIGINT AS key
+    FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey AND n_regionkey = 2
+    WHERE c_acctbal >= 0 AND c_mktsegment IN ('BUILDING', 'MACHINERY')
+"""
+CUSTOMER_FILES_SQL = _named_chunks("CUSTOMER-20240201063000", f"({CUSTOMER_LINES_SQL})", "c_name, c_custkey", 2000)
+
+
+def _deliver_both(spark, sf_dir, **settings):
+    """Run the two feeds; the ledger that knows what was delivered."""
     register_tables(spark, sf_dir, "orders", "customer", "nation")
     ledger = new_ledger(spark)
     ledger.close("orders", None, 0, 0, None)
-    run_catalogue(spark, [ORDERS_FEED, CUSTOMER_FEED], export_run(spark), ledger)
+    run = export_run(spark, **settings)
+    run_catalogue(spark, [ORDERS_FEED, CUSTOMER_FEED], run, ledger)
+    return run, ledger
+
+
+@query(f"SELECT file_name, position, line FROM ({ORDER_FILES_SQL} UNION ALL {CUSTOMER_FILES_SQL})")
+def chunk_files(spark, sf_dir):
+    """Two feeds delivered as files, read back in their order."""
+    _, ledger = _deliver_both(spark, sf_dir)
     lines = read_delivered(spark, "orders", ledger).unionByName(read_delivered(spark, "customer", ledger))
-    return lines.select(F.regexp_extract("file_path", "file_name=([^/]*)", 1).alias("file_name"), "line")
+    return lines.select("file_name", "position", "line")
+
+
+@query(
+    f"""
+    SELECT file_name, count(*) AS rows, min(key) AS min_key, max(key) AS max_key,
+           CAST(sum(octet_length(CAST(line AS BLOB)) + 1) AS BIGINT) AS bytes, count(*) AS lines, true AS ok
+    FROM ({ORDER_FILES_SQL} UNION ALL {CUSTOMER_FILES_SQL}) GROUP BY file_name
+    """
+)
+def delivery_manifest(spark, sf_dir):
+    """What the manifests tell of the files, and whether the files found are as told."""
+    _, ledger = _deliver_both(spark, sf_dir)
+    told = delivered_manifest(spark, "orders", ledger).unionByName(delivered_manifest(spark, "customer", ledger))
+    paths = ledger.paths("orders") + ledger.paths("customer")
+    checked = check_files(spark, paths).select("file_name", "ok")
+    return told.join(checked, "file_name", "left").select("file_name", "rows", "min_key", "max_key", "bytes", "lines", "ok")
+
+
+@query(f"SELECT file_name, position, line FROM ({ORDER_FILES_SQL})")
+def backup_copy(spark, sf_dir):
+    """The backup of a run, in a folder of its day, read by its own manifest."""
+    run, ledger = _deliver_both(spark, sf_dir, backup_dir=fresh_dir(spark, "backup"))
+    kept = [f"{run.backup_dir}/20240201/feed=orders/start=0/end={ledger.mark('orders')}"]
+    return read_files(spark, kept).select("file_name", "position", "line")
+
+
+@query(
+    """
+    SELECT 'EVENTS-20240201063000.dat' AS file_name, row_number() OVER (ORDER BY ts, event_id) AS position,
+           event_id || ',' || event_type AS line
+    FROM events
+    """
+)
+def unsplit_name(spark, sf_dir):
+    """A feed without a row limit is one file under its stamped name, however many parts hold it."""
+    register_tables(spark, sf_dir, "events")
+    feed = FeedSpec(
+        name="all_events", sql="SELECT event_id, event_type, ts FROM events", order_by=("ts", "event_id"),
+        columns=("event_id", "event_type"), chunk_rows=0, file_name="EVENTS-[DT].dat",
+    )
+    ledger = new_ledger(spark)
+    export_full(spark, feed, export_run(spark), ledger)
+    return read_delivered(spark, feed.name, ledger).select("file_name", "position", "line")

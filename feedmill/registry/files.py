@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from datetime import datetime, timezone
 
 from pyspark.sql import functions as F
 
 from feedmill.operators import checks
-from feedmill.operators.layouts import WIDE_INPUT, wide_layout
+from feedmill.operators.layouts import NARROW_INPUT, WIDE_INPUT, narrow_layout, wide_layout
 from feedmill.plans.convert import PART_ROWS, LineFeed, read_rejects, run_line_feeds
 from feedmill.registry.base import query
 from feedmill.registry.lines import EVENT_LINES_SQL, JUDGED_SQL, WIDE_SQL, event_lines
-from feedmill.session import fresh_dir
-from feedmill.sinks.ledger import SeenFiles
+from feedmill.session import fresh_dir, list_paths, move_paths
+from feedmill.sinks.ledger import MoveLog, SeenFiles
 from feedmill.sources.line_files import list_files, read_lines, read_unseen
 from feedmill.sources.relational import read_table
 from feedmill.streaming.convert import convert_stream, convert_stream_parts, stream_lines
@@ -23,29 +24,18 @@ PREFIX = "PART-"
 
 
 def drop_lines(lines, folder: str) -> None:
-    """Add line files with a .log ending to the folder.
-
-    The field separator and quote are characters no line contains, so each line is written as is.
-    """
-    (
-        lines.write.mode("append")
-        .option("extension", "log")
-        .option("sep", "\u0001")
-        .option("quote", "\u0002")
-        .option("escape", "\u0002")
-        .option("ignoreLeadingWhiteSpace", "false")
-        .option("ignoreTrailingWhiteSpace", "false")
-        .csv(folder)
-    )
+    """Add line files with a .log ending to the folder, byte for byte; they are written aside and appear complete."""
+    spark, aside = lines.sparkSession, fresh_dir(lines.sparkSession, "written")
+    lines.write.text(aside)
+    move_paths(spark, [(path, f"{folder}/{path.rpartition('/')[2].replace('.txt', '.log')}") for path in list_paths(spark, aside)])
 
 
 def _lines(spark, sf_dir, condition="true"):
-    """Event lines; the carriage return that ends some of them is left out, the CSV writer would quote it."""
-    lines = event_lines(read_table(spark, sf_dir, "events").where(condition))
-    return lines.select(F.rtrim(F.col("line"), F.lit("\r")).alias("line"))
+    """Event lines; some end in a carriage return, which stays."""
+    return event_lines(read_table(spark, sf_dir, "events").where(condition)).select("line")
 
 
-@query(f"SELECT rtrim(line, chr(13)) AS line FROM ({EVENT_LINES_SQL})")
+@query(f"SELECT line FROM ({EVENT_LINES_SQL})")
 def file_feed_scan(spark, sf_dir):
     """Other files in the folder are left alone."""
     folder = fresh_dir(spark, "drop")
@@ -54,7 +44,7 @@ def file_feed_scan(spark, sf_dir):
     return read_lines(spark, folder, PREFIX).select("line")
 
 
-@query(f"SELECT rtrim(line, chr(13)) AS line FROM ({EVENT_LINES_SQL}) WHERE ts >= TIMESTAMP '{CUTOFF}'")
+@query(f"SELECT line FROM ({EVENT_LINES_SQL}) WHERE ts >= TIMESTAMP '{CUTOFF}'")
 def file_feed_dedup(spark, sf_dir):
     folder = fresh_dir(spark, "drop")
     seen = SeenFiles(spark, fresh_dir(spark, "seen"))
@@ -70,7 +60,7 @@ def file_feed_dedup(spark, sf_dir):
 @query(
     f"""
     SELECT 'ok' AS reason, out AS line FROM ({WIDE_SQL})
-    UNION ALL SELECT reason, rtrim(line, chr(13)) FROM ({JUDGED_SQL}) WHERE reason IS NOT NULL
+    UNION ALL SELECT reason, line FROM ({JUDGED_SQL}) WHERE reason IS NOT NULL
     """
 )
 def stream_file_feed(spark, sf_dir):
@@ -81,7 +71,7 @@ def stream_file_feed(spark, sf_dir):
         convert_stream(
             stream_lines(spark, folder, PREFIX), WIDE_INPUT, wide_layout, out, checkpoint, once=True
         ).awaitTermination()
-    return spark.read.text(out).select("reason", F.col("value").alias("line"))
+    return spark.read.option("lineSep", "\n").text(out).select("reason", F.col("value").alias("line"))
 
 
 @query(f"SELECT out AS line, true AS fits FROM ({WIDE_SQL})")
@@ -97,7 +87,7 @@ def stream_file_parts(spark, sf_dir):
     return lines.join(sizes, "file_name").select("line", "fits")
 
 
-@query(f"SELECT out AS line, CAST(NULL AS VARCHAR) AS reason FROM ({WIDE_SQL}) UNION ALL SELECT rtrim(line, chr(13)), reason FROM ({JUDGED_SQL}) WHERE reason IS NOT NULL")
+@query(f"SELECT out AS line, CAST(NULL AS VARCHAR) AS reason FROM ({WIDE_SQL}) UNION ALL SELECT line, reason FROM ({JUDGED_SQL}) WHERE reason IS NOT NULL")
 def convert_line_feeds(spark, sf_dir):
     """Two passes over a folder that grows in between, and a feed that is switched off."""
     folder, out, bad = (fresh_dir(spark, d) for d in ("drop", "batches", "rejects"))
@@ -124,3 +114,56 @@ def file_freshness(spark, sf_dir):
         return found.select(F.lit(pattern).alias("pattern"), "ok")
 
     return check("*.log").unionByName(check("*.dat"))
+
+
+@query(f"SELECT CASE WHEN ts < TIMESTAMP '{CUTOFF}' THEN 'archived' ELSE 'waiting' END AS place, line FROM ({EVENT_LINES_SQL})")
+def archived_files(spark, sf_dir):
+    """Files converted by a batch leave their folder; those that come later wait there for the next one."""
+    folder, archive, out, bad = (fresh_dir(spark, d) for d in ("drop", "archive", "batches", "rejects"))
+    seen, moves = SeenFiles(spark, fresh_dir(spark, "seen")), MoveLog(spark, fresh_dir(spark, "moves"))
+    feed = LineFeed("events", folder, PREFIX, WIDE_INPUT, wide_layout, archive=archive)
+    drop_lines(_lines(spark, sf_dir, f"ts < '{CUTOFF}'"), folder)
+    run_line_feeds(spark, [feed], out, bad, seen, moves)
+    drop_lines(_lines(spark, sf_dir, f"ts >= '{CUTOFF}'"), folder)
+    run_line_feeds(spark, [replace(feed, enabled=False)], out, bad, seen, moves)
+    places = [read_lines(spark, path, PREFIX).select(F.lit(place).alias("place"), "line") for path, place in ((archive, "archived"), (folder, "waiting"))]
+    return places[0].unionByName(places[1])
+
+
+SUPPLIER_CODES_SQL = """
+    SELECT *, CASE WHEN s_acctbal >= 0 THEN 'DÉ-' || s_suppkey WHEN s_suppkey % 2 = 0 THEN repeat('é', 50) ELSE repeat('é', 51) END AS code
+    FROM supplier
+"""
+
+
+@query(
+    f"""
+    SELECT feed, reason, replace(replace(hex(encode(line)), 'C3A9', 'E9'), 'C389', 'C9') AS line FROM (
+        SELECT 'plain' AS feed, CASE WHEN length(code) > 50 THEN 'long_code' ELSE 'ok' END AS reason,
+               CASE WHEN length(code) > 50 THEN 'x,x,' || s_suppkey || ',' || code || repeat(',', 16)
+                    ELSE '0008' || chr(9) || '8' || chr(9) || chr(9) || code || chr(9) || '01' END AS line
+        FROM ({SUPPLIER_CODES_SQL})
+        UNION ALL SELECT 'validated', 'bad_encoding', 'x,x,' || s_suppkey || ',' || code || repeat(',', 16) FROM ({SUPPLIER_CODES_SQL}))
+    """
+)
+def encoded_feed(spark, sf_dir):
+    """Lines in Latin-1: lengths are judged in their bytes and the output has them; a feed that asks for UTF-8 rejects all."""
+    code = (
+        F.when(F.col("s_acctbal") >= 0, F.concat(F.lit("DÉ-"), F.col("s_suppkey").cast("string")))
+        .when(F.col("s_suppkey") % 2 == 0, F.repeat(F.lit("é"), 50))
+        .otherwise(F.repeat(F.lit("é"), 51))
+    )
+    line = F.concat(F.lit("x,x,"), F.col("s_suppkey").cast("string"), F.lit(","), code, F.repeat(F.lit(","), 16))
+    folder = fresh_dir(spark, "drop")
+    drop_lines(read_table(spark, sf_dir, "supplier").select(F.encode(line, "ISO-8859-1").cast("string")), folder)
+    latin = replace(NARROW_INPUT, encoding="latin-1")
+    found = []
+    for name, fmt in (("plain", latin), ("validated", replace(NARROW_INPUT, validated=True))):
+        out, bad = fresh_dir(spark, "batches"), fresh_dir(spark, "rejects")
+        feed = LineFeed(name, folder, PREFIX, fmt, narrow_layout)
+        run_line_feeds(spark, [feed], out, bad, SeenFiles(spark, fresh_dir(spark, "seen")))
+        if name == "plain":
+            found.append(spark.read.text(out).select(F.lit(name).alias("feed"), F.lit("ok").alias("reason"), F.col("value").alias("line")))
+        found.append(read_rejects(spark, bad).select(F.lit(name).alias("feed"), "reason", "line"))
+    lines = found[0].unionByName(found[1]).unionByName(found[2])
+    return lines.withColumn("line", F.hex(F.col("line").cast("binary")))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import SparkSession
 
@@ -51,3 +53,31 @@ def drop_dir(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def move_paths(spark: SparkSession, moves: Iterable[tuple[str, str]], parallel: int = 16) -> None:
+    """Rename files within a file system, from the driver, since a rename moves no data. A move that was done before stays done."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+
+    def move(pair: tuple[str, str]) -> None:
+        source, target = (jvm.org.apache.hadoop.fs.Path(p) for p in pair)
+        system = source.getFileSystem(conf)
+        system.mkdirs(target.getParent())
+        if system.exists(source):
+            if not system.rename(source, target):
+                raise OSError(f"cannot move {pair[0]} to {pair[1]}")
+        elif not system.exists(target):
+            raise FileNotFoundError(pair[0])
+
+    with ThreadPoolExecutor(parallel) as pool:
+        for _ in pool.map(move, moves):
+            pass
+
+
+def list_paths(spark: SparkSession, folder: str) -> list[str]:
+    """Paths of the files in a folder, hidden ones left out; none if it does not exist."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [s.getPath() for s in system.listStatus(path) if s.isFile()] if system.exists(path) else []
+    return [p.toString() for p in found if not p.getName().startswith(("_", "."))]

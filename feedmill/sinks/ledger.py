@@ -15,6 +15,8 @@ LEDGER_SCHEMA = (
 )
 # Feed name under which runs of the whole catalogue are recorded.
 RUNS = "_catalogue"
+DIGEST_SCHEMA = "feed string, block long, keys long, digest long, path string"
+MOVE_SCHEMA = "feed string, source string, target string, state string, at timestamp"
 SEEN_SCHEMA = "feed string, file_name string, seen_at timestamp"
 
 
@@ -97,6 +99,11 @@ class Ledger(AppendOnly):
         """Record that the catalogue has run, whatever it delivered."""
         self._append(RUNS, None, None, None, None, "run")
 
+    def kept_keys(self, feed: str) -> DataFrame:
+        """Ranges whose keys were kept, each with the place of its latest copy: one that was repeated replaces the earlier."""
+        kept = self.entries().where((F.col("feed") == feed) & (F.col("state") == "keys"))
+        return kept.groupBy("start_key", "end_key").agg(F.max_by("path", "committed_at").alias("path"))
+
     def open_range(self, feed: str, start: int | None, end: int, place: str = "") -> tuple[int, str]:
         """Fix the end of the next range and the place it is written to.
 
@@ -132,6 +139,15 @@ class Ledger(AppendOnly):
         return None if micros is None else datetime.fromtimestamp(micros / 1e6, timezone.utc)
 
 
+class KeyDigests(AppendOnly):
+    """Digests of the keys of each range, by block; ``path`` is where the keys themselves are."""
+
+    schema = DIGEST_SCHEMA
+
+    def add(self, feed: str, digests: DataFrame, path: str) -> None:
+        self.append(feed, digests.select("block", "keys", "digest", F.lit(path).alias("path")).coalesce(1))
+
+
 class SeenFiles(AppendOnly):
     """Names of input files already processed."""
 
@@ -142,3 +158,18 @@ class SeenFiles(AppendOnly):
 
     def add(self, feed: str, files: DataFrame) -> None:
         self.append(feed, files.select("file_name", F.current_timestamp().alias("seen_at")).repartition(1))
+
+
+class MoveLog(AppendOnly):
+    """Moves of processed files: ``planned`` before the first of them is made, ``moved`` after."""
+
+    schema = MOVE_SCHEMA
+
+    def record(self, feed: str, moves: DataFrame, state: str) -> None:
+        told = moves.select("source", "target", F.lit(state).alias("state"), F.current_timestamp().alias("at"))
+        self.append(feed, told.coalesce(1))
+
+    def pending(self, feed: str) -> DataFrame:
+        """Moves that were planned and not recorded as made since. A name may be planned again when its file comes again."""
+        last = self.read().where(F.col("feed") == feed).groupBy("source", "target").agg(F.max(F.struct("at", "state")).alias("last"))
+        return last.where("last.state = 'planned'").select("source", "target")

@@ -60,6 +60,9 @@ class LineFormat:
 
     The checks run in this order and the first failing one names the reject: field count,
     time missing, time unreadable, id missing, code missing, code too long, numbers unreadable.
+
+    Lines are bytes: they are cut, measured and written again byte by byte, whatever their ``encoding`` (any that keeps ASCII);
+    a code list is compared in it. With ``validated`` a line that is not valid UTF-8 is rejected first, as ``bad_encoding``.
     """
 
     fields: tuple[str, ...]
@@ -69,3 +72,9 @@ class LineFormat:
     number_fields: tuple[str, ...] = ()
     delimiter: str = ","
     max_code_bytes: int = 50
+    encoding: str = "utf-8"
+    validated: bool = False
+
+    def as_bytes(self, text: str) -> str:
+        """A literal as it stands in lines that were taken byte by byte."""
+        return text.encode(self.encoding).decode("latin-1")

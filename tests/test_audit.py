@@ -1,0 +1,68 @@
+"""Digests of keys, and the audit that opens only blocks that differ."""
+
+import shutil
+
+from pyspark.sql import functions as F
+
+from feedmill.operators.keys import BLOCK_BITS, differing_blocks, key_digests
+from feedmill.plans import export as X
+from feedmill.plans.export import ExportRun, export_incremental
+from feedmill.sinks.ledger import Ledger
+from feedmill.spec import FeedSpec
+from test_export import NOW
+
+FEED = FeedSpec(name="big", table="big", key="id", sql="SELECT id FROM big WHERE id > :start_pkid AND id <= :end_pkid", order_by=("id",))
+
+
+def test_digests_do_not_depend_on_order_or_repeats(spark):
+    keys = spark.range(-100, 200_000)
+    one = key_digests(keys, "id")
+    other = key_digests(keys.orderBy(F.desc("id")).union(keys.limit(50)), "id")
+    assert differing_blocks(one, other).isEmpty() and one.count() == 5
+    assert {r.block for r in differing_blocks(key_digests(keys.where("id NOT IN (-5, 70000)"), "id"), one).collect()} == {-1, 1}
+    # Ranges that cut a block add up to it.
+    parts = key_digests(keys.where("id <= 70000"), "id").union(key_digests(keys.where("id > 70000"), "id"))
+    assert differing_blocks(one, parts).isEmpty()
+
+
+def table(spark, *conditions):
+    spark.range(1, 300_001).where(" AND ".join(conditions) or "true").createOrReplaceTempView("big")
+
+
+def test_a_clean_audit_reads_no_keys(spark, tmp_path):
+    ledger, run = Ledger(spark, str(tmp_path / "ledger")), ExportRun(out_dir=str(tmp_path / "out"), now=NOW, keep_keys=True)
+    ledger.close("big", None, 0, 0, None)
+    table(spark, "id <= 150000")
+    export_incremental(spark, FEED, run, ledger)
+    table(spark, "id <> 200000")
+    export_incremental(spark, FEED, run, ledger)
+    first, second = (r.path for r in ledger.kept_keys("big").orderBy("end_key").collect())
+    # The keys of the first range are gone: a late key of the second range is found all the same.
+    shutil.rmtree(first)
+    assert X.audit_late_keys(spark, FEED, run, ledger).count() == 0
+    table(spark)
+    assert [r.id for r in X.audit_late_keys(spark, FEED, run, ledger).collect()] == [200000]
+    shutil.rmtree(second)
+    table(spark, "id <> 200000")
+    assert X.audit_late_keys(spark, FEED, run, ledger).count() == 0
+    assert 200000 >> BLOCK_BITS != 150000 >> BLOCK_BITS
+
+
+def test_keys_that_vanish_are_not_late(spark, tmp_path):
+    ledger, run = Ledger(spark, str(tmp_path / "ledger")), ExportRun(out_dir=str(tmp_path / "out"), now=NOW, keep_keys=True)
+    ledger.close("big", None, 0, 0, None)
+    table(spark)
+    export_incremental(spark, FEED, run, ledger)
+    table(spark, "id NOT BETWEEN 10 AND 70000")
+    assert X.audit_late_keys(spark, FEED, run, ledger).count() == 0
+
+
+def test_a_key_that_the_export_carried_is_not_late(spark, tmp_path):
+    ledger, run = Ledger(spark, str(tmp_path / "ledger")), ExportRun(out_dir=str(tmp_path / "out"), now=NOW, keep_keys=True)
+    ledger.close("big", None, 0, 0, None)
+    spark.range(1, 101).where("id % 10 <> 5").createOrReplaceTempView("big")
+    spark.range(1, 101).where("id % 20 <> 5").createOrReplaceTempView("big_read")
+    racing = FeedSpec(**{**FEED.__dict__, "sql": FEED.sql.replace("FROM big", "FROM big_read")})
+    assert export_incremental(spark, racing, run, ledger) == 95
+    spark.range(1, 101).createOrReplaceTempView("big")
+    assert sorted(r.id for r in X.audit_late_keys(spark, racing, run, ledger).collect()) == [5, 25, 45, 65, 85]

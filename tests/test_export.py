@@ -1,13 +1,16 @@
 import os
+import re
 from datetime import datetime, timedelta, timezone
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from feedmill.plans import export as X
 from feedmill.plans.export import ExportRun, export_full, export_incremental, feed_rows, is_due, run_catalogue, seed
 from feedmill.plans.sync import jdbc_writer_options, read_synced, sync_full, sync_incremental
-from feedmill.sinks.delimited import stamp_name
+from feedmill.sinks.delimited import stamp_name, write_ordered
+from feedmill.sinks.delivery import PART_NAME, check_files, read_files
 from feedmill.sinks.ledger import Ledger
 from feedmill.spec import FeedSpec
 
@@ -46,15 +49,21 @@ def run(tmp_path):
 
 
 def files(path):
-    """Lines per file name, as they stand in the files."""
+    """Lines per file name, as they stand in the files that the manifests name."""
     found = {}
     for folder, _, names in os.walk(path):
-        for name in names:
-            if name.startswith("part-"):
-                with open(os.path.join(folder, name)) as f:
-                    key = os.path.basename(folder).removeprefix("file_name=")
-                    assert key not in found
-                    found[key] = f.read().splitlines()
+        if os.path.basename(folder) != "_manifest":
+            continue
+        told = pq.read_table(folder).sort_by([("part", "ascending"), ("piece", "ascending")]).to_pylist()
+        parts = {tuple(map(int, re.match(PART_NAME, n).groups())): n for n in os.listdir(os.path.dirname(folder)) if n.startswith("part-")}
+        full = {(row["part"], row["piece"]) for row in told}
+        assert full <= set(parts)
+        for row in told:
+            with open(os.path.join(os.path.dirname(folder), parts[row["part"], row["piece"]])) as f:
+                text = f.read()
+            own = text.splitlines()
+            assert (len(own), len(text.encode())) == (row["lines"], row["bytes"]) and row["rows"] == len(own)
+            found.setdefault(row["file_name"], []).extend(own)
     return found
 
 
@@ -213,14 +222,14 @@ def test_full_export(spark, ledger, run, per_file):
     if per_file == 4:
         assert got == {"A_0001.dat": down[:4], "A_0002.dat": down[4:8], "A_0003.dat": down[8:]}
     else:
-        assert [x for _, part in sorted(got.items()) for x in part] == down
+        assert got == {"A.dat": down}
 
 
 def test_unsplit_full_export_is_ordered_over_its_parts(spark, ledger, tmp_path):
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
         df = spark.range(1000).select(F.col("id"), F.lit("x").alias("v"))
-        assert X.write_ordered(df, F.col("id").cast("string"), ("id",), str(tmp_path / "parts")) == 1000
+        assert write_ordered(df, F.col("id").cast("string"), ("id",), str(tmp_path / "parts")) == 1000
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     names = sorted(n for n in os.listdir(tmp_path / "parts") if n.startswith("part-"))
@@ -247,8 +256,9 @@ def test_days_backup_and_compression(spark, ledger, tmp_path):
     for root in (run.out_dir, run.backup_dir):
         got = spark.read.text(f"{root}/{sub}").select("value").collect()
         assert [r.value for r in got] == ["1", "2", "3", "4", "5"]
-    parts = os.listdir(f"{run.out_dir}/{sub}/file_name=A-20240201063000.dat")
-    assert any(n.endswith(".gz") for n in parts)
+        assert {r.file_name for r in read_files(spark, f"{root}/{sub}").collect()} == {"A-20240201063000.dat"}
+        assert check_files(spark, f"{root}/{sub}").where("ok").count() == 1
+    assert any(n.endswith(".gz") for n in os.listdir(f"{run.out_dir}/{sub}"))
 
 
 def test_catalogue(spark, ledger, run):

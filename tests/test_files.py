@@ -1,3 +1,4 @@
+import dataclasses
 import os
 import time
 
@@ -5,15 +6,27 @@ import pytest
 
 from feedmill.operators.layouts import NARROW_INPUT, WIDE_INPUT, narrow_layout, wide_layout
 from feedmill.session import fresh_dir
-from feedmill.sinks.ledger import SeenFiles
+from feedmill.sinks.ledger import MoveLog, SeenFiles
 from feedmill.sources.line_files import list_files, read_lines, read_unseen
 from feedmill.sources.relational import jdbc_options
 from feedmill.plans.convert import LineFeed, convert_batch, convert_new_files, read_rejects, run_line_feeds
 from feedmill.streaming.convert import convert_stream, convert_stream_parts, stream_lines
-from test_export import files
 from test_validate import line
 
 
+def files(path):
+    """Lines per file name, as they stand in the folders of the names."""
+    found = {}
+    for folder, _, names in os.walk(path):
+        for name in names:
+            if name.startswith("part-"):
+                with open(os.path.join(folder, name)) as f:
+                    key = os.path.basename(folder).removeprefix("file_name=")
+                    assert key not in found
+                    found[key] = f.read().splitlines()
+    return found
+
+
 def drop(folder, name, lines, end="\n"):
     os.makedirs(folder, exist_ok=True)
     with open(os.path.join(folder, name), "w", newline="") as f:
@@ -294,3 +307,46 @@ def test_a_late_old_file_is_converted_by_the_stream(spark, tmp_path):
     drop("a2.log", "late", 30)
     drop("a1.log", "again", 0)
     assert poll() == ["late", "new"]
+
+
+def test_processed_files_are_moved_and_a_lost_run_is_taken_up(spark, tmp_path, monkeypatch):
+    folder, archive, out, bad = (str(tmp_path / d) for d in ("in", "old", "out", "bad"))
+    seen, moves = SeenFiles(spark, str(tmp_path / "seen")), MoveLog(spark, str(tmp_path / "moves"))
+    feed = LineFeed("f", folder, "FEED", NARROW_INPUT, narrow_layout, archive=archive)
+    drop(folder, "FEED_1.log", beats(3))
+    drop(folder, "FEED [2].log", beats(2))
+    drop(folder, "OTHER.log", ["x"])
+    with monkeypatch.context() as crash:
+        crash.setattr("feedmill.plans.archive.move_paths", lambda *a: (_ for _ in ()).throw(RuntimeError("lost")))
+        with pytest.raises(RuntimeError):
+            run_line_feeds(spark, [feed], out, bad, seen, moves)
+    assert moves.pending("f").count() == 2 and len(os.listdir(folder)) == 3
+    # One of the two was moved before the run was lost.
+    os.makedirs(archive)
+    os.rename(f"{folder}/FEED_1.log", f"{archive}/FEED_1.log")
+    assert run_line_feeds(spark, [feed], out, bad, seen, moves) == []
+    assert sorted(os.listdir(archive)) == ["FEED [2].log", "FEED_1.log"] and os.listdir(folder) == ["OTHER.log"]
+    assert moves.pending("f").isEmpty()
+    # A name that comes again is known, and stays where it is.
+    drop(folder, "FEED_1.log", beats(1))
+    assert run_line_feeds(spark, [feed], out, bad, seen, moves) == [] and "FEED_1.log" in os.listdir(folder)
+
+
+def test_bytes_of_any_encoding_come_through(spark, tmp_path):
+    folder, out, bad = (str(tmp_path / d) for d in ("in", "out", "bad"))
+    os.makedirs(folder)
+    codes = ["设备一", "é" * 40, "码" * 25, "码" * 26, "plain"]
+    with open(f"{folder}/FEED_1.log", "wb") as f:
+        f.write("".join(",".join(["a", "b", "c", code] + [""] * 16) + "\r\n" for code in codes).encode("gb18030") + b",,,\xff\xfe" + b"," * 16 + b"\n")
+    gbk = dataclasses.replace(NARROW_INPUT, encoding="gb18030")
+    convert_batch(read_lines(spark, folder, "FEED"), gbk, narrow_layout, out, bad)
+    (part,) = [f"{d}/{n}" for d, _, names in os.walk(out) for n in names if n.startswith("part-")]
+    want = [b"0008\t8\t\t" + code.encode("gb18030") + b"\t01" for code in (codes[0], codes[2], codes[4])] + [b"0008\t8\t\t\xff\xfe\t01"]
+    assert open(part, "rb").read().split(b"\n")[:-1] == want
+    assert sorted(r.reason for r in read_rejects(spark, bad).collect()) == ["long_code", "long_code"]
+    convert_batch(read_lines(spark, folder, "FEED"), gbk, narrow_layout, out, bad, codes="设备一:plain")
+    (part,) = [f"{d}/{n}" for d, _, names in os.walk(out) for n in names if n.startswith("part-")]
+    assert len(open(part, "rb").read().splitlines()) == 2
+    convert_batch(read_lines(spark, folder, "FEED"), dataclasses.replace(gbk, validated=True), narrow_layout, out, bad)
+    reasons = [r.reason for r in read_rejects(spark, bad).collect()]
+    assert reasons.count("bad_encoding") == 5
