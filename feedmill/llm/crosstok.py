@@ -15,6 +15,8 @@ import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,14 +25,21 @@ from pyspark.sql import functions as F
 
 from feedmill.llm.staging import staged
 from feedmill.llm.text import row_runs
+from feedmill.llm.tokens import PATTERN
 
-# Characters of a text that are encoded at a time, and bytes of texts that are aligned at a time.
-PIECE_CHARS = 1 << 18
+# Bytes of texts that are worked through at a time, and pieces that a task remembers before it begins anew.
 RUN_BYTES = 1 << 21
+MOST_PIECES = 1 << 18
 # Pairs besides the fast ones whose counts go to every task. It changes the work only, not the result.
 FREQUENT_PAIRS = 1 << 16
-# A place where both tokenizers begin a new token whatever follows: a lone blank between characters that are not white space.
+# Where both tokenizers begin a new token, and what tells that some blank of a text is no such place.
 CUT = re.compile(r"(?<=\S) (?=\S)")
+OTHER_BLANK = re.compile(r"^ | $|\s | \s")
+# Characters outside of these may be classed by other Unicode versions in the faster encoder.
+UNUSUAL = re.compile(r"[^\x00-\u024f\u0384-\u0523\u2000-\u2063\u3040-\u309f\u30a0-\u30ff\u4e00-\u9fa5\uac00-\ud7a3]")
+# Characters of pieces that are encoded at a time, and of one that is encoded by itself.
+JOINED_CHARS = 1 << 16
+LONG_PIECE = 1 << 12
 # Fixed value: the sign that stands for a blank in B's pieces.
 BLANK = "▁"
 
@@ -63,10 +72,36 @@ class Vocabularies:
             first = tokenizers.Tokenizer.from_str(self.a.decode())
             first.encode_special_tokens = True
             second = sentencepiece.SentencePieceProcessor(model_proto=self.b)
-            _TOKENIZERS[name] = first, second, token_bytes_a(self.a), token_bytes_b(second)
+            bytes_a, bytes_b = token_bytes_a(self.a), token_bytes_b(second)
+            _TOKENIZERS[name] = Loaded(first, quick_encoder(self.a, bytes_a), second, bytes_a, bytes_b)
         return _TOKENIZERS[name]
 
 
+@dataclass
+class Loaded:
+    """Both tokenizers and the bytes of their ids; ``quick`` encodes ordinary pieces as ``a`` does, or is None."""
+
+    a: object
+    quick: object
+    b: object
+    bytes_a: list[bytes]
+    bytes_b: list[bytes]
+
+
+def quick_encoder(vocabulary: bytes, token_bytes: list[bytes]):
+    """A faster encoder of the same vocabulary, if its merges are in the order of their ids and it cuts texts the usual way."""
+    import tiktoken
+
+    described = json.loads(vocabulary)
+    vocab, merges, cut = described["model"]["vocab"], described["model"]["merges"], described.get("pre_tokenizer") or {}
+    pairs = ["".join(m if isinstance(m, list) else m.split(" ")) for m in merges]
+    usual = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space") and not described.get("normalizer")
+    if not usual or [vocab.get(m) for m in pairs] != list(range(256, 256 + len(pairs))):
+        return None
+    ranks = {token_bytes[i]: i for i in range(256 + len(pairs))}
+    return tiktoken.Encoding("quick", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
 def byte_of_sign() -> dict[str, int]:
     """Byte-level vocabularies write a byte as one printable sign: itself where it is one, else the next sign from U+0100."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -101,173 +136,247 @@ def identity_map(a: list[bytes], b: list[bytes], is_byte: list[bool]) -> np.ndar
     return np.array([ids.get(t, -1) if t else -1 for t in a], dtype=np.int64)
 
 
-def cut_text(text: str, size: int = PIECE_CHARS) -> list[str]:
-    """A long text in pieces, each without the blank it follows; both tokenizers encode blank and piece as within the whole."""
-    pieces, at = [], 0
-    while len(text) - at > size:
-        found = CUT.search(text, at + size)
-        if not found:
-            break
-        pieces.append(text[at : found.start()])
-        at = found.end()
-    return [*pieces, text[at:]]
-
-
-def encoded(texts: list[str], vocabularies: Vocabularies) -> tuple[list[list[int]], list[list[int]]]:
-    """Ids of blank and text by A, and of the text by B, which adds the blank."""
-    first, second, _, _ = vocabularies.load()
-    pieces, owners = [], []
-    for row, text in enumerate(texts):
-        own = cut_text(text) if len(text) > PIECE_CHARS else [text]
-        pieces += own
-        owners += [row] * len(own)
-    ids_a: list[list[int]] = [[] for _ in texts]
-    ids_b: list[list[int]] = [[] for _ in texts]
-    for row, found in zip(owners, first.encode_batch_fast([" " + p for p in pieces], add_special_tokens=False)):
-        ids_a[row] = ids_a[row] + found.ids if ids_a[row] else found.ids
-    for row, found in zip(owners, second.encode(pieces, num_threads=1)):
-        ids_b[row] = ids_b[row] + found if ids_b[row] else found
-    return ids_a, ids_b
+def cut_text(text: str) -> list[str]:
+    """The pieces of a text, each without the blank before it; both tokenizers encode blank and piece as within the whole."""
+    return CUT.split(text) if OTHER_BLANK.search(text) else text.split(" ")
 
 
 @dataclass
 class Aligned:
-    """Tokens of several documents after one another, and the links between them."""
+    """Tokens of several pieces after one another, and the links between them."""
 
-    doc_a: np.ndarray  # document of each token of A, of B
-    doc_b: np.ndarray
-    group_a: np.ndarray  # number of each token's group over all documents
+    group_a: np.ndarray  # number of each token's group over all pieces
     group_b: np.ndarray
     link_a: np.ndarray  # token of A, and of B, of each link
     link_b: np.ndarray
     alone: np.ndarray  # links of groups of one token each
 
 
-def align(lengths_a: np.ndarray, lengths_b: np.ndarray, doc_a: np.ndarray, doc_b: np.ndarray) -> Aligned:
-    """Align token lengths in bytes; both sides cover the same bytes of each document.
+def align(lengths_a: np.ndarray, lengths_b: np.ndarray) -> Aligned:
+    """Align token lengths in bytes; both sides cover the same bytes.
 
     Between two neighbouring ends of either side lies one token of A and one of B, and no other stretch has the same two,
     so these stretches are the links."""
     ends_a, ends_b = np.cumsum(lengths_a), np.cumsum(lengths_b)
-    both = np.intersect1d(ends_a, ends_b, assume_unique=True)
-    links = np.union1d(ends_a, ends_b)
-    link_a, link_b = np.searchsorted(ends_a, links), np.searchsorted(ends_b, links)
-    group_a, group_b = np.searchsorted(both, ends_a), np.searchsorted(both, ends_b)
-    sizes = np.bincount(group_a, minlength=len(both)) + np.bincount(group_b, minlength=len(both))
-    return Aligned(doc_a, doc_b, group_a, group_b, link_a, link_b, sizes[group_a[link_a]] == 2)
+    marks = np.zeros(int(ends_a[-1]) + 1 if len(ends_a) else 1, dtype=np.uint8)
+    marks[ends_a] |= 1
+    marks[ends_b] |= 2
+    marks = marks[np.flatnonzero(marks)]
+    is_a, is_b, is_both = marks & 1, marks >> 1, marks == 3
+    link_a, link_b, group = ((np.cumsum(m, dtype=np.int64) - m) for m in (is_a, is_b, is_both))
+    group_a, group_b = group[is_a == 1], group[is_b == 1]
+    sizes = np.bincount(group_a) + np.bincount(group_b) if len(group) else np.zeros(0, np.int64)
+    return Aligned(group_a, group_b, link_a, link_b, sizes[group] == 2)
 
 
-def _new_groups(group: np.ndarray) -> np.ndarray:
-    """Whether each token is the first of its group."""
-    new = np.ones(len(group), dtype=bool)
-    new[1:] = group[1:] != group[:-1]
-    return new
+class Pieces:
+    """What a task knows of the distinct pieces it has met; grows by batches of new ones, until it is cleared."""
 
+    def __init__(self):
+        self.clear()
 
-def _group_texts(ids_a: np.ndarray, ids_b: np.ndarray, found: Aligned, signs: tuple[list, list], docs: int) -> list[str]:
-    """Digest of each document's groups as ``a1,a2|b1;a3|b2,b3``; without tokens an empty string."""
-    groups = int(found.group_a[-1]) + 1 if len(ids_a) else 0
-    in_a, in_b = (np.bincount(g, minlength=groups) for g in (found.group_a, found.group_b))
-    before_b = np.concatenate([[0], np.cumsum(in_b)])[:-1]
-    through_a = np.cumsum(in_a)
-    last_a, last_b = (np.roll(_new_groups(g), -1) for g in (found.group_a, found.group_b))
-    codes = np.empty(len(ids_a) + len(ids_b), dtype=np.int64)
-    codes[np.arange(len(ids_a)) + before_b[found.group_a]] = 2 * ids_a + last_a
-    codes[np.arange(len(ids_b)) + through_a[found.group_b]] = 2 * (ids_b + len(signs[0]) // 2) + last_b
-    table = signs[0] + signs[1]
-    cuts = np.searchsorted(found.doc_a, np.arange(docs + 1)) + np.searchsorted(found.doc_b, np.arange(docs + 1))
-    texts = []
-    for lo, hi in zip(cuts[:-1], cuts[1:]):
-        said = "".join(map(table.__getitem__, codes[lo:hi].tolist()))
-        texts.append(hashlib.sha256(said[:-1].encode()).hexdigest() if said else "")
-    return texts
-
-
-ALIGNED = pa.schema(
-    [
-        ("key", pa.null()),
-        ("n_a", pa.int64()),
-        ("n_b", pa.int64()),
-        ("n_groups", pa.int64()),
-        ("n_links", pa.int64()),
-        ("groups_sha256", pa.string()),
-        ("fast", pa.list_(pa.struct([("a", pa.int32()), ("n", pa.int32())]))),
-        ("slow", pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("n", pa.int32())]))),
-    ]
-)
+    def clear(self) -> None:
+        none = np.zeros(0, np.int64)
+        self.index: dict[str, int] = {}
+        self.valid = none.astype(bool)
+        self.sizes = np.zeros((0, 4), np.int64)  # n_a, n_b, n_groups, n_links of each
+        self.groups: list[str] = []
+        self.fast = np.zeros(1, np.int64), none  # offsets, and A's id of each fast link
+        self.slow = np.zeros(1, np.int64), none  # offsets, and a * ids_b + b of each other link
 
+    def __len__(self) -> int:
+        return len(self.groups)
 
-def _per_document(docs: int, doc: np.ndarray, columns: list[np.ndarray], names: list[str]) -> pa.Array:
-    """A list of distinct rows with their numbers ``n`` for each document."""
-    order = np.lexsort([*columns[::-1], doc])
-    doc, columns = doc[order], [c[order] for c in columns]
-    new = np.ones(len(doc), dtype=bool)
-    if len(doc):
-        new[1:] = np.any([x[1:] != x[:-1] for x in (doc, *columns)], axis=0)
-    first = np.flatnonzero(new)
-    times = np.diff(np.append(first, len(doc)))
-    values = pa.StructArray.from_arrays([*[pa.array(c[first].astype(np.int32)) for c in columns], pa.array(times.astype(np.int32))], [*names, "n"])
-    offsets = np.searchsorted(doc[first], np.arange(docs + 1)).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), values)
 
+def _offsets(start: int, owner: np.ndarray, n: int) -> np.ndarray:
+    return start + np.cumsum(np.bincount(owner, minlength=n))
 
-def _align_batches(vocabularies: Vocabularies, same: np.ndarray, key_type: pa.DataType):
-    schema = ALIGNED.set(0, pa.field("key", key_type))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, _, bytes_a, bytes_b = vocabularies.load()
-        size_a, size_b = (np.array([len(t) for t in side], dtype=np.int64) for side in (bytes_a, bytes_b))
-        signs = tuple([f"{i}{end}" for i in range(len(side)) for end in ends] for side, ends in ((bytes_a, ",|"), (bytes_b, ",;")))
-        for batch in batches:
+def _each(pieces: list[str], loaded: Loaded, side: str) -> list[list[int]]:
+    if side == "a":
+        return [found.ids for found in loaded.a.encode_batch_fast([" " + p for p in pieces], add_special_tokens=False)]
+    return loaded.b.encode(pieces, num_threads=1)
+
+
+def encode_pieces(pieces: list[str], loaded: Loaded, side: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of all pieces after one another, the piece of each, and which pieces the tokenizer does not give back byte for byte.
+
+    Pieces that begin and end with other than white space are joined by blanks and encoded together, since each begins a new
+    token; the bytes of the ids tell them apart again.
+    """
+    table = loaded.bytes_a if side == "a" else loaded.bytes_b
+    length = np.array([len(t) for t in table], dtype=np.int64)
+    together, alone, at = [[]], [], 0
+    unusual = side == "a" and (loaded.quick is None or UNUSUAL.search(" ".join(pieces)) is not None)
+    for i, piece in enumerate(pieces):
+        if len(piece) > LONG_PIECE or piece != piece.strip() or (unusual and (loaded.quick is None or UNUSUAL.search(piece))):
+            alone.append(i)
+            continue
+        if at > JOINED_CHARS:
+            together.append([])
             at = 0
-            for column in row_runs(batch.column(1), RUN_BYTES):
-                texts = [t or "" for t in column.to_pylist()]
-                docs = len(texts)
-                all_a, all_b = encoded(texts, vocabularies)
-                for row, text in enumerate(texts):
-                    whole = (" " + text).encode() if text else b""
-                    if any(
-                        b"".join(map(side.__getitem__, ids[row])) != whole for side, ids in ((bytes_a, all_a), (bytes_b, all_b))
-                    ):
-                        whole = b""
-                    if not whole:
-                        all_a[row], all_b[row] = [], []
-                counts = [np.array([len(ids) for ids in side], dtype=np.int64) for side in (all_a, all_b)]
-                ids_a, ids_b = (np.fromiter((i for ids in side for i in ids), np.int64, n.sum()) for side, n in zip((all_a, all_b), counts))
-                doc_a, doc_b = (np.repeat(np.arange(docs), n) for n in counts)
-                found = align(size_a[ids_a], size_b[ids_b], doc_a, doc_b)
-                a, b = ids_a[found.link_a], ids_b[found.link_b]
-                link_doc = doc_a[found.link_a]
-                fast = found.alone & (same[a] == b)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(at, docs),
-                        pa.array(counts[0]),
-                        pa.array(counts[1]),
-                        pa.array(np.bincount(doc_a[_new_groups(found.group_a)], minlength=docs)),
-                        pa.array(np.bincount(link_doc, minlength=docs)),
-                        pa.array(_group_texts(ids_a, ids_b, found, signs, docs)),
-                        _per_document(docs, link_doc[fast], [a[fast]], ["a"]).cast(schema.field("fast").type),
-                        _per_document(docs, link_doc[~fast], [a[~fast], b[~fast]], ["a", "b"]).cast(schema.field("slow").type),
-                    ],
-                    schema=schema,
-                )
-                at += docs
+        together[-1].append(i)
+        at += len(piece) + 1
+    ids, owners, wrong = [], [], np.zeros(len(pieces), dtype=bool)
+    for own in together:
+        if not own:
+            continue
+        joined = " ".join([pieces[i] for i in own])
+        found = loaded.quick.encode_ordinary(" " + joined) if side == "a" else loaded.b.encode(joined)
+        if b"".join(map(table.__getitem__, found)) != (" " + joined).encode():
+            alone += own
+            continue
+        found = np.array(found, dtype=np.int64)
+        ends = np.cumsum([len(pieces[i].encode()) + 1 for i in own])
+        ids.append(found)
+        owners.append(np.array(own, dtype=np.int64)[np.searchsorted(ends, np.cumsum(length[found]))])
+    for i, found in zip(alone, _each([pieces[i] for i in alone], loaded, side)):
+        if b"".join(map(table.__getitem__, found)) == (" " + pieces[i]).encode():
+            ids.append(np.array(found, dtype=np.int64))
+            owners.append(np.full(len(found), i, dtype=np.int64))
+        else:
+            wrong[i] = True
+    none = np.zeros(0, np.int64)
+    ids, owners = np.concatenate([none, *ids]), np.concatenate([none, *owners])
+    order = np.argsort(owners, kind="stable")
+    return ids[order], owners[order], wrong
+
+
+def learn(known: Pieces, new: list[str], vocabularies: Vocabularies, same: np.ndarray) -> None:
+    """Encode and align new pieces. One that either tokenizer does not give back byte for byte is not valid, and has no tokens."""
+    loaded, n = vocabularies.load(), len(new)
+    (a, of_a, wrong_a), (b, of_b, wrong_b) = (encode_pieces(new, loaded, side) for side in "ab")
+    valid = ~(wrong_a | wrong_b)
+    a, of_a, b, of_b = a[valid[of_a]], of_a[valid[of_a]], b[valid[of_b]], of_b[valid[of_b]]
+    size_a, size_b = (np.array([len(t) for t in side], dtype=np.int64) for side in (loaded.bytes_a, loaded.bytes_b))
+    found = align(size_a[a], size_b[b])
+    link_of = of_a[found.link_a]
+    pair_a, pair_b = a[found.link_a], b[found.link_b]
+    fast = found.alone & (same[pair_a] == pair_b)
+    of_group = of_a[np.flatnonzero(np.diff(found.group_a, prepend=-1))]
+    counts = [np.bincount(owner, minlength=n) for owner in (of_a, of_b, of_group, link_of)]
+
+    start = len(known)
+    known.index.update(zip(new, range(start, start + n)))
+    known.valid = np.concatenate([known.valid, valid])
+    known.sizes = np.concatenate([known.sizes, np.stack(counts, axis=1)])
+    known.groups += _group_texts(a, b, of_a, of_b, found, loaded, n)
+    for name, chosen, values in (("fast", fast, pair_a), ("slow", ~fast, pair_a * len(size_b) + pair_b)):
+        offsets, held = getattr(known, name)
+        grown = _offsets(len(held), link_of[chosen], n)
+        setattr(known, name, (np.concatenate([offsets, grown]), np.concatenate([held, values[chosen]])))
+
+
+def _group_texts(a: np.ndarray, b: np.ndarray, of_a: np.ndarray, of_b: np.ndarray, found: Aligned, loaded: Loaded, n: int) -> list[str]:
+    """Each piece's groups as ``a1,a2|b1;a3|b2,b3;``."""
+    table = _signs(len(loaded.bytes_a), len(loaded.bytes_b))
+    groups = int(found.group_a[-1]) + 1 if len(a) else 0
+    in_a, in_b = (np.bincount(g, minlength=groups) for g in (found.group_a, found.group_b))
+    last_a, last_b = (np.diff(g, append=-1) != 0 for g in (found.group_a, found.group_b))
+    codes = np.empty(len(a) + len(b), dtype=np.int64)
+    codes[np.arange(len(a)) + (np.cumsum(in_b) - in_b)[found.group_a]] = 2 * a + last_a
+    codes[np.arange(len(b)) + np.cumsum(in_a)[found.group_b]] = 2 * (b + len(loaded.bytes_a)) + last_b
+    cuts = (np.searchsorted(of_a, np.arange(n + 1)) + np.searchsorted(of_b, np.arange(n + 1))).tolist()
+    said = list(map(table.__getitem__, codes.tolist()))
+    return ["".join(said[lo:hi]) for lo, hi in zip(cuts[:-1], cuts[1:])]
 
-    return run
+
+@lru_cache(2)
+def _signs(ids_a: int, ids_b: int) -> list[str]:
+    """How an id is written within its group, and at its end."""
+    return [f"{i}{end}" for n, ends in ((ids_a, ",|"), (ids_b, ",;")) for i in range(n) for end in ends]
 
 
-def _count_fast(size: int):
-    """Links of the fast path in a vector as long as A's vocabulary, one for each task."""
+def _runs(column: pa.Array, known: Pieces, vocabularies: Vocabularies, same: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Runs of rows: how many, the pieces of all of them as indexes, and each piece's row. Texts without tokens have none."""
+    for run in row_runs(column, RUN_BYTES):
+        pieces = [cut_text(t) if t else [] for t in run.to_pylist()]
+        flat = list(chain.from_iterable(pieces))
+        new = [p for p in dict.fromkeys(flat) if p not in known.index]
+        if new:
+            learn(known, new, vocabularies, same)
+        index = np.fromiter(map(known.index.__getitem__, flat), np.int64, len(flat))
+        row = np.repeat(np.arange(len(pieces)), [len(p) for p in pieces])
+        whole = np.ones(len(pieces), dtype=bool)
+        whole[row[~known.valid[index]]] = False
+        yield len(pieces), index[whole[row]], row[whole[row]]
+
+
+def _expand(lists: tuple[np.ndarray, np.ndarray], pieces: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All entries of the pieces' lists, and for each the place of its piece in ``pieces``."""
+    offsets, values = lists
+    n = offsets[pieces + 1] - offsets[pieces]
+    place = np.repeat(np.arange(len(pieces)), n)
+    within = np.arange(len(place)) - np.repeat(np.cumsum(n) - n, n)
+    return values[offsets[pieces][place] + within], place
+
+
+def _row_sums(values: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """Sums of the rows of ``values`` between neighbouring cuts."""
+    sums = np.concatenate([np.zeros((1, *values.shape[1:]), np.int64), np.cumsum(values, axis=0, dtype=np.int64)])
+    return sums[cuts[1:]] - sums[cuts[:-1]]
+
+
+def _list_of(kind: pa.ListType, offsets: np.ndarray, columns: list[np.ndarray]) -> pa.Array:
+    """Lists of structs from flat columns."""
+    fields = list(kind.value_type)
+    items = pa.StructArray.from_arrays([pa.array(c).cast(f.type) for c, f in zip(columns, fields)], fields=fields)
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), items).cast(kind)
+
+
+FAST = pa.list_(pa.struct([("a", pa.int32()), ("n", pa.int64())]))
+SLOW = pa.list_(pa.struct([("code", pa.int64()), ("n", pa.int64())]))
+NUMBERS = ("n_a", "n_b", "n_groups", "n_links")
+LISTS = "fast array<struct<a:int,n:bigint>>, slow array<struct<code:bigint,n:bigint>>"
+COUNTED = f"key {{}}, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string, {LISTS}, all_{LISTS.replace(' slow', ' all_slow')}"
+
+
+def _align_batches(vocabularies: Vocabularies, same: np.ndarray, key_type: pa.DataType):
+    """A row for each document with its pairs, and now and then a row with ``all_fast`` and ``all_slow``, the numbers of pairs
+    so far: the fast ones from a vector by A's id."""
+    told = [("groups_sha256", pa.string()), ("fast", FAST), ("slow", SLOW), ("all_fast", FAST), ("all_slow", SLOW)]
+    schema = pa.schema([("key", key_type), *[(c, pa.int64()) for c in NUMBERS], *told])
+
+    def pairs(known: Pieces, times: np.ndarray, ids_a: int) -> pa.RecordBatch:
+        met = np.flatnonzero(times)
+        vector = np.zeros(ids_a, dtype=np.int64)
+        a, place = _expand(known.fast, met)
+        np.add.at(vector, a, times[met][place])
+        held = np.flatnonzero(vector)
+        codes, place = _expand(known.slow, met)
+        codes, at = np.unique(codes, return_inverse=True)
+        slow = np.zeros(len(codes), dtype=np.int64)
+        np.add.at(slow, at, times[met][place])
+        lists = [_list_of(FAST, np.array([0, len(held)]), [held, vector[held]]), _list_of(SLOW, np.array([0, len(codes)]), [codes, slow])]
+        return pa.RecordBatch.from_arrays([*[pa.nulls(1, f.type) for f in list(schema)[:8]], *lists], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size, dtype=np.int64)
+        ids_a = len(vocabularies.load().bytes_a)
+        known, times = Pieces(), np.zeros(0, np.int64)
         for batch in batches:
-            pairs = batch.column(0).flatten()
-            ids, times = (pairs.field(i).to_numpy() for i in (0, 1))
-            np.add.at(total, ids, times)
-        held = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(held.astype(np.int32)), pa.array(total[held])], names=["a", "n"])
+            at = 0
+            for rows, index, row in _runs(batch.column(1), known, vocabularies, same):
+                times = np.concatenate([times, np.zeros(len(known) - len(times), np.int64)])
+                times += np.bincount(index, minlength=len(times))
+                cuts = np.searchsorted(row, np.arange(rows + 1))
+                total = _row_sums(known.sizes[index], cuts)
+                said, ends = list(map(known.groups.__getitem__, index.tolist())), cuts.tolist()
+                texts = ["".join(said[lo:hi])[:-1] for lo, hi in zip(ends[:-1], ends[1:])]
+                digests = [hashlib.sha256(t.encode()).hexdigest() if t else "" for t in texts]
+                lists = []
+                for kind, of_piece in ((FAST, known.fast), (SLOW, known.slow)):
+                    values, place = _expand(of_piece, index)
+                    owner, values, n = _distinct(row[place], values)
+                    lists.append(_list_of(kind, np.searchsorted(owner, np.arange(rows + 1)), [values, n]))
+                sums = [pa.array(total[:, i]) for i in range(len(NUMBERS))]
+                none = [pa.nulls(rows, FAST), pa.nulls(rows, SLOW)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, rows), *sums, pa.array(digests, pa.string()), *lists, *none], schema=schema)
+                at += rows
+                if len(known) > MOST_PIECES:
+                    yield pairs(known, times, ids_a)
+                    known.clear()
+                    times = np.zeros(0, np.int64)
+        yield pairs(known, times, ids_a)
 
     return run
 
@@ -281,41 +390,50 @@ class Known:
     pairs: np.ndarray
     pair_counts: np.ndarray
     pair_best: np.ndarray
-    ids_b: int
 
 
-def _score_batches(known: Known, carried: pa.Schema):
-    """Sums of a document's links over the known pairs; its other pairs are passed on."""
-    schema = pa.schema([*carried, ("count_sum", pa.int64()), ("n_best", pa.int64()), ("rest", ALIGNED.field("slow").type)])
+SCORED = "key {}, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string, count_sum bigint, n_best bigint, rest array<struct<code:bigint,n:bigint>>"
+
+
+def _score_batches(known: Known, key_type: pa.DataType):
+    """Sums of each document's links over the known pairs; its other pairs are passed on."""
+    told = [("groups_sha256", pa.string()), ("count_sum", pa.int64()), ("n_best", pa.int64()), ("rest", SLOW)]
+    schema = pa.schema([("key", key_type), *[(c, pa.int64()) for c in NUMBERS], *told])
+
+    def entries(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, value and number of all entries of a list column."""
+        items = column.flatten()
+        row = np.repeat(np.arange(len(column)), column.value_lengths().to_numpy())
+        return row, *(items.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            docs = batch.num_rows
             *kept, fast, slow = batch.columns
-            sums, bests = np.zeros(docs, np.int64), np.zeros(docs, np.int64)
-
-            def add(doc, n, count, is_best):
-                np.add.at(sums, doc, n * count)
-                np.add.at(bests, doc, n * is_best)
-
-            doc = np.repeat(np.arange(docs), fast.value_lengths().to_numpy())
-            own = fast.flatten()
-            ids, n = own.field(0).to_numpy(), own.field(1).to_numpy().astype(np.int64)
-            add(doc, n, known.counts[ids], known.best[ids])
-            doc = np.repeat(np.arange(docs), slow.value_lengths().to_numpy())
-            own = slow.flatten()
-            pair = own.field(0).to_numpy().astype(np.int64) * known.ids_b + own.field(1).to_numpy()
-            n = own.field(2).to_numpy().astype(np.int64)
-            place = np.minimum(np.searchsorted(known.pairs, pair), max(0, len(known.pairs) - 1))
-            held = known.pairs[place] == pair if len(known.pairs) else np.zeros(len(pair), bool)
-            add(doc[held], n[held], known.pair_counts[place[held]], known.pair_best[place[held]])
-            offsets = np.searchsorted(doc[~held], np.arange(docs + 1)).astype(np.int32)
-            rest = pa.ListArray.from_arrays(pa.array(offsets), own.filter(pa.array(~held))).cast(schema.field("rest").type)
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(sums), pa.array(bests), rest], schema=schema)
+            rows = np.arange(batch.num_rows + 1)
+            row, a, n = entries(fast)
+            total = _row_sums(np.stack([n * known.counts[a], n * known.best[a]], axis=1), np.searchsorted(row, rows))
+            row, codes, n = entries(slow)
+            at = np.minimum(np.searchsorted(known.pairs, codes), max(0, len(known.pairs) - 1))
+            held = known.pairs[at] == codes if len(known.pairs) else np.zeros(len(codes), bool)
+            if len(known.pairs):
+                count, best = known.pair_counts[at] * held, known.pair_best[at] & held
+                total += _row_sums(np.stack([n * count, n * best], axis=1), np.searchsorted(row, rows))
+            rest = _list_of(SLOW, np.searchsorted(row[~held], rows), [codes[~held], n[~held]])
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(total[:, 0]), pa.array(total[:, 1]), rest], schema=schema)
 
     return run
 
 
+def _distinct(owner: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (owner, code) in order, and how often each stands."""
+    order = np.lexsort((codes, owner))
+    owner, codes = owner[order], codes[order]
+    new = np.ones(len(codes), dtype=bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (codes[1:] != codes[:-1])
+    first = np.flatnonzero(new)
+    return owner[first], codes[first], np.diff(np.append(first, len(codes)))
+
+
 def align_tokenizers(df: DataFrame, vocabularies: Vocabularies, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``df``: its key, ``n_a``, ``n_b``, ``n_groups``, ``n_links``, ``n_best``, ``count_sum`` and ``groups_sha256``.
 
@@ -324,53 +442,43 @@ def align_tokenizers(df: DataFrame, vocabularies: Vocabularies, key: str = "doc_
     ``n_best`` are the row's links whose pair counts as much as any of its B id, ``count_sum`` is the sum of its links' counts.
 
     NULL and empty texts, and those that either tokenizer does not give back byte for byte, have no tokens: zeros and an
-    empty digest. Texts are encoded whole, very long ones in pieces that end where both begin a new token anyway. Repeated rows
+    empty digest. Texts are encoded whole, in pieces that end where both begin a new token anyway. Repeated rows
     and NULL keys are rows of their own; ties count as best; an empty table gives no rows; other columns are ignored.
     """
     spark = df.sparkSession
-    _, second, bytes_a, bytes_b = vocabularies.load()
-    same = identity_map(bytes_a, bytes_b, [second.is_byte(i) for i in range(len(bytes_b))])
-    source = df.select(F.struct(F.col(key).alias("key"), F.monotonically_increasing_id().alias("row")).alias("key"), F.col(text).alias("text"))
+    loaded = vocabularies.load()
+    ids_a, ids_b = len(loaded.bytes_a), len(loaded.bytes_b)
+    same = identity_map(loaded.bytes_a, loaded.bytes_b, [loaded.b.is_byte(i) for i in range(ids_b)])
+    source = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    source = source.select(F.struct("key", F.monotonically_increasing_id().alias("row")).alias("key"), "text")
     key_type = spark.createDataFrame([], source.select("key").schema).toArrow().schema.field(0).type
     kind = source.schema["key"].dataType.simpleString()
-    rows = staged(
-        source.mapInArrow(
-            _align_batches(vocabularies, same, key_type),
-            f"key {kind}, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string,"
-            " fast array<struct<a:int,n:int>>, slow array<struct<a:int,b:int,n:int>>",
-        ),
-        "aligned",
-    )
+    rows = staged(source.mapInArrow(_align_batches(vocabularies, same, key_type), COUNTED.format(kind)), "aligned")
 
     # Counts of all pairs. What reaches the driver has a row for each id of a vocabulary at most.
-    fast = rows.select("fast").mapInArrow(_count_fast(len(bytes_a)), "a int, n bigint").groupBy("a").agg(F.sum("n").alias("n"))
-    fast_rows = [(a, int(same[a]), n) for a, n in fast.collect()]
-    fast_pairs = spark.createDataFrame(fast_rows, "a int, b int, n bigint")
-    slow_pairs = rows.select(F.inline("slow")).groupBy("a", "b").agg(F.sum("n").alias("n"))
-    pairs = staged(slow_pairs.union(fast_pairs).groupBy("a", "b").agg(F.sum("n").alias("n")), "pairs")
-    highest = spark.createDataFrame(pairs.groupBy("b").agg(F.max("n")).collect(), "b int, most bigint")
-    judged = pairs.join(F.broadcast(highest), "b").select("a", "b", "n", (F.col("n") == F.col("most")).alias("best"))
-
-    counts, best = np.zeros(len(bytes_a), dtype=np.int64), np.zeros(len(bytes_a), dtype=bool)
-    for a, n, is_best in judged.join(F.broadcast(fast_pairs.select("a", "b")), ["a", "b"]).select("a", "n", "best").collect():
-        counts[a], best[a] = n, is_best
+    fast = rows.select(F.inline("all_fast")).groupBy("a").agg(F.sum("n").alias("n"))
+    fast_rows = [(a * ids_b + int(same[a]), n) for a, n in fast.collect()]
+    fast_pairs = spark.createDataFrame(fast_rows, "code bigint, n bigint")
+    slow_pairs = rows.select(F.inline("all_slow")).groupBy("code").agg(F.sum("n").alias("n"))
+    pairs = staged(slow_pairs.union(fast_pairs).groupBy("code").agg(F.sum("n").alias("n")), "pairs")
+    b = F.col("code") % ids_b
+    highest = spark.createDataFrame(pairs.groupBy(b.alias("b")).agg(F.max("n")).collect(), "b bigint, most bigint")
+    judged = pairs.withColumn("b", b).join(F.broadcast(highest), "b").select("code", "n", (F.col("n") == F.col("most")).alias("best"))
+
+    counts, best = np.zeros(ids_a, dtype=np.int64), np.zeros(ids_a, dtype=bool)
+    for code, n, is_best in judged.join(F.broadcast(fast_pairs.select("code")), "code").collect():
+        counts[code // ids_b], best[code // ids_b] = n, is_best
     # No more pairs than FREQUENT_PAIRS can have that share of all links.
     total = pairs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    frequent = F.col("n") * FREQUENT_PAIRS >= total
-    often = sorted((a * len(bytes_b) + b, n, is_best) for a, b, n, is_best in judged.where(frequent).collect())
+    often = sorted(tuple(r) for r in judged.where(F.col("n") * FREQUENT_PAIRS >= total).collect())
     kinds = (np.int64, np.int64, bool)
-    known = Known(counts, best, *(np.array([row[i] for row in often], dtype=kind) for i, kind in enumerate(kinds)), len(bytes_b))
+    known = Known(counts, best, *(np.array([row[i] for row in often], dtype=kind) for i, kind in enumerate(kinds)))
 
-    carried = ["key", "n_a", "n_b", "n_groups", "n_links", "groups_sha256"]
-    fields = pa.schema([ALIGNED.field(c) if c != "key" else pa.field("key", key_type) for c in carried])
-    shape = f"key {kind}, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string, count_sum bigint, n_best bigint"
-    scored = rows.select(*carried, "fast", "slow").mapInArrow(
-        _score_batches(known, fields), f"{shape}, rest array<struct<a:int,b:int,n:int>>"
-    )
-    scored = staged(scored, "scored")
+    lists = rows.where("key IS NOT NULL").select("key", *NUMBERS, "groups_sha256", "fast", "slow")
+    scored = staged(lists.mapInArrow(_score_batches(known, key_type), SCORED.format(kind)), "scored")
     rest = (
-        scored.select(F.col("key.row").alias("_row"), F.inline("rest").alias("_a", "_b", "_n"))
-        .join(judged, (F.col("_a") == F.col("a")) & (F.col("_b") == F.col("b")))
+        scored.select(F.col("key.row").alias("_row"), F.inline("rest").alias("_code", "_n"))
+        .join(judged, F.col("_code") == F.col("code"))
         .groupBy("_row")
         .agg(F.sum(F.col("_n") * F.col("n")).alias("_sum"), F.sum(F.when(F.col("best"), F.col("_n"))).alias("_best"))
     )

@@ -107,11 +107,11 @@ def test_against_a_plain_alignment(spark, vocabularies, monkeypatch):
     assert aligned(spark, texts, vocabularies) == want
 
 
-def test_long_texts_are_cut_where_nothing_changes(spark, vocabularies, monkeypatch):
+def test_texts_are_cut_where_nothing_changes(spark, vocabularies, monkeypatch):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     texts = [r.text for r in docs.select("text").orderBy("doc_id").limit(60).collect()] + ODD
     want = plain(texts, vocabularies)
-    monkeypatch.setattr(crosstok, "PIECE_CHARS", 50)
+    monkeypatch.setattr(crosstok, "MOST_PIECES", 20)
     monkeypatch.setattr(crosstok, "RUN_BYTES", 5000)
     assert aligned(spark, texts, vocabularies) == want
 
@@ -146,8 +146,10 @@ def test_the_query_equals_a_plain_alignment(spark, vocabularies):
 
 
 def test_the_identity_map_prefers_pieces(vocabularies):
-    _, b, of_a, of_b = vocabularies.load()
+    loaded = vocabularies.load()
+    b, of_a, of_b = loaded.b, loaded.bytes_a, loaded.bytes_b
     same = crosstok.identity_map(of_a, of_b, [b.is_byte(i) for i in range(len(of_b))])
     held = np.flatnonzero(same >= 0)
+    assert loaded.quick is not None
     assert len(held) > 10_000 and all(of_a[i] == of_b[same[i]] for i in held)
     assert b.id_to_piece(int(same[of_a.index(b"A")])) == "A"
