@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Sequence
 
 import pyarrow as pa
@@ -16,6 +17,10 @@ from feedmill.llm.staging import staged
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+# Runs of white space from this length on are taken out of a text: the splitting pattern would recurse over them.
+LONG_BLANK = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{1000,}")
+
+
 class _Encoders(dict):
     """Encoders of a process by vocabulary; left behind when the function that uses them is sent to a task."""
 
@@ -37,16 +42,29 @@ def encoder(vocabulary: bytes, pattern: str = PATTERN):
     return _ENCODERS[name]
 
 
+def encoded_length(text: str, own) -> int:
+    """Tokens of a whole text.
+
+    The pattern takes a run of white space but for its last character as one piece, or all of it at the end of a text, so a
+    very long run is encoded by itself just there."""
+    n, at = 0, 0
+    for run in LONG_BLANK.finditer(text):
+        end = run.end() if run.end() == len(text) else run.end() - 1
+        n += len(own.encode_ordinary(text[at : run.start()])) + len(own._encode_single_piece(text[run.start() : end].encode()))
+        at = end
+    return n + len(own.encode_ordinary(text[at:]))
+
+
 def count_tokens(df: DataFrame, vocabulary: bytes, text: str = "text", count: str = "n_tokens") -> DataFrame:
     """Add the encoded length of each whole text, replacing a column of that name; NULL and empty texts have 0.
 
-    Strings that look like special tokens are ordinary text. The vocabulary travels with the job.
+    Texts of any length are encoded whole. Strings that look like special tokens are ordinary text. The vocabulary travels with the job.
     """
 
     @F.arrow_udf("bigint")
     def encoded(texts: pa.Array) -> pa.Array:
         own = encoder(vocabulary)
-        return pa.array([len(own.encode_ordinary(t.as_py())) if t.is_valid else 0 for t in texts], pa.int64())
+        return pa.array([encoded_length(t.as_py(), own) if t.is_valid else 0 for t in texts], pa.int64())
 
     return df.withColumn(count, encoded(F.col(text)))
 

@@ -54,12 +54,14 @@ def bloom_blocks(keys: DataFrame, blocks: int) -> DataFrame:
     return bits.groupBy("block").agg(*[F.bit_or(f"w{i}").alias(f"w{i}") for i in range(WORDS)])
 
 
-def candidate_keys(urls: DataFrame, path_lengths: list[int]) -> DataFrame:
-    """Every (host or parent domain, path prefix) of ``url`` that a rule could name, by the lengths rules have."""
-    labels = F.split("host", r"\.", -1)
-    parents = F.transform(
-        F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")
-    )
+def label_count(host: Column) -> Column:
+    return F.length(host) - F.length(F.replace(host, F.lit("."), F.lit(""))) + 1
+
+
+def candidate_keys(urls: DataFrame, path_lengths: list[int], label_counts: list[int]) -> DataFrame:
+    """Every (host or parent domain, path prefix) of ``url`` that a rule could name, by the lengths and numbers of labels rules have."""
+    held = F.filter(F.array(*[F.lit(n) for n in label_counts]), lambda n: n <= label_count(F.col("host")))
+    parents = F.transform(held, lambda n: F.call_function("substring_index", F.col("host"), F.lit("."), -n))
     lengths = F.filter(F.array(*[F.lit(n) for n in path_lengths]), lambda n: n <= F.length("path"))
     prefixes = F.transform(lengths, lambda n: F.left(F.col("path"), n))
     return (
@@ -74,7 +76,8 @@ def match_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
 
     The filter has one block per 16 rules, 64 bits or so a rule; Spark broadcasts it while it is under
     spark.sql.autoBroadcastJoinThreshold and shuffles both sides by block beyond. Only keys that may be listed reach
-    the exact join. The set of distinct rule path lengths is collected: it has one number for each length.
+    the exact join. The distinct path lengths and numbers of
+    host labels of the rules are collected, one number each; of a URL's host only parents with so many labels are made.
     """
     listed = staged(
         rules.select(
@@ -87,11 +90,13 @@ def match_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
     count = listed.count()
     lengths = rules.where("rule_path IS NOT NULL").select(F.length("rule_path").alias("n")).distinct()
     path_lengths = sorted(r.n for r in lengths.toLocalIterator())
+    labels = rules.where("rule_host IS NOT NULL").select(label_count(F.col("rule_host")).alias("n")).distinct()
+    label_counts = sorted(r.n for r in labels.toLocalIterator())
     if not count:
         return urls.select("url", F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("rule_verdict")).where("false")
     blocks = -(-count // KEYS_PER_BLOCK)
     bloom = staged(bloom_blocks(listed.select("key").distinct(), blocks), "bloom")
-    keys = candidate_keys(urls, path_lengths).withColumn("_block", _block(F.col("key"), blocks))
+    keys = candidate_keys(urls, path_lengths, label_counts).withColumn("_block", _block(F.col("key"), blocks))
     hit = F.lit(True)
     for i, mask in enumerate(_masks(F.col("key"))):
         hit = hit & (F.col(f"w{i}").bitwiseAND(mask) == mask)

@@ -208,6 +208,8 @@ def test_url_rules(spark):
         "http://x.org/fr/": ("x.org", "/fr/", "org/fr/", "allow"),
         "://net/\nline": ("net", "/\nline", "net/", "block"),
         "http://" + "a." * 3000 + "net/" + "p" * 5000: ("a." * 3000 + "net", "/" + "p" * 5000, "net/", "block"),
+        "http://" + "a." * 100_000 + "example.net/en/": ("a." * 100_000 + "example.net", "/en/", "example.net/en/", "allow"),
+        "http://" + "." * 50_000 + "org/fr/": ("." * 50_000 + "org", "/fr/", "org/fr/", "allow"),
     }
     rows = [(i, u) for i, u in enumerate(cases)] + [(0, None), (2, list(cases)[2])]
     df = spark.createDataFrame(rows, "page_id long, url string").withColumn("host", F.lit(0)).withColumn("key", F.lit("old"))

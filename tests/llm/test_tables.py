@@ -2,12 +2,13 @@
 
 import hashlib
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
+from pathlib import Path
 
 import pytest
 from check_queries import compare, connect
 
-from feedmill.llm import registry
+from feedmill.llm import registry, tokens
 
 SF_DIR = "/root/testdata/sf0.001"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -26,6 +27,16 @@ def test_one_query_for_each_operator():
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in registry.QUERIES) == list(range(1, len(registry.QUERIES) + 1))
 
 
+def test_token_lengths_equal_a_recount(spark):
+    own = tokens.encoder(Path(registry.VOCABULARY).read_bytes())
+    lengths = Counter(len(own.encode_ordinary(text or "")) for (text,) in rows_of("SELECT text FROM documents"))
+    got = {r.length: r for r in registry.QUERIES["op1_token_lengths"](spark, SF_DIR).collect()}
+    assert {n: r.docs for n, r in got.items()} == lengths
+    for n, r in got.items():
+        assert r.longer_docs == sum(k for m, k in lengths.items() if m > n) and r.longer_tokens == sum(m * k for m, k in lengths.items() if m > n)
+        assert r.truncated_total == sum(min(m, n) * k for m, k in lengths.items())
+
+
 def test_licence_places_equal_a_plain_search(spark):
     got = {r.doc_id: r for r in registry.QUERIES["op4_licence_scan"](spark, SF_DIR).collect()}
     phrases = {"mit": "under the mit license", "apache-2": "apache license version 2", "cc-by-nc": "cc by nc"}

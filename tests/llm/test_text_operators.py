@@ -137,6 +137,19 @@ def test_length_curve_equals_counting(spark):
     assert tokens.length_curve(tokens.length_histogram(counted.limit(0))).count() == 0
 
 
+def test_very_long_runs_have_their_tokens(spark):
+    """Cut out runs of white space where the pattern would: the same ids as when each piece of the pattern is encoded alone."""
+    own = tokens.encoder(VOCABULARY)
+    for run in (" " * 1000, "\n" * 1500, " \n" * 700, "\u3000" * 1001, "\x1c" * 1200):
+        for before in ("", "a", "a b", "!"):
+            for after in ("", "b", " b", "\x1cb", "!"):
+                text = before + run + after
+                assert tokens.encoded_length(text, own) == len(own.encode_ordinary(text))
+    texts = {" " * 10_000_000: 10_000_000, "ab" + " \t" * 2_000_000 + "c": 4_000_003, "x" * 100_000 + "\n" * 2_000_000: 2_100_000, "!?" * 500_000: 1_000_000}
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(4)
+    assert {r.text: r.n_tokens for r in tokens.count_tokens(df, VOCABULARY).collect()} == texts
+
+
 def test_longest_common_subsequence_equals_the_table():
     random = np.random.default_rng(2)
     for _ in range(20):
