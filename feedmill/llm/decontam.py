@@ -169,6 +169,19 @@ def stored_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]
             yield [np.frombuffer(b.as_py() or b"", dtype=np.int32) for b in batch.column(0).slice(at, 1000)]
 
 
+def stored_runs(column: pa.Array, size: int = 1 << 22) -> Iterator[list[np.ndarray]]:
+    """The texts of a column of stored numbers, in runs of a few megabytes."""
+    texts, held = [], 0
+    for value in column:
+        texts.append(np.frombuffer(value.as_py() or b"", dtype=np.int32))
+        held += texts[-1].nbytes
+        if held >= size:
+            yield texts
+            texts, held = [], 0
+    if texts:
+        yield texts
+
+
 def inverse_frequencies(numbers: DataFrame, words: int) -> np.ndarray:
     """IDF of each word number over segments of 64 words of all texts; 0 for number 0."""
 
@@ -297,9 +310,8 @@ class Retriever:
                 window, item = np.nonzero(cosine >= self.least_cosine)
                 yield at[lo + window], items[item], cosine[window, item], int(n)
 
-    def matches(self, column: pa.Array) -> list[list[dict]]:
-        """Per text, the best match with each item that counts as a leak."""
-        texts = numbers_by_row(column, self.bench.hashes)
+    def matches(self, texts: list[np.ndarray]) -> list[list[dict]]:
+        """Per text, given as word numbers, the best match with each item that counts as a leak."""
         best: list[dict] = [{} for _ in texts]
         for part in portions(texts):
             for block, item, cosine, blocks in self.candidates(part):
@@ -365,35 +377,39 @@ def find_leaks(
         bench = read_benchmark(own.orderBy(item_key, "_text").toArrow(), least_words, 3)
         if not len(bench.parts):
             continue
-        found = _search(df, bench, text, dims, least_cosine, least_lcs, answered_lcs)
+        # A copy with the words as numbers: the texts are split once, and all later steps read the numbers.
+        rows = result.select(F.struct(*[F.col(f"`{c}`") for c in result.columns]).alias("row"), numbered_words(bench.hashes)(F.col(text)).alias("numbers"))
+        rows = staged(rows, "numbers")
+        found = _search(rows.select("numbers"), bench, dims, least_cosine, least_lcs, answered_lcs)
         ids = F.array(*[F.lit(i).cast(id_type) for i in bench.item_ids])
         named = F.transform(
-            found("_text"),
+            found("numbers"),
             lambda m: F.struct(
                 F.get(ids, m["item"]).alias("item_id"), m["start"].alias("start"), m["cosine"].alias("cosine"), m["lcs"].alias("lcs"), m["answered"].alias("answered")
             ),
         )
-        result = result.withColumn("_text", F.col(text)).withColumn("leaks", F.concat("leaks", named)).drop("_text")
+        result = rows.select(*[F.col(f"row.`{c}`") for c in kept], F.concat("row.leaks", named).alias("leaks"))
     return result
 
 
-def _search(df: DataFrame, bench: Benchmark, text: str, dims: int, least_cosine: float, least_lcs: float, answered_lcs: float) -> Callable:
-    hashes = bench.hashes
-
+def numbered_words(hashes: np.ndarray) -> Callable:
     @F.arrow_udf("binary")
     def numbered(texts: pa.Array) -> pa.Array:
         runs = [pa.array([n.tobytes() for n in numbers_by_row(own, hashes)], pa.binary()) for own in row_runs(texts)]
         return pa.concat_arrays([*runs, pa.array([], pa.binary())])
 
-    numbers = staged(df.select(numbered(F.col(text)).alias("numbers")), "numbers")
-    idf = inverse_frequencies(numbers, len(hashes))
+    return numbered
+
+
+def _search(numbers: DataFrame, bench: Benchmark, dims: int, least_cosine: float, least_lcs: float, answered_lcs: float) -> Callable:
+    idf = inverse_frequencies(numbers, len(bench.hashes))
     retriever = Retriever(bench, latent_space(numbers, idf, dims), least_cosine, least_lcs, answered_lcs)
 
     @F.arrow_udf(MATCH)
-    def leaks(texts: pa.Array) -> pa.Array:
+    def leaks(numbers: pa.Array) -> pa.Array:
         kind = pa.list_(
             pa.struct([("item", pa.int32()), ("start", pa.int64()), ("cosine", pa.float64()), ("lcs", pa.float64()), ("answered", pa.bool_())])
         )
-        return pa.array([found for own in row_runs(texts) for found in retriever.matches(own)], kind)
+        return pa.array([found for texts in stored_runs(numbers) for found in retriever.matches(texts)], kind)
 
     return leaks
