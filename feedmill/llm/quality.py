@@ -8,6 +8,7 @@ in numpy. To score, the layer is folded into the vectors: one number per bucket,
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from feedmill.llm.samples import class_counts, labelled_sample
+from feedmill.llm.samples import class_counts, fit_in_task, labelled_rows
 from feedmill.llm.text import SPACES, Hashes, Slice, mix, row_of_byte, slices, words_of
 
 NGRAMS = (3, 4)
@@ -122,8 +123,8 @@ def fit(
     max_bytes: int = 24_000_000,
 ) -> QualityModel:
     """Learn from at most ``per_class`` labelled documents of each class and ``max_bytes`` of their text."""
-    sample = labelled_sample(docs, labels, label, allowed, per_class, max_bytes)
-    return train(sample, class_counts(labels, label, allowed))
+    sample = labelled_rows(docs, labels, label, allowed, per_class, max_bytes)
+    return fit_in_task(sample, partial(train, prior=class_counts(labels, label, allowed)))
 
 
 def score_quality(df: DataFrame, model: QualityModel, text: str = "text", score: str = "score") -> DataFrame:

@@ -11,6 +11,7 @@ frequent there and next to absent from clean ones.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from feedmill.llm.samples import class_counts, labelled_sample
+from feedmill.llm.samples import class_counts, fit_in_task, labelled_rows
 from feedmill.llm.text import LOWER, Hashes, Slice, mix, row_of_byte, slices, words_of
 
 # Letters and digits of ASCII and every byte of a longer code point make words.
@@ -266,8 +267,8 @@ def fit(
     max_bytes: int = 6_000_000,
 ) -> ToxicModel:
     """Learn from at most ``per_class`` labelled documents of each class and ``max_bytes`` of their text."""
-    sample = labelled_sample(docs, labels, label, allowed, per_class, max_bytes)
-    return train(sample, class_counts(labels, label, allowed))
+    sample = labelled_rows(docs, labels, label, allowed, per_class, max_bytes)
+    return fit_in_task(sample, partial(train, prior=class_counts(labels, label, allowed)))
 
 
 def tag_toxic(df: DataFrame, model: ToxicModel, text: str = "text") -> DataFrame:
