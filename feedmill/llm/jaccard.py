@@ -1,14 +1,17 @@
 """Exact Jaccard join of documents on word n-grams, by a token-group matrix.
 
 1. A document is the set of hashes of its word n-grams; equal sets are one class, and one document of each stands for it.
-2. Classes fall into groups by their min-hash, so that a group's members are alike; a group that is large is cut into blocks.
-3. Tokens have one order: by hash, but those last that many documents share. Two sets that link must share tokens among
+2. Tokens have one order: by hash, but those last that many documents share. Two sets that link must share tokens among
    the first of each (the prefix principle), at least as many as the shorter of their prefixes is longer than it need be.
-   Tokens that are frequent even so count only for the few dense sets that have hardly any other: these are kept as a
-   matrix of tokens and groups, so that a large family of near copies costs a row per token and group, not per pair.
-4. Pairs of groups that qualify are opened: a task gets the touched members' texts, bounds each member's overlap with the
-   other group's token union, and compares the members that pass with exact counts.
-5. Links become connected components.
+   Sets that share enough tokens that are not frequent are paired by them; groups by min-hash keep alike sets together.
+3. Frequent tokens count only for the few dense sets that have hardly any other, such as a large family of near copies. A dense set
+   of which too few tokens are in any other dense set links with none of them. Each of the rest is compared with one set, the hub
+   of its tokens, which is the set with most tokens in common with others; those that link with it are one group and need no
+   comparison among themselves, however many they are.
+4. The matrix of tokens and groups holds each group's token union. A set that is not yet in a group's component is bounded by its
+   overlap with the union, counting a token of its own group only if another member has it, too.
+5. Groups that qualify are opened: a task gets the group's texts and those of the sets that ask, and compares exact counts.
+6. Links become connected components.
 
 A class is known by a 64-bit sum of mixed hashes; two unequal sets share it with probability 2**-64.
 """
@@ -20,7 +23,7 @@ from math import ceil
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -35,7 +38,7 @@ FREQUENT = 32
 COMMON_SHARE = 0.002
 COMMON_MOST = 50_000
 # N-grams in a group before it is cut into blocks.
-BLOCK_TOKENS = 40_000
+BLOCK_TOKENS = 200_000
 # Columns of a comparison's token table at a time.
 CHUNK = 4096
 
@@ -94,17 +97,19 @@ def class_of(tokens: np.ndarray) -> int:
 
 
 def _sketch(n: int, percent: int, key_type: pa.DataType, common: np.ndarray) -> Callable:
-    """Per document: class, set size, min-hash, and the start of its token order. The tokens are given once per class
-    and task, so many copies of one text do not multiply them."""
+    """Per document: class, set size, min-hash, the start of its token order, and the text. The last two are given once per
+    class and task, so many copies of one text do not multiply them."""
     schema = pa.schema(
-        [("key", key_type), ("cid", pa.int64()), ("n", pa.int64()), ("low", pa.int64()), ("tokens", pa.list_(pa.int64()))]
+        [("key", key_type), ("cid", pa.int64()), ("n", pa.int64()), ("low", pa.int64()), ("tokens", pa.list_(pa.int64())), ("text", pa.string())]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
             cids, sizes, lows, tokens = [], [], [], []
-            for own in shingle_sets(batch.column(1), n):
+            places: list[int | None] = []
+            for row, own in enumerate(shingle_sets(batch.column(1), n)):
+                places.append(None)
                 sizes.append(len(own))
                 if not len(own):
                     cids.append(None)
@@ -115,6 +120,7 @@ def _sketch(n: int, percent: int, key_type: pa.DataType, common: np.ndarray) ->
                 cids.append(cid)
                 lows.append(int(np.min(mix(own ^ np.uint64(0x5A5A))).astype(np.int64)))
                 tokens.append(None if cid in seen else in_order(own, common)[: stored(len(own), percent)].astype(np.int64))
+                places[-1] = None if cid in seen else row
                 seen.add(cid)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -123,6 +129,7 @@ def _sketch(n: int, percent: int, key_type: pa.DataType, common: np.ndarray) ->
                     pa.array(sizes, pa.int64()),
                     pa.array(lows, pa.int64()),
                     pa.array(tokens, pa.list_(pa.int64())),
+                    batch.column(1).take(pa.array(places, pa.int64())).cast(pa.string()),
                 ],
                 schema=schema,
             )
@@ -130,24 +137,6 @@ def _sketch(n: int, percent: int, key_type: pa.DataType, common: np.ndarray) ->
     return run
 
 
-def _texts(n: int) -> Callable:
-    """A text of each class, given once per class and task. Keys do not name a text: they may repeat, or be NULL."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in batches:
-            cids, rows = [], []
-            for row, own in enumerate(shingle_sets(batch.column(0), n)):
-                if len(own) and (cid := class_of(own)) not in seen:
-                    seen.add(cid)
-                    cids.append(cid)
-                    rows.append(row)
-            texts = batch.column(0).take(pa.array(rows, pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(cids, pa.int64()), texts], names=["cid", "text"])
-
-    return run
-
-
 def needed(n: int, percent: int) -> int:
     """Length of the prefix in which sets that link must share a token."""
     return n - ceil(percent * n / 100) + 1
@@ -252,33 +241,12 @@ def jaccard_classes(
     """
     spark = df.sparkSession
     docs = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    texts = docs.select("text").mapInArrow(_texts(n), "cid bigint, text string")
     key_type = spark.createDataFrame([], docs.select("key").schema).toArrow().schema.field(0).type
     kind = docs.schema["key"].dataType.simpleString()
-    sketched = staged(
-        docs.mapInArrow(
-            _sketch(n, percent, key_type, common_tokens(docs.select("text"), n)), f"key {kind}, cid bigint, n bigint, low bigint, tokens array<bigint>"
-        ),
-        "sketch",
-    )
-    classes = sketched.where("n > 0").groupBy("cid").agg(F.min("key").alias("rep"), F.first("n").alias("n"), F.first("low").alias("low"))
-
-    # Groups: by min-hash and size, large ones in blocks. Sets that link are at most one size band apart; one more is
-    # allowed for rounding.
-    band = F.floor(F.log("n") / np.log(100 / min(percent, 99))).cast("int")
-    banded = classes.withColumn("band", band)
-    sizes = banded.groupBy("low", "band").agg(F.sum("n").alias("total")).where(F.col("total") > BLOCK_TOKENS)
-    cut = staged(
-        sizes.select(F.col("low").alias("_low"), F.col("band").alias("_band"), F.ceil(F.col("total") / BLOCK_TOKENS).alias("blocks")),
-        "blocks",
-    )
-    block = F.pmod(F.xxhash64("cid"), F.coalesce("blocks", F.lit(1)))
-    groups = staged(
-        banded.join(cut, (F.col("low") == F.col("_low")) & (F.col("band") == F.col("_band")), "left").select(
-            "cid", "rep", "n", "band", F.xxhash64("low", "band", block).alias("g")
-        ),
-        "groups",
-    )
+    sketch = _sketch(n, percent, key_type, common_tokens(docs.select("text"), n))
+    sketched = staged(docs.mapInArrow(sketch, f"key {kind}, cid bigint, n bigint, low bigint, tokens array<bigint>, text string"), "sketch")
+    texts = sketched.where("text IS NOT NULL AND cid IS NOT NULL").select("cid", "text")
+    groups = staged(_groups(sketched, percent), "groups")
 
     # Token order: classes per token, over all stored tokens.
     need = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
@@ -317,31 +285,17 @@ def jaccard_classes(
         pairs.select(*ends, F.col("b").alias("cid"), F.col("g_b").alias("g"))
     )
 
-    # Dense sets: whole, as a matrix of tokens and groups. A sparse set needs its share of stored tokens in a group's
-    # union, two groups of dense sets as many tokens in common as the smaller bound of either's members.
-    dense = staged(groups.join(spare.where("_least < 1"), F.col("cid") == F.col("_cid")).select("cid", "n", "band", "g"), "dense")
-    full = texts.join(dense, "cid").dropDuplicates(["cid"]).select("g", "band", "cid", F.explode(_shingles_of(n)("text")).alias("token"))
-    matrix = staged(full.groupBy("token", "g").agg(F.first("band").alias("band"), F.min("cid").alias("one"), F.max("cid").alias("other")), "matrix")
-    least_of = dense.groupBy("g").agg(F.min("n").alias("smallest"))
-    near = "abs(x.band - y.band) <= 2"
-    common = (
-        matrix.alias("x")
-        .join(matrix.alias("y"), F.expr(f"x.token = y.token AND x.g <= y.g AND (x.g < y.g OR x.one < x.other) AND {near}"))
-        .groupBy(F.col("x.g").alias("ga"), F.col("y.g").alias("gb"))
-        .agg(F.count(F.lit(1)).alias("both"))
-    )
-    smallest = [least_of.select(F.col("g").alias(g), F.col("smallest").alias(f"_{g}")) for g in ("ga", "gb")]
-    dense_pairs = (
-        common.join(smallest[0], "ga")
-        .join(smallest[1], "gb")
-        .where(F.col("both") * 100 >= F.greatest("_ga", "_gb") * percent)
-        .select("ga", "gb")
-    )
-    few = shared.where(F.col("df") > hot).select("token").distinct()
+    # Dense sets: with each other, and sparse sets with them.
+    dense = groups.join(spare.where("_least < 1"), F.col("cid") == F.col("_cid")).select("cid", "n", "g")
+    sets = texts.join(dense.hint("merge"), "cid").dropDuplicates(["cid"])
+    sets = staged(sets.select("cid", "n", "g", _shingles_of(n)("text").alias("tokens")), "dense")
+    matrix, members, links, asked = _dense_groups(sets, percent)
+    rare = places.join(shared.where(F.col("df") > hot).select("token").distinct(), "token", "left_anti")
+    band = _band(percent)
     with_dense = (
-        places.join(matrix.select("token", F.col("g").alias("g_b"), F.col("band").alias("band_b")), "token")
+        rare.join(matrix.select("token", F.col("g").alias("g_b"), F.col("band").alias("band_b")), "token")
         .where(F.abs(F.col("band_b") - band) <= 2)
-        .join(few, "token", "left_anti")
+        .select("token", "cid", "n", "g_b")
         .distinct()
     )
     with_dense = (
@@ -350,27 +304,20 @@ def jaccard_classes(
         .agg(F.count(F.lit(1)).alias("both"), F.first("least").alias("least"))
         .where("both >= least")
         .join(groups.select("cid", F.col("g").alias("g_a")), "cid")
-        .select("cid", "g_a", *ends)
+        .select(F.col("g_a").alias("ga"), F.col("g_b").alias("gb"), "cid", F.col("g_a").alias("g"))
     )
-    with_dense = staged(with_dense, "sparse-dense")
-    dense_ends = dense_pairs.union(with_dense.select("ga", "gb")).distinct()
-    side = dense_ends.select("ga", "gb", F.explode(F.array_distinct(F.array("ga", "gb"))).alias("g"))
-    touched = touched.union(side.join(dense, "g").select("ga", "gb", "cid", "g")).union(
-        with_dense.select("ga", "gb", "cid", F.col("g_a").alias("g"))
-    )
-    opened = staged(touched.distinct(), "opened")
+    asked = staged(asked.union(with_dense), "asked")
+    side = asked.select("ga", "gb").distinct().join(members, F.col("gb") == F.col("g")).select("ga", "gb", "cid", "g")
+    opened = staged(touched.union(asked).union(side).distinct(), "opened")
 
-    # Open: each group pair in one task, with the texts of its touched members.
+    # Open: each pair of groups in one task, with the texts of its touched members.
     wanted = staged(opened.select("cid").distinct(), "wanted")
     # Texts are shuffled at any size, so that the plan does not change with it.
     texts = texts.join(wanted.hint("merge"), "cid").dropDuplicates(["cid"])
-    links = staged(
-        opened.select("ga", "gb", "g", "cid").join(texts, "cid").groupBy("ga", "gb").applyInArrow(_open(n, percent), "a bigint, b bigint"),
-        "found",
-    )
+    found = opened.join(texts, "cid").groupBy("ga", "gb").applyInArrow(_open(n, percent), "a bigint, b bigint")
 
     # Components of classes, then each document's.
-    rooted = connected_components(links)
+    rooted = connected_components(links.union(found))
     reps = groups.select("cid", "rep")
     named = reps.join(rooted.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     lowest = named.groupBy("root").agg(F.min("rep").alias("component"))
@@ -378,3 +325,84 @@ def jaccard_classes(
     return sketched.join(component, F.col("cid") == F.col("_cid"), "left").select(
         F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "key").alias("component_id")
     )
+
+
+def _band(percent: int) -> Column:
+    """Band of a set size ``n``. Sets that link are at most one band apart; one more is allowed for rounding."""
+    return F.floor(F.log("n") / np.log(100 / min(percent, 99))).cast("int")
+
+
+def _groups(sketched: DataFrame, percent: int) -> DataFrame:
+    """Per class: smallest key, size, and group by min-hash and size band, large ones in blocks."""
+    classes = sketched.where("n > 0").groupBy("cid").agg(F.min("key").alias("rep"), F.first("n").alias("n"), F.first("low").alias("low"))
+    banded = classes.withColumn("band", _band(percent))
+    sizes = banded.groupBy("low", "band").agg(F.sum("n").alias("total")).where(F.col("total") > BLOCK_TOKENS)
+    cut = sizes.select(F.col("low").alias("_low"), F.col("band").alias("_band"), F.ceil(F.col("total") / BLOCK_TOKENS).alias("blocks"))
+    block = F.pmod(F.xxhash64("cid"), F.coalesce("blocks", F.lit(1)))
+    return banded.join(staged(cut, "blocks"), (F.col("low") == F.col("_low")) & (F.col("band") == F.col("_band")), "left").select(
+        "cid", "rep", "n", F.xxhash64("low", "band", block).alias("g")
+    )
+
+
+def _dense_groups(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Groups of dense sets (cid, n, g, tokens), what links within them, and which sets must be compared with which groups.
+
+    Returns the matrix (token, g, band), the members (cid, g), links (a, b), and asking sets as (ga, gb, cid, g): ``cid`` of group
+    ``ga`` is to be compared with all members of ``gb``.
+    """
+    tokens = sets.select("cid", "n", F.explode("tokens").alias("token"))
+    # Sets of which enough tokens are in another one.
+    often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1").select("token")
+    shared = staged(tokens.join(often, "token"), "dense-tokens")
+    held = shared.groupBy("cid").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("held")).where(F.col("held") * 100 >= F.col("n") * percent)
+    held = staged(held.select(F.col("cid").alias("_cid"), "held"), "held")
+    near = shared.join(held, F.col("cid") == F.col("_cid")).select("cid", "n", "token", "held")
+
+    # The hub of a token, of a set the one that most of its tokens have; and the overlap of each set with its hub.
+    best = F.max(F.struct((F.col("held") / F.col("n")).alias("share"), F.col("cid").alias("hub"))).alias("best")
+    hubs = near.groupBy("token").agg(best).select(F.col("token").alias("_token"), "best.hub")
+    votes = near.join(hubs, F.col("token") == F.col("_token")).groupBy("cid", "hub").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("votes"))
+    chosen = staged(votes.groupBy("cid").agg(F.first("n").alias("n"), F.max_by("hub", F.struct("votes", "hub")).alias("hub")), "hubs")
+    mine = near.select("cid", "token").join(chosen.select(F.col("cid").alias("_of"), "hub"), F.col("cid") == F.col("_of"))
+    of_hubs = near.join(chosen.select(F.col("hub").alias("_hub")).distinct(), F.col("cid") == F.col("_hub"))
+    of_hubs = of_hubs.select("_hub", F.col("token").alias("_token"), F.col("n").alias("_n"))
+    both = mine.join(of_hubs, (F.col("hub") == F.col("_hub")) & (F.col("token") == F.col("_token"))).groupBy("cid").agg(
+        F.count(F.lit(1)).alias("both"), F.first("_n").alias("hub_n")
+    )
+    both = both.select(F.col("cid").alias("_of"), "both", "hub_n")
+    # Tokens that no other dense set has are no one's overlap, but they count in the sizes.
+    linked = F.coalesce(F.col("both") * 100 >= (F.col("n") + F.col("hub_n") - F.col("both")) * percent, F.lit(False)) | (F.col("cid") == F.col("hub"))
+    cores = staged(chosen.join(both, F.col("cid") == F.col("_of"), "left").select("cid", "hub", linked.alias("core")), "cores")
+    links = cores.where("core AND cid <> hub").select(F.col("cid").alias("a"), F.col("hub").alias("b"))
+
+    # Groups of all dense sets, with bands of sizes, in blocks: linked with a hub, near it, or apart from all others.
+    placed = sets.select("cid", "n", "g").join(cores.withColumnRenamed("cid", "_of"), F.col("cid") == F.col("_of"), "left")
+    placed = placed.withColumn("band", _band(percent)).withColumn("family", F.coalesce("hub", "g"))
+    total = placed.groupBy("family", "core", "band").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).alias("blocks"))
+    total = total.select(*[F.col(c).alias(f"_{c}") for c in ("family", "core", "band")], "blocks")
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ("family", "core", "band")]
+    block = F.pmod(F.xxhash64("cid"), F.col("blocks"))
+    members = placed.join(total, same).select("cid", "n", "hub", "core", "band", F.xxhash64("family", "core", "band", block).alias("g"))
+    members = staged(members, "dense-members")
+    of_member = members.select(F.col("cid").alias("_cid"), "hub", "core", "band", "g")
+    matrix = tokens.join(of_member, F.col("cid") == F.col("_cid")).groupBy("token", "g").agg(
+        F.count(F.lit(1)).alias("holders"), *[F.first(c).alias(c) for c in ("band", "hub", "core")]
+    )
+    matrix = staged(matrix, "matrix")
+
+    # Sets against groups that are not of their component: those not linked with a hub ask all, the others the linked groups
+    # of other hubs. Of two groups on a par one asks the other.
+    asking = near.select("cid", "n", "token").join(of_member, F.col("cid") == F.col("_cid")).select("cid", "n", "token", "hub", "core", "band", "g")
+    union = matrix.where("core IS NOT NULL")
+    allowed = F.expr(
+        "x.token = y.token AND abs(x.band - y.band) <= 2 AND (x.g <> y.g OR y.holders > 1) AND"
+        " ((NOT x.core AND (y.core OR x.g <= y.g)) OR (x.core AND y.core AND x.hub <> y.hub AND x.g < y.g))"
+    )
+    bounds = asking.alias("x").join(union.alias("y"), allowed).groupBy(
+        F.col("x.cid").alias("cid"), F.col("x.n").alias("n"), F.col("x.g").alias("ga"), F.col("y.g").alias("gb")
+    ).agg(F.count(F.lit(1)).alias("both"))
+    smallest = members.groupBy("g").agg(F.min("n").alias("smallest"))
+    # J >= p% asks for an overlap of p / (100 + p) of both sizes together.
+    least = F.greatest(F.col("n") * percent * (100 + percent), (F.col("n") + F.col("smallest")) * percent * 100)
+    asked = bounds.join(smallest, F.col("gb") == F.col("g")).where(F.col("both") * 100 * (100 + percent) >= least)
+    return matrix, members.select("cid", "g"), links, asked.select("ga", "gb", "cid", F.col("ga").alias("g"))
