@@ -1,5 +1,6 @@
 """The pipeline, stage by stage: each keeps documents' columns, and its decision shows."""
 
+from pyspark.sql import functions as F
 from test_tables import SF_DIR, plain_components
 
 import corpus_pipeline
@@ -37,7 +38,21 @@ def test_one_of_repeated_rows_stays(spark):
     rows = [(1, "a b c d e f", "en", "s", 11), (1, "a b c d e f", "en", "s", 11), (2, "A b c d e f", "en", "s", 11), (None, "", "en", None, 0), (None, None, "en", None, 0)]
     docs = spark.createDataFrame(rows, read_table(spark, SF_DIR, "documents").schema)
     got = corpus_pipeline.drop_near_duplicates(spark, docs, SF_DIR).collect()
-    assert sorted(str(r.doc_id) for r in got) == ["1", "None"]
+    # Each row without words stays.
+    assert sorted(str(r.doc_id) for r in got) == ["1", "None", "None"]
+
+
+def test_columns_of_clashing_names_come_through(spark):
+    names = ("score", "spans", "toxic_words", "leaks", "row", "digest", "doc", "of", "first", "size", "taken", "ahead", "position", "key", "cid", "_text")
+    docs = read_table(spark, SF_DIR, "documents").limit(60).select("*", *[F.lit(f"own {n}").alias(n) for n in names])
+    for name, stage in corpus_pipeline.STAGES:
+        docs = staged(stage(spark, docs, SF_DIR), "clash")
+        rows = docs.collect()
+        assert len(rows) > 10
+        for n in names:
+            if name != "mixing" or n not in corpus_pipeline.ADDED:
+                assert {r[n] for r in rows} == {f"own {n}"}
+    assert all(0 < r.taken <= 2 * r["size"] for r in rows)
 
 
 def unlike(i, words=12):
