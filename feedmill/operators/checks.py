@@ -12,8 +12,12 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from feedmill.session import fresh_dir
 from feedmill.spec import CheckSpec
 
+# Windows that go back, each as long as all before it, before the rest of the past is read at once.
+DOUBLINGS = 8
+
 
 def recent(time: Column, now: datetime, minutes: int) -> Column:
     """now - minutes < time < now, in a form that reaches the scan whatever the time type."""
@@ -39,15 +43,44 @@ def volume_check(spark: SparkSession, checks: list[CheckSpec], now: datetime) ->
     return reduce(DataFrame.unionByName, results) if results else none
 
 
+def newest_by_steps(df: DataFrame, feed: str, time: str, now: datetime, minutes: int, expected: DataFrame) -> DataFrame:
+    """Newest time, up to ``now``, of each expected feed that has any.
+
+    Reads the last ``minutes`` for all feeds, then windows that go back and double in reach, each only for feeds not seen yet, and at
+    last whatever is older. A window reaches the scan, so that files and row groups outside of it are not read; where all
+    feeds are alive, that is all but the first.
+    """
+    spark, stage = df.sparkSession, fresh_dir(df.sparkSession, "newest")
+    missing = expected.select(F.col(feed).alias("_feed")).distinct()
+    reach, until, kinds = timedelta(minutes=minutes), F.lit(str(now)), None
+    for step in range(DOUBLINGS + 1):
+        since = now - reach
+        window = F.col(time) <= until if step == 0 else F.col(time) < until
+        if step < DOUBLINGS:
+            window = window & (F.col(time) >= F.lit(str(since)))
+        found = df.where(window).join(missing, F.col(feed) == F.col("_feed"), "left_semi").groupBy(feed).agg(F.max(time).alias("newest"))
+        found.write.parquet(f"{stage}/step={step}")
+        kinds = found.schema
+        missing = missing.join(spark.read.schema(kinds).parquet(f"{stage}/step={step}"), F.col("_feed") == F.col(feed), "left_anti")
+        if missing.isEmpty():
+            break
+        until, reach = F.lit(str(since)), reach * 2
+    return spark.read.schema(kinds).parquet(stage).select(*kinds.names)
+
+
 def freshness_check(
     df: DataFrame, feed: str, time: str, now: datetime, minutes: int, expected: DataFrame | None = None
 ) -> DataFrame:
     """Newest time per feed, and whether it is within ``minutes`` of now.
 
-    ``expected`` lists the feeds (a column ``feed``) of which each gets a row: one that never sent anything fails.
+    ``expected`` lists the feeds (a column ``feed``) of which each gets a row: one that never sent anything fails. With it
+    times after ``now`` do not count, and only as much of the past is read as it takes to see every feed; without it the
+    feeds are those of all times.
     """
-    newest = df.groupBy(feed).agg(F.max(time).alias("newest"))
-    if expected is not None:
+    if expected is None:
+        newest = df.groupBy(feed).agg(F.max(time).alias("newest"))
+    else:
+        newest = newest_by_steps(df, feed, time, now, minutes, expected)
         newest = expected.select(feed).distinct().join(newest, feed, "left")
     return newest.withColumn("ok", F.coalesce(F.col("newest") >= F.lit(str(now - timedelta(minutes=minutes))), F.lit(False)))
 

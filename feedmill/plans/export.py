@@ -222,7 +222,7 @@ def run_catalogue(spark: SparkSession, feeds: list[FeedSpec], run: ExportRun, le
     interval since the latest run has passed does nothing. Every other run is recorded, also one
     that had nothing to export.
     """
-    if ledger.last_run() is None:
+    if not ledger.started([feed.name for feed in feeds]):
         seed(spark, feeds, ledger)
         ledger.record_run()
         return {}

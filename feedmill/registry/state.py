@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from feedmill.functions.columns import time_text
 from feedmill.operators.keys import key_range, max_key
 from feedmill.plans.export import audit_late_keys, export_incremental
-from feedmill.plans.sync import read_synced, sync_full, sync_incremental
+from feedmill.plans.sync import read_full, read_synced, sync_full, sync_incremental, write_version
 from feedmill.registry.base import query
 from feedmill.registry.exports import export_run, new_ledger, plain_feed
 from feedmill.session import fresh_dir
@@ -59,13 +59,16 @@ def table_sync_incremental(spark, sf_dir):
     half = max_key(orders, "o_orderkey") // 2
     for source in (orders.where(key_range(orders.o_orderkey, None, half)), orders, orders):
         sync_incremental(source, "orders", "o_orderkey", target, ledger)
-    copied = read_synced(spark, "orders", ledger)
+    copied = read_synced(spark, "orders", target, ledger)
     return copied.withColumn("o_orderdate", time_text(F.col("o_orderdate")))
 
 
-@query("SELECT * FROM customer")
+@query("SELECT *, (SELECT count(*) FROM customer WHERE c_mktsegment = 'BUILDING') AS rows_meanwhile FROM customer")
 def table_sync_full(spark, sf_dir):
-    customers, target = read_table(spark, sf_dir, "customer"), fresh_dir(spark, "copied")
-    for _ in range(2):
-        sync_full(customers, target)
-    return spark.read.parquet(target)
+    """A run that is lost between write and commit leaves the earlier version in place; the next one replaces it."""
+    customers, target, ledger = read_table(spark, sf_dir, "customer"), fresh_dir(spark, "copied"), new_ledger(spark)
+    sync_full(customers.where("c_mktsegment = 'BUILDING'"), "customer", target, ledger)
+    write_version(customers, target)
+    meanwhile = read_full(spark, "customer", ledger).count()
+    sync_full(customers, "customer", target, ledger)
+    return read_full(spark, "customer", ledger).withColumn("rows_meanwhile", F.lit(meanwhile).cast("long"))

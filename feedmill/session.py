@@ -81,3 +81,11 @@ def list_paths(spark: SparkSession, folder: str) -> list[str]:
     system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     found = [s.getPath() for s in system.listStatus(path) if s.isFile()] if system.exists(path) else []
     return [p.toString() for p in found if not p.getName().startswith(("_", "."))]
+
+
+def list_folders(spark: SparkSession, folder: str, prefix: str) -> list[str]:
+    """Paths of the folders in a folder whose names have a prefix; none if it does not exist."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [s.getPath() for s in system.listStatus(path) if s.isDirectory()] if system.exists(path) else []
+    return [p.toString() for p in found if p.getName().startswith(prefix)]

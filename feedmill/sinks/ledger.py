@@ -104,6 +104,20 @@ class Ledger(AppendOnly):
         kept = self.entries().where((F.col("feed") == feed) & (F.col("state") == "keys"))
         return kept.groupBy("start_key", "end_key").agg(F.max_by("path", "committed_at").alias("path"))
 
+    def name_version(self, feed: str, path: str, rows: int) -> None:
+        """Make a version of a table that is copied in full the current one."""
+        self._append(feed, None, None, rows, path, "version")
+
+    def versions(self, feed: str) -> list[str]:
+        """Paths of the versions that were ever current, the current one first. One row for each full copy of the table."""
+        named = self.entries().where((F.col("feed") == feed) & (F.col("state") == "version"))
+        return [r.path for r in named.orderBy(F.desc("committed_at"), F.desc("path")).select("path").collect()]
+
+    def started(self, feeds: list[str]) -> bool:
+        """Whether a run of the catalogue, or an export or seed of one of its feeds, was recorded; other users of the ledger do not count."""
+        own = (F.col("state") == "run") | ((F.col("state") == "done") & F.col("feed").isin(feeds))
+        return not self.entries().where(own).isEmpty()
+
     def open_range(self, feed: str, start: int | None, end: int, place: str = "") -> tuple[int, str]:
         """Fix the end of the next range and the place it is written to.
 

@@ -66,3 +66,26 @@ def test_file_freshness(spark, tmp_path):
     old = (datetime.now(timezone.utc) - timedelta(minutes=30)).timestamp()
     os.utime(day / "A-1.dat", (old, old))
     assert check(5) is False and check(60) is True
+
+
+def test_newest_goes_back_only_as_far_as_it_must(spark, tmp_path):
+    path = str(tmp_path / "beats")
+    rows = [("a", 1), ("a", 500), ("b", 7), ("c", 90), ("d", 100_000), ("later", -3)]
+    made = spark.createDataFrame([(s, NOW - timedelta(minutes=m)) for s, m in rows], "source string, ts timestamp_ntz")
+    made.repartitionByRange(6, "ts").sortWithinPartitions("ts").write.parquet(path)
+    df = spark.read.parquet(path)
+    expected = spark.createDataFrame([(s,) for s in ("a", "b", "c", "d", "later", "never")], "source string")
+    got = {r.source: (r.newest, r.ok) for r in checks.freshness_check(df, "source", "ts", NOW, 5, expected).collect()}
+    ages = {"a": 1, "b": 7, "c": 90, "d": 100_000}
+    assert got == {s: (NOW - timedelta(minutes=ages[s]) if s in ages else None, ages.get(s, 9) <= 5) for s in (*ages, "later", "never")}
+    # With all feeds alive nothing older than the first window is read.
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    few = df.where(F.col("ts") >= F.lit(str(NOW - timedelta(minutes=5)))).mapInArrow(count, df.schema)
+    checks.freshness_check(few, "source", "ts", NOW, 5, expected.where("source = 'a'")).collect()
+    assert read.value == 2

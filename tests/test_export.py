@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from feedmill.plans import export as X
 from feedmill.plans.export import ExportRun, export_full, export_incremental, feed_rows, is_due, run_catalogue, seed
-from feedmill.plans.sync import jdbc_writer_options, read_synced, sync_full, sync_incremental
+from feedmill.plans.sync import jdbc_writer_options, read_full, read_synced, sync_full, sync_incremental, write_version
 from feedmill.sinks.delimited import stamp_name, write_ordered
 from feedmill.sinks.delivery import PART_NAME, check_files, read_files
 from feedmill.sinks.ledger import Ledger
@@ -352,8 +352,44 @@ def test_sync(spark, ledger, tmp_path):
     assert sync_incremental(spark.table("facts"), "t", "pk", target, ledger) is None
     facts(spark, 25)
     assert sync_incremental(spark.table("facts"), "t", "pk", target, ledger) == 15
-    assert sorted(r.pk for r in read_synced(spark, "t", ledger).collect()) == list(range(1, 26))
-    sync_full(spark.range(5), str(tmp_path / "full"))
-    sync_full(spark.range(3), str(tmp_path / "full"))
-    assert spark.read.parquet(str(tmp_path / "full")).count() == 3
+    assert sorted(r.pk for r in read_synced(spark, "t", target, ledger).collect()) == list(range(1, 26))
+    plan = read_synced(spark, "t", target, ledger)._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in plan
     assert jdbc_writer_options("u", "t")["batchsize"] == "10000"
+
+
+def test_sync_before_the_first_range_and_after_a_lost_one(spark, ledger, tmp_path):
+    target = str(tmp_path / "target")
+    facts(spark, 10)
+    spark.table("facts").where("pk < 0").createOrReplaceTempView("facts")
+    assert sync_incremental(spark.table("facts"), "t", "pk", target, ledger) is None
+    empty = read_synced(spark, "t", target, ledger)
+    assert empty.count() == 0 and empty.columns == spark.table("facts").columns
+    facts(spark, 10)
+    # A range that was written and not recorded is not read.
+    spark.table("facts").write.parquet(f"{target}/_start=none/_end=99")
+    assert sync_incremental(spark.table("facts"), "t", "pk", target, ledger) == 10
+    assert read_synced(spark, "t", target, ledger).count() == 10
+
+
+def test_full_copies_are_versions(spark, ledger, tmp_path):
+    target = str(tmp_path / "full")
+    with pytest.raises(ValueError, match="never"):
+        read_full(spark, "t", ledger)
+    for n in (5, 3, 8):
+        assert sync_full(spark.range(n), "t", target, ledger) == n
+    before = read_full(spark, "t", ledger)
+    write_version(spark.range(99), target)
+    assert before.count() == 8 and read_full(spark, "t", ledger).count() == 8
+    # The version before is kept for its readers; the one that was never named is dropped by the next run.
+    assert sync_full(spark.range(2), "t", target, ledger) == 2
+    assert before.count() == 8 and read_full(spark, "t", ledger).count() == 2
+    assert len(os.listdir(target)) == 2
+
+
+def test_other_users_of_the_ledger_do_not_start_the_catalogue(spark, ledger, run, tmp_path):
+    facts(spark, 6)
+    sync_incremental(spark.table("facts"), "copy", "pk", str(tmp_path / "target"), ledger)
+    full = FeedSpec(name="full", sql="SELECT pk FROM facts", order_by=("pk",), file_name="F.dat")
+    assert run_catalogue(spark, [FEED, full], run, ledger) == {}
+    assert run_catalogue(spark, [FEED, full], run, ledger) == {"full": 6}
