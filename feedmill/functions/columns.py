@@ -89,6 +89,8 @@ def float_six(text: Column) -> Column:
 
 def scrub(text: Column, delimiter: str = ",", by: str = " ") -> Column:
     """Keep a delimiter and line ends out of a value."""
+    if len(delimiter) == len(by) == 1:
+        return F.translate(text, "\r\n" + delimiter, by * 3)
     inline = F.translate(text, "\r\n", by * 2) if len(by) == 1 else F.regexp_replace(text, "[\r\n]", by)
     return F.replace(inline, F.lit(delimiter), F.lit(by))
 

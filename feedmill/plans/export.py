@@ -60,6 +60,11 @@ def feed_line(feed: FeedSpec, df: DataFrame, run: ExportRun):
     )
 
 
+def highest_key(spark: SparkSession, feed: FeedSpec, above: int | None = None) -> int | None:
+    """The highest key of the feed's table (above a mark), or None if there is none."""
+    return feed.top_key(above) if feed.top_key else max_key(spark.table(feed.table), feed.key, above)
+
+
 def seed(spark: SparkSession, feeds: list[FeedSpec], ledger: Ledger) -> None:
     """Start each keyed feed, also a disabled one, at its table's highest key; export nothing.
 
@@ -67,7 +72,7 @@ def seed(spark: SparkSession, feeds: list[FeedSpec], ledger: Ledger) -> None:
     """
     for feed in feeds:
         if feed.incremental:
-            ledger.close(feed.name, None, max_key(spark.table(feed.table), feed.key), 0, None)
+            ledger.close(feed.name, None, highest_key(spark, feed), 0, None)
 
 
 def deliver(
@@ -130,7 +135,7 @@ def export_incremental(spark: SparkSession, feed: FeedSpec, run: ExportRun, ledg
     if not seeded:
         seed(spark, [feed], ledger)
         return None
-    top = max_key(spark.table(feed.table), feed.key, above=start)
+    top = highest_key(spark, feed, start)
     if top is None:
         return None
     end, day = ledger.open_range(feed.name, start, top, day_of(run))

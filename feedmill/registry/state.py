@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from dataclasses import replace
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedmill.functions.columns import time_text
@@ -13,7 +15,7 @@ from feedmill.plans.sync import read_full, read_synced, sync_full, sync_incremen
 from feedmill.registry.base import query
 from feedmill.registry.exports import export_run, new_ledger, plain_feed
 from feedmill.session import fresh_dir
-from feedmill.sources.relational import read_table
+from feedmill.sources.relational import key_edges, range_predicates, read_table
 
 
 @query(
@@ -72,3 +74,14 @@ def table_sync_full(spark, sf_dir):
     meanwhile = read_full(spark, "customer", ledger).count()
     sync_full(customers, "customer", target, ledger)
     return read_full(spark, "customer", ledger).withColumn("rows_meanwhile", F.lit(meanwhile).cast("long"))
+
+
+@query("SELECT 8 AS ranges, count(*) AS rows, count(DISTINCT o_orderkey) AS found, true AS even FROM orders")
+def equal_height_ranges(spark, sf_dir):
+    """A table whose keys lie ever further apart, read by the conditions of equal-height ranges: all rows once, evenly."""
+    sparse = read_table(spark, sf_dir, "orders").select("o_orderkey", F.expr("o_orderkey * o_orderkey * o_orderkey").alias("pk"))
+    predicates = range_predicates("pk", key_edges(sparse, "pk", 8))
+    read = reduce(DataFrame.union, [sparse.where(p).withColumn("range", F.lit(i)) for i, p in enumerate(predicates)])
+    sizes = read.groupBy("range").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("o_orderkey").alias("found"))
+    even = F.max("n") * 8 <= F.sum("n") * 1.1 + 8
+    return sizes.agg(F.count(F.lit(1)).cast("int").alias("ranges"), F.sum("n").alias("rows"), F.sum("found").alias("found"), even.alias("even"))

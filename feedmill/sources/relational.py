@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def jdbc_options(
@@ -46,11 +47,51 @@ def max_key_jdbc(spark: SparkSession, url: str, table: str, key: str, above: int
     return spark.read.format("jdbc").options(**max_key_options(url, table, key, above, **connection)).load().first()[0]
 
 
-def register_jdbc(spark: SparkSession, url: str, table: str, key: str, mark: int, **options) -> None:
-    """Make a keyed database table known by name, read in parallel ranges of its keys above the mark."""
+def key_edges(keys: DataFrame, key: str, ranges: int, above: int | None = None) -> list[int]:
+    """Edges that cut the keys (above a mark) into ranges with about equally many rows, however the keys are spread.
+
+    They are quantiles, computed in tasks and merged; NULL keys count for none. Fewer edges come back where one key has
+    more rows than a range.
+    """
+    newer = keys if above is None else keys.where(F.col(key) > above)
+    shares = [i / ranges for i in range(1, ranges)]
+    found = newer.agg(F.percentile_approx(F.col(key).cast("long"), shares, 100 * ranges)).first()[0] if shares else None
+    return sorted(set(found or []))
+
+
+def range_predicates(key: str, edges: list[int], above: int | None = None) -> list[str]:
+    """One condition per range between the edges, above the mark. Together they hold for every row above it, or, without a
+    mark, for every row, also one without a key; no row meets two."""
+    lower = [above, *edges]
+    found = []
+    for i, low in enumerate(lower):
+        parts = [] if low is None else [f"{key} > {int(low)}"]
+        parts += [f"{key} <= {int(edges[i])}"] if i < len(edges) else []
+        found.append(" AND ".join(parts) or "1 = 1")
+    if above is None and edges:
+        found[0] = f"({found[0]} OR {key} IS NULL)"
+    return found
+
+
+def read_jdbc_ranges(spark: SparkSession, url: str, table: str, predicates: list[str], fetch_rows: int = 10_000, **connection: str) -> DataFrame:
+    """Read a database table in parallel, a partition for each condition."""
+    return spark.read.jdbc(url, table, predicates=predicates, properties={"fetchsize": str(fetch_rows), **connection})
+
+
+def register_jdbc(spark: SparkSession, url: str, table: str, key: str, mark: int, even: bool = False, num_partitions: int = 32, **options) -> None:
+    """Make a keyed database table known by name, read in parallel ranges of its keys above the mark.
+
+    The ranges are of equal width between mark and highest key, or, with ``even``, hold equally many rows; that reads the key
+    column once more, so it pays where keys are sparse or bunched.
+    """
     top = max_key_jdbc(spark, url, table, key, mark, **options)
-    ranged = options if top is None else {**options, "key": key, "bounds": (mark, top)}
-    read_jdbc(spark, url, table, **ranged).createOrReplaceTempView(table)
+    ranged = options if top is None else {**options, "key": key, "bounds": (mark, top), "num_partitions": num_partitions}
+    if not even or top is None:
+        read_jdbc(spark, url, table, **ranged).createOrReplaceTempView(table)
+        return
+    keys = read_jdbc(spark, url, f"(select {key} from {table} where {key} > {int(mark)}) q", **ranged)
+    predicates = range_predicates(key, key_edges(keys, key, num_partitions), mark)
+    read_jdbc_ranges(spark, url, table, predicates, **options).createOrReplaceTempView(table)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

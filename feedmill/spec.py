@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 
@@ -15,6 +16,8 @@ class FeedSpec:
     ``columns`` are the rendered columns by position (a name may occur twice); by default all.
     ``chunk_rows`` of None takes the run's default, and 0 means unsplit. ``overlap`` starts each
     range that many keys below the mark, to pick up keys committed late, at the price of repeats.
+    ``top_key`` asks the source for its highest key above a mark (None: of all), where it can tell without its rows being
+    read, for instance a database through ``max_key_jdbc``; by default the table is asked.
     """
 
     name: str
@@ -27,6 +30,7 @@ class FeedSpec:
     enabled: bool = True
     file_name: str = "FEED-[DT].dat"
     overlap: int = 0
+    top_key: Callable[[int | None], int | None] | None = None
 
     def __post_init__(self):
         if not self.order_by:
