@@ -139,6 +139,22 @@ def learn_parts(vectors: np.ndarray, parts: int, neighbours: int = 10) -> Router
     return train_router(vectors, targets / targets.sum(axis=1, keepdims=True))
 
 
+def choose_probes(router: Router, fitted: np.ndarray, held: np.ndarray, k: int, recall: float) -> int:
+    """In how many parts a query must look so that ``recall`` of its k nearest among the fitted vectors lie there, on average
+    over ``held`` vectors, none of which was fitted. Of the whole table the nearest are nearer still, and fewer parts would do."""
+    fitted, held = unit(fitted), unit(held)
+    k = min(k, len(fitted))
+    part = router.logits(fitted).argmax(axis=1)
+    order = np.argsort(-router.logits(held), axis=1, kind="stable")
+    rank = np.argsort(order, axis=1, kind="stable")
+    found = np.zeros(router.parts)
+    for at in range(0, len(held), 512):
+        near = np.argpartition(-(held[at : at + 512] @ fitted.T), k - 1, axis=1)[:, :k]
+        found += np.bincount(np.take_along_axis(rank[at : at + 512], part[near], axis=1).ravel(), minlength=router.parts)
+    shares = np.cumsum(found) / max(1, k * len(held))
+    return int(np.searchsorted(shares, recall - 1e-9)) + 1
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -214,13 +230,17 @@ def nearest(
     sample: int = 8192,
     part_size: int = 400,
     max_parts: int = 64,
-    probes: int = 12,
+    probes: int | None = None,
+    recall: float = 0.95,
+    held: int = 1024,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest other rows found for each row ``is_query`` selects, by cosine.
 
     The index is fitted on at most ``sample`` distinct vectors, chosen by hash, and holds all rows. It has one part per
-    ``part_size`` of the sample, ``max_parts`` at most; a query looks in ``probes`` of them, and if these
-    hold fewer than k others, in all. Ties go to the smaller id. Vectors that are NULL, zero, hold NULL or
+    ``part_size`` of the sample, ``max_parts`` at most; a query looks in ``probes`` of them, and if these hold fewer than k
+    others, in all. Unless it is given, the number of probes is what ``held`` more vectors, which are not fitted, need for
+    a share of ``recall`` of their nearest among the fitted ones; so it is few where vectors are clustered and most of the
+    parts where they have no order. Ties go to the smaller id. Vectors that are NULL, zero, hold NULL or
     non-finite components, or have another length than most, take no part, nor do rows with a NULL id. Repeated rows
     count once; rows of one id with different vectors are all candidates, but never for their own id.
     """
@@ -236,9 +256,14 @@ def nearest(
     few = rows.groupBy("cid", "vec_id").agg(F.first("vector").alias("vector")).withColumn("r", F.row_number().over(first)).where(F.col("r") <= k + 1)
     classes = staged(few.groupBy("cid").agg(F.first("vector").alias("vector"), F.sort_array(F.collect_list("vec_id")).alias("ids")), "classes")
     asked = staged(rows.where("asked").select(F.col("vec_id").alias("query_id"), "cid").distinct(), "asked")
-    fitted = _matrix(classes.orderBy("cid").limit(sample).select("vector").toArrow().column(0))
+    drawn = _matrix(classes.orderBy("cid").limit(sample + held).select("vector").toArrow().column(0))
+    # The class's hash is no order of the vectors, so any run of them is a fair sample.
+    apart = min(held, len(drawn) // 10)
+    fitted, tested = drawn[: len(drawn) - apart][:sample], drawn[len(drawn) - apart :]
     parts = int(min(max_parts, max(1, len(fitted) // part_size)))
     router = learn_parts(fitted, parts) if parts > 1 else None
+    if probes is None:
+        probes = choose_probes(router, fitted, tested, k, recall) if router and len(tested) else parts
 
     def routed(count: int) -> Callable:
         @F.arrow_udf("array<int>")
