@@ -24,7 +24,7 @@ REPEAT = 0x5851F42D4C957F2D
 
 
 def feature_buckets(part: Slice, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row within the slice, bucket) of every word, and of every n-gram of bytes within a word and the blanks beside it.
+    """(row within the slice, bucket) of every word, and of every n-gram of characters within a word and the blanks beside it.
 
     A word that repeats the one before it is one more feature, the same for all words.
     """
@@ -38,13 +38,14 @@ def feature_buckets(part: Slice, bits: int) -> tuple[np.ndarray, np.ndarray]:
     blanks = np.zeros(len(part.data) + 1, dtype=np.int32)
     np.cumsum(SPACES[part.data], out=blanks[1:])
     row = row_of_byte(part)
+    # Places where a code point begins.
+    begins = np.append(np.flatnonzero((part.data & 0xC0) != 0x80), len(part.data))
     for n in NGRAMS:
-        start = np.arange(max(0, len(part.data) - n + 1))
-        end = start + n
+        start, end = begins[:-n], begins[n:]
         inner = (blanks[end - 1] == blanks[start + 1]) & (row[start] == row[end - 1])
-        start = start[inner]
+        start, end = start[inner], end[inner]
         rows.append(row[start])
-        found.append(mix(hashes.span(start, start + n) + np.uint64(n)) >> shift)
+        found.append(mix(hashes.span(start, end) + np.uint64(n)) >> shift)
     return np.concatenate(rows), np.concatenate(found).astype(np.int64)
 
 
