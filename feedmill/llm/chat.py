@@ -154,21 +154,33 @@ def render(turns: DataFrame) -> DataFrame:
 
 
 def read_back(turns: DataFrame) -> DataFrame:
-    """Digests of each conversation, read from the formatted pieces and the examples' loss spans alone.
+    """Digests of each conversation, read from the formatted pieces and the examples alone.
 
+    ``n_examples``, ``examples_chars`` (of all examples, each with its whole context) and ``examples_sha256``: of every example
+    in order its context's length, the digest of its context, its length and its target's formatted text.
     Conversations are streamed in order through tasks that hold one hash at a time, however long a conversation is.
     """
     kind = turns.schema["conv_id"].dataType.simpleString()
-    loss = examples(turns).select(F.col("conv_id").alias("_conv"), F.col("number").alias("_number"), "loss_start", "loss_end")
+    loss = examples(turns).select(
+        F.col("conv_id").alias("_conv"), F.col("number").alias("_number"), "loss_start", "loss_end", "context_chars", F.col("chars").alias("example_chars")
+    )
     # The spans come from the same staged rows; joining them to their turn is by conversation and number.
     spanned = turns.join(loss, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("number") == F.col("_number")), "left")
     ordered = (
-        spanned.select("conv_id", "number", "piece", (F.col("loss_start") - F.col("start")).alias("from"), (F.col("loss_end") - F.col("start")).alias("to"))
+        spanned.select(
+            "conv_id",
+            "number",
+            "piece",
+            (F.col("loss_start") - F.col("start")).alias("from"),
+            (F.col("loss_end") - F.col("start")).alias("to"),
+            "context_chars",
+            "example_chars",
+        )
         .repartition("conv_id")
         .sortWithinPartitions("conv_id", "number")
     )
     arrow = turns.sparkSession.createDataFrame([], turns.select("conv_id").schema).toArrow().schema.field(0).type
-    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_examples", "examples_chars", "examples_sha256"]
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: list[tuple] = []
@@ -176,18 +188,18 @@ def read_back(turns: DataFrame) -> DataFrame:
 
         def close() -> None:
             if state is not None:
-                done.append((last, state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4]))
+                done.append((last, state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4], state[5], state[6], state[7].hexdigest()))
 
         def flush() -> pa.RecordBatch:
             columns = list(zip(*done)) or [[]] * len(names)
-            kinds = [arrow, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+            kinds = [arrow, *[pa.int64(), pa.string()] * 2, *[pa.int64()] * 3, pa.string()]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
         for batch in batches:
-            for conv, _, piece, begin, end in zip(*[c.to_pylist() for c in batch.columns]):
+            for conv, _, piece, begin, end, context, chars in zip(*[c.to_pylist() for c in batch.columns]):
                 if state is None or conv != last:
                     close()
-                    last, state = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
+                    last, state = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0, 0, hashlib.sha256(), hashlib.sha256()]
                 head, _, body = piece[len(OPEN) : -len(CLOSE)].partition("\n")
                 state[0] += 1
                 state[1].update(f"{read_role(head)}\n{unescape(body)}\n".encode())
@@ -196,10 +208,15 @@ def read_back(turns: DataFrame) -> DataFrame:
                     target = unescape(piece[begin:end])
                     state[2] += len(target)
                     state[3].update(target.encode())
+                    state[5] += 1
+                    state[6] += chars
+                    state[7].update(f"{context} {state[8].hexdigest()} {chars} {piece[begin:end]}\n".encode())
+                state[8].update(piece.encode())
             yield flush()
             done.clear()
         close()
         yield flush()
 
     schema = f"conv_id {kind}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"
+    schema += ", n_examples bigint, examples_chars bigint, examples_sha256 string"
     return ordered.mapInArrow(digest, schema)

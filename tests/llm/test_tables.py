@@ -8,7 +8,7 @@ from pathlib import Path
 import pytest
 from check_queries import compare, connect
 
-from feedmill.llm import registry, tokens
+from feedmill.llm import chat, registry, tokens
 
 SF_DIR = "/root/testdata/sf0.001"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -65,6 +65,19 @@ def test_chat_digests_equal_the_turns(spark):
         assert got[conv].n_turns == len(own) and got[conv].loss_chars == len(loss)
         assert got[conv].turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in own).encode()).hexdigest()
         assert got[conv].loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
+        # Every example is written out whole: its context is all turns before it.
+        pieces = [(r, re.sub(chat.ESCAPE, r"\1\\\2\3", t)) for r, t in own]
+        pieces = [(r, f"{chat.OPEN}{r}\n{t}{chat.CLOSE}", t) for r, t in pieces]
+        assert got[conv].formatted_chars == sum(len(p) for _, p, _ in pieces)
+        told, chars = hashlib.sha256(), 0
+        for i, (role, piece, text) in enumerate(pieces):
+            if role == "assistant":
+                context = "".join(p for _, p, _ in pieces[:i])
+                digest = hashlib.sha256(context.encode()).hexdigest()
+                told.update(f"{len(context)} {digest} {len(context + piece)} {text}\n".encode())
+                chars += len(context + piece)
+        assert (got[conv].n_examples, got[conv].examples_chars) == (sum(r == "assistant" for r, _ in own), chars)
+        assert got[conv].examples_sha256 == told.hexdigest()
 
 
 def shingles(text, n):
