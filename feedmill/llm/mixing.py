@@ -77,20 +77,36 @@ def draw(queued: DataFrame, repeats: int, key: str = "doc_id", carried: Sequence
     """Serve the queues in the order of virtual finish time, cumulative source words over target, up to the budget.
 
     Each row is one draw of a document: ``round`` (0 for its first), ``taken`` words, ``finish``, and
-    ``position``, its first word's place in the whole mix. A source's second round follows its first. At virtual
-    time 1 every source has reached its target and the budget is spent: the document in service then is cut.
+    ``position``, its first word's place in the whole mix. A source's second round follows its first. All draws are sorted
+    globally and the stream is cut at the budget, the sum of all targets. At virtual time 1 every source reaches its
+    target; the document in service then is served as far as that and finishes there, so the cut falls behind it.
     Documents never drawn stay with a single row of 0 words, so that the plan is whole.
     """
     start = F.col("round") * F.col("source_size") + F.col("before")
-    rest = F.floor("target") - start
+    least = F.floor("target")
+    in_service = (start < least) & (start + F.col("size") > least)
     rounds = queued.withColumn("round", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(repeats - 1).cast("long"))))
-    served = (
-        rounds.withColumn("taken", F.greatest(F.lit(0), F.least(F.col("size"), rest)))
-        .withColumn("finish", F.when(F.col("target") > 0, (start + F.col("size")) / F.col("target")))
-        .where((F.col("taken") > 0) | (F.col("round") == 0))
-        .select(key, "source", "size", *carried, "source_size", "target", "number", "round", "taken", "finish")
+    finish = F.when(in_service, F.lit(1.0)).otherwise((start + F.col("size")) / F.col("target"))
+    served = rounds.select(
+        key,
+        "source",
+        "size",
+        *carried,
+        "source_size",
+        "target",
+        "number",
+        "round",
+        F.when(in_service, least - start).otherwise(F.col("size")).alias("words"),
+        F.when(F.col("target") > 0, finish).alias("finish"),
+        # Of equal finish times, what reaches its target with it comes before what lies behind.
+        (start >= least).alias("behind"),
     )
-    return running_totals(served, {"position": "taken"}, ("finish", "source", "round", "number", key))
+    stream = running_totals(served, {"position": "words"}, ("finish", "behind", "source", "round", "number", key))
+    # One row per source.
+    budget = queued.groupBy("source").agg(F.floor(F.first("target")).alias("words")).agg(F.sum("words")).first()[0] or 0
+    taken = F.greatest(F.lit(0), F.least(F.col("words"), F.lit(budget) - F.col("position")))
+    cut = stream.withColumn("taken", taken.cast("long")).where((F.col("taken") > 0) | (F.col("round") == 0))
+    return cut.select(key, "source", "size", *carried, "source_size", "target", "number", "round", "taken", "finish", "position")
 
 
 def mix(
