@@ -9,6 +9,7 @@
 4. Windows of every document whose latent cosine with a benchmark item reaches a threshold are candidates.
 5. A candidate counts if the longest common subsequence of words covers enough of the item, or a good part of it while
    the answer's words are there as well.
+6. Items too short for a passage of their own are looked for word by word, as they stand.
 """
 
 from __future__ import annotations
@@ -46,6 +47,7 @@ class Benchmark:
     parts: list[np.ndarray]
     answers: list[np.ndarray]
     hashes: np.ndarray
+    short: list[tuple[int, np.ndarray]]  # items of few words, whole
 
 
 def word_hashes(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -64,9 +66,9 @@ def hashes_by_row(column: pa.Array) -> list[np.ndarray]:
     return [np.concatenate(f) if f else np.zeros(0, np.uint64) for f in found]
 
 
-def read_benchmark(items: pa.Table, least_words: int, answer_words: int) -> Benchmark:
-    """Items (id, text, and an optional answer text) with at least ``least_words`` words. Without an answer, an item's
-    longest words stand for it, as its rarest."""
+def read_benchmark(items: pa.Table, least_words: int, answer_words: int, exact_words: int) -> Benchmark:
+    """Items (id, text, and an optional answer text) with at least ``least_words`` words, and short ones of ``exact_words`` and
+    more. Without an answer, an item's longest words stand for it, as its rarest."""
     ids, texts = items.column(0).to_pylist(), items.column(1).combine_chunks()
     hashes = hashes_by_row(texts)
     vocabulary = np.unique(np.concatenate([*hashes, np.zeros(0, np.uint64)]))
@@ -76,9 +78,10 @@ def read_benchmark(items: pa.Table, least_words: int, answer_words: int) -> Benc
         words = words_of(part, LETTERS)
         own = mix(Hashes(LOWER[part.data]).span(words.start, words.end))
         lengths |= dict(zip(own.tolist(), (words.end - words.start).tolist()))
-    of, parts, answers = [], [], []
+    of, parts, answers, short = [], [], [], []
     for i, own in enumerate(hashes):
         if len(own) < least_words:
+            short += [(i, np.searchsorted(vocabulary, own) + 1)] if len(own) >= exact_words else []
             continue
         longest = sorted(set(own.tolist()), key=lambda h: (-lengths[h], h))[:answer_words]
         answer = np.array(longest, dtype=np.uint64) if not len(given[i]) else np.unique(given[i])
@@ -89,7 +92,23 @@ def read_benchmark(items: pa.Table, least_words: int, answer_words: int) -> Benc
             # Long items are asked for the answer's words of the part at hand.
             near = np.intersect1d(answer, piece) if cuts > 1 else np.intersect1d(answer, vocabulary)
             answers.append(np.searchsorted(vocabulary, near) + 1)
-    return Benchmark(ids, np.array(of, dtype=np.int64), parts, answers, vocabulary)
+    return Benchmark(ids, np.array(of, dtype=np.int64), parts, answers, vocabulary, short)
+
+
+def short_matches(short: list[tuple[int, np.ndarray]], text: np.ndarray) -> list[dict]:
+    """The first place of each short item whose words all stand in the text, one after the other."""
+    found = []
+    for n in sorted({len(words) for _, words in short}):
+        if n > len(text):
+            break
+        runs = np.lib.stride_tricks.sliding_window_view(text, n)
+        own = [(i, words) for i, words in short if len(words) == n]
+        begins = np.flatnonzero(np.isin(runs[:, 0], [words[0] for _, words in own]))
+        for i, words in own:
+            at = begins[(runs[begins] == words).all(axis=1)]
+            if len(at):
+                found.append({"item": i, "start": int(at[0]), "cosine": 1.0, "lcs": 1.0, "answered": True})
+    return found
 
 
 def numbers_by_row(column: pa.Array, hashes: np.ndarray) -> list[np.ndarray]:
@@ -355,13 +374,15 @@ def find_leaks(
     least_lcs: float = 0.8,
     answered_lcs: float = 0.6,
     least_words: int = 8,
+    exact_words: int = 4,
     block_items: int = 2000,
 ) -> DataFrame:
     """Add ``leaks``, an array of (item_id, start, cosine, lcs, answered), to each row of ``df``, replacing such a column.
 
     Whole texts are searched, row by row, without a shuffle; ``start`` is the window's first word. The benchmark is worked in blocks of
     about ``block_items`` items, so what tasks hold is bounded; each block reads the documents anew. Items
-    of fewer than ``least_words`` words are not looked for. NULL and empty texts, and an empty benchmark, give empty
+    of fewer than ``least_words`` words count where all their words stand one after the other; those of fewer than
+    ``exact_words`` are phrases rather than passages and are not looked for. NULL and empty texts, and an empty benchmark, give empty
     arrays; repeated rows stay; equal items match alike.
     """
     kept = [c for c in df.columns if c != "leaks"]
@@ -374,8 +395,8 @@ def find_leaks(
     blocks = -(-count // block_items)
     for number in range(blocks):
         own = benchmark.where(F.pmod(F.xxhash64(item_key, item_text), F.lit(blocks)) == number).select(*columns)
-        bench = read_benchmark(own.orderBy(item_key, "_text").toArrow(), least_words, 3)
-        if not len(bench.parts):
+        bench = read_benchmark(own.orderBy(item_key, "_text").toArrow(), least_words, 3, exact_words)
+        if not bench.parts and not bench.short:
             continue
         # A copy with the words as numbers: the texts are split once, and all later steps read the numbers.
         rows = result.select(F.struct(*[F.col(f"`{c}`") for c in result.columns]).alias("row"), numbered_words(bench.hashes)(F.col(text)).alias("numbers"))
@@ -402,14 +423,22 @@ def numbered_words(hashes: np.ndarray) -> Callable:
 
 
 def _search(numbers: DataFrame, bench: Benchmark, dims: int, least_cosine: float, least_lcs: float, answered_lcs: float) -> Callable:
-    idf = inverse_frequencies(numbers, len(bench.hashes))
-    retriever = Retriever(bench, latent_space(numbers, idf, dims), least_cosine, least_lcs, answered_lcs)
+    retriever = None
+    if bench.parts:
+        idf = inverse_frequencies(numbers, len(bench.hashes))
+        retriever = Retriever(bench, latent_space(numbers, idf, dims), least_cosine, least_lcs, answered_lcs)
+
+    def search(texts: list[np.ndarray]) -> list[list[dict]]:
+        found = retriever.matches(texts) if retriever else [[] for _ in texts]
+        if bench.short:
+            found = [own + short_matches(bench.short, text) for own, text in zip(found, texts)]
+        return found
 
     @F.arrow_udf(MATCH)
     def leaks(numbers: pa.Array) -> pa.Array:
         kind = pa.list_(
             pa.struct([("item", pa.int32()), ("start", pa.int64()), ("cosine", pa.float64()), ("lcs", pa.float64()), ("answered", pa.bool_())])
         )
-        return pa.array([found for texts in stored_runs(numbers) for found in retriever.matches(texts)], kind)
+        return pa.array([found for texts in stored_runs(numbers) for found in search(texts)], kind)
 
     return leaks

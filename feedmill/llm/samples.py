@@ -67,7 +67,9 @@ def fit_in_task(rows: DataFrame, train: Callable[[list[tuple[str, int]]], object
         yield pa.RecordBatch.from_arrays([pa.array([cloudpickle.dumps(train(sample))], pa.binary())], names=["model"])
 
     ordered = rows.repartition(1).sortWithinPartitions(F.xxhash64("_key"), "_key").select("_text", "_label")
-    return cloudpickle.loads(bytes(ordered.mapInArrow(run, "model binary").first()["model"]))
+    made = ordered.mapInArrow(run, "model binary").first()
+    # Without rows there may be no task.
+    return cloudpickle.loads(bytes(made["model"])) if made else train([])
 
 
 def class_counts(labels: DataFrame, label: str, allowed: Column, key: str = "doc_id") -> tuple[int, int]:

@@ -80,6 +80,32 @@ def test_chat_digests_equal_the_turns(spark):
         assert got[conv].examples_sha256 == told.hexdigest()
 
 
+def words_of(text):
+    return re.findall(r"[a-z0-9\x80-\U0010ffff]+", (text or "").translate(LOWER))
+
+
+def common_length(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for j, y in enumerate(b):
+            last, row[j + 1] = row[j + 1], last + 1 if x == y else max(row[j + 1], row[j])
+    return row[-1]
+
+
+def test_leaks_equal_a_plain_search(spark):
+    """Every item that stands in a text is found, and what is found has most of an item in the order of its words."""
+    items = {i: words_of(t) for i, t in rows_of("SELECT item_id, text FROM benchmark")}
+    docs = {i: words_of(t) for i, t in rows_of("SELECT doc_id, text FROM documents")}
+    got = {(r.doc_id, r.item_id): r for r in registry.QUERIES["op10_latent_decontamination"](spark, SF_DIR).collect()}
+    joined = {d: " ".join(w) for d, w in docs.items()}
+    whole = {(d, i) for i, item in items.items() for d, text in joined.items() if f" {' '.join(item)} " in f" {text} "}
+    assert whole and whole <= set(got)
+    for (d, i), r in got.items():
+        near = docs[d][max(0, r.start - 32) : r.start + len(items[i]) + 64]
+        assert common_length(items[i], near) >= 0.6 * min(len(items[i]), 64)
+
+
 def shingles(text, n):
     words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER))
     k = min(n, len(words))

@@ -176,12 +176,20 @@ def test_leaks_are_found_anywhere_and_clean_texts_are_left(spark):
     del edited[20], edited[40]
     docs += [(200, prose[5] + " " + " ".join(edited)), (201, None), (202, ""), (203, items[0]), (203, items[0])]
     frame = spark.createDataFrame(docs, SCHEMA).withColumn("leaks", F.lit("old"))
-    bench = spark.createDataFrame([*enumerate(items), (7, None), (8, "short one"), (9, items[0])], "item_id int, text string")
+    # Short items count where they stand word by word.
+    short = prose[9].split()[100:105]
+    assert sum(" ".join(short) in p for p in prose) == 1
+    docs += [(300, " ".join(short[:2] + ["p1"] + short[2:])), (301, "x " + " ".join(short).upper() + ".")]
+    frame = spark.createDataFrame(docs, SCHEMA).withColumn("leaks", F.lit("old"))
+    bench = [*enumerate(items), (7, None), (8, "short one"), (9, items[0]), (10, " ".join(short))]
+    bench = spark.createDataFrame(bench, "item_id int, text string")
     got = decontam.find_leaks(frame, bench, dims=24).collect()
     found = {r.doc_id: {x.item_id for x in r.leaks} for r in got if r.leaks}
-    assert found == {100: {0, 9}, 101: {1}, 102: {2}, 103: {3}, 200: {2}, 203: {0, 9}}
+    assert found == {9: {10}, 100: {0, 9}, 101: {1}, 102: {2}, 103: {3}, 200: {2}, 203: {0, 9}, 301: {10}}
     assert len(got) == len(docs)
     split = decontam.find_leaks(frame, bench, dims=24, block_items=2).collect()
     assert {r.doc_id for r in split if r.leaks} == set(found)
     assert decontam.find_leaks(frame, bench.limit(0)).where("size(leaks) > 0").count() == 0
     assert decontam.find_leaks(frame.limit(0), bench).count() == 0
+    only = decontam.find_leaks(frame, bench.where("item_id IN (7, 8, 10)")).where("size(leaks) > 0")
+    assert {r.doc_id for r in only.collect()} == {9, 301}
