@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from feedmill.session import fresh_dir
 from feedmill.spec import CheckSpec
 
-# Windows that go back, each as long as all before it, before the rest of the past is read at once.
-DOUBLINGS = 8
+# Windows that go back, each eight times as far as the one before it, before the rest of the past is read at once.
+STEPS, FACTOR = 3, 8
 
 
 def recent(time: Column, now: datetime, minutes: int) -> Column:
@@ -46,17 +46,17 @@ def volume_check(spark: SparkSession, checks: list[CheckSpec], now: datetime) ->
 def newest_by_steps(df: DataFrame, feed: str, time: str, now: datetime, minutes: int, expected: DataFrame) -> DataFrame:
     """Newest time, up to ``now``, of each expected feed that has any.
 
-    Reads the last ``minutes`` for all feeds, then windows that go back and double in reach, each only for feeds not seen yet, and at
+    Reads the last ``minutes`` for all feeds, then windows that reach back ever further, each only for feeds not seen yet, and at
     last whatever is older. A window reaches the scan, so that files and row groups outside of it are not read; where all
     feeds are alive, that is all but the first.
     """
     spark, stage = df.sparkSession, fresh_dir(df.sparkSession, "newest")
     missing = expected.select(F.col(feed).alias("_feed")).distinct()
     reach, until, kinds = timedelta(minutes=minutes), F.lit(str(now)), None
-    for step in range(DOUBLINGS + 1):
+    for step in range(STEPS + 1):
         since = now - reach
         window = F.col(time) <= until if step == 0 else F.col(time) < until
-        if step < DOUBLINGS:
+        if step < STEPS:
             window = window & (F.col(time) >= F.lit(str(since)))
         found = df.where(window).join(missing, F.col(feed) == F.col("_feed"), "left_semi").groupBy(feed).agg(F.max(time).alias("newest"))
         found.write.parquet(f"{stage}/step={step}")
@@ -64,7 +64,7 @@ def newest_by_steps(df: DataFrame, feed: str, time: str, now: datetime, minutes:
         missing = missing.join(spark.read.schema(kinds).parquet(f"{stage}/step={step}"), F.col("_feed") == F.col(feed), "left_anti")
         if missing.isEmpty():
             break
-        until, reach = F.lit(str(since)), reach * 2
+        until, reach = F.lit(str(since)), reach * FACTOR
     return spark.read.schema(kinds).parquet(stage).select(*kinds.names)
 
 

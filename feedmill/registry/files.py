@@ -17,6 +17,7 @@ from feedmill.sinks.ledger import MoveLog, SeenFiles
 from feedmill.sources.line_files import list_files, read_lines, read_unseen
 from feedmill.sources.relational import read_table
 from feedmill.streaming.convert import convert_stream, convert_stream_parts, stream_lines
+from feedmill.streaming.poll import poll_feeds
 
 CUTOFF = "2024-01-16 00:00:00"
 # Spark names its files part-..., so that is the prefix of the feed.
@@ -167,3 +168,28 @@ def encoded_feed(spark, sf_dir):
         found.append(read_rejects(spark, bad).select(F.lit(name).alias("feed"), "reason", "line"))
     lines = found[0].unionByName(found[1]).unionByName(found[2])
     return lines.withColumn("line", F.hex(F.col("line").cast("binary")))
+
+
+@query(
+    f"""
+    SELECT out AS line FROM ({WIDE_SQL}) WHERE ts < TIMESTAMP '{CUTOFF}'
+    UNION ALL SELECT out FROM ({WIDE_SQL}) WHERE ts >= TIMESTAMP '{CUTOFF}'
+    """
+)
+def polled_feed(spark, sf_dir):
+    """Three polls: files, nothing new but the old names with other lines, and new files. Each name is converted once, though its
+    file had left the folder for the archive before the name came again."""
+    folder, archive, out, bad = (fresh_dir(spark, d) for d in ("drop", "archive", "polled", "rejects"))
+    seen, moves = SeenFiles(spark, fresh_dir(spark, "seen")), MoveLog(spark, fresh_dir(spark, "moves"))
+    feed = LineFeed("events", folder, PREFIX, WIDE_INPUT, wide_layout, archive=archive)
+    polls = poll_feeds(spark, [feed], out, bad, seen, moves, period=0, rounds=3)
+    drop_lines(_lines(spark, sf_dir, f"ts < '{CUTOFF}'"), folder)
+    next(polls)
+    again = fresh_dir(spark, "again")
+    _lines(spark, sf_dir, f"ts >= '{CUTOFF}'").coalesce(1).write.text(again)
+    (lines,), old = list_paths(spark, again), list_paths(spark, archive)
+    move_paths(spark, [(lines, f"{folder}/{old[0].rpartition('/')[2]}")])
+    assert next(polls) == []
+    drop_lines(_lines(spark, sf_dir, f"ts >= '{CUTOFF}'"), folder)
+    next(polls)
+    return spark.read.text(out).select(F.col("value").alias("line"))

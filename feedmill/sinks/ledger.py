@@ -5,7 +5,7 @@ from __future__ import annotations
 from datetime import datetime, timezone
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedmill.session import drop_dir
@@ -17,7 +17,9 @@ LEDGER_SCHEMA = (
 RUNS = "_catalogue"
 DIGEST_SCHEMA = "feed string, block long, keys long, digest long, path string"
 MOVE_SCHEMA = "feed string, source string, target string, state string, at timestamp"
-SEEN_SCHEMA = "feed string, file_name string, seen_at timestamp"
+SEEN_SCHEMA = "feed string, bucket int, file_name string, seen_at timestamp"
+# Parts of a feed's names.
+BUCKETS = 64
 
 
 class AppendOnly:
@@ -162,16 +164,24 @@ class KeyDigests(AppendOnly):
         self.append(feed, digests.select("block", "keys", "digest", F.lit(path).alias("path")).coalesce(1))
 
 
+def name_bucket(file_name: Column) -> Column:
+    return F.pmod(F.xxhash64(file_name), F.lit(BUCKETS)).cast("int")
+
+
 class SeenFiles(AppendOnly):
-    """Names of input files already processed."""
+    """Names of input files already processed, in parts by their hash, so that a few names are looked up in a few parts."""
 
     schema = SEEN_SCHEMA
 
+    def append(self, feed: str, rows: DataFrame) -> None:
+        rows.write.mode("append").partitionBy("bucket").parquet(f"{self.path}/feed={feed}")
+
     def names(self, feed: str) -> DataFrame:
-        return self.read().where(F.col("feed") == feed).select("file_name")
+        return self.read().where(F.col("feed") == feed).select("bucket", "file_name")
 
     def add(self, feed: str, files: DataFrame) -> None:
-        self.append(feed, files.select("file_name", F.current_timestamp().alias("seen_at")).repartition(1))
+        named = files.select(name_bucket(F.col("file_name")).alias("bucket"), "file_name", F.current_timestamp().alias("seen_at"))
+        self.append(feed, named.repartition(1))
 
 
 class MoveLog(AppendOnly):

@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from feedmill.sinks.ledger import name_bucket
+
 LOG_GLOB = "*.[lL][oO][gG]"
 
 
@@ -53,8 +55,11 @@ def read_lines(spark: SparkSession, paths: str | list[str], prefix: str) -> Data
 
 
 def unseen_files(files: DataFrame, seen: DataFrame) -> DataFrame:
-    """Files whose name was never processed; the rest are dropped."""
-    return files.join(seen.select("file_name"), "file_name", "left_anti")
+    """Files whose name was never processed; the rest are dropped. Of the names (bucket, file_name) only the parts that the
+    files' own fall in are read: the files choose them while the query runs."""
+    asked = files.select("file_name", name_bucket(F.col("file_name")).alias("bucket"))
+    known = seen.join(asked, ["bucket", "file_name"], "left_semi").select("file_name")
+    return files.join(known, "file_name", "left_anti")
 
 
 def read_unseen(spark: SparkSession, folder: str, prefix: str, seen: DataFrame) -> tuple[DataFrame, DataFrame] | None:

@@ -1,16 +1,19 @@
 import dataclasses
 import os
 import time
+from threading import Event
 
 import pytest
+from pyspark.sql import functions as F
 
 from feedmill.operators.layouts import NARROW_INPUT, WIDE_INPUT, narrow_layout, wide_layout
 from feedmill.session import fresh_dir
 from feedmill.sinks.ledger import MoveLog, SeenFiles
-from feedmill.sources.line_files import list_files, read_lines, read_unseen
+from feedmill.sources.line_files import list_files, read_lines, read_unseen, unseen_files
 from feedmill.sources.relational import jdbc_options
 from feedmill.plans.convert import LineFeed, convert_batch, convert_new_files, read_rejects, run_line_feeds
 from feedmill.streaming.convert import convert_stream, convert_stream_parts, stream_lines
+from feedmill.streaming.poll import poll_feeds
 from test_validate import line
 
 
@@ -93,7 +96,8 @@ def test_compact_seen_files(spark, tmp_path):
         seen.add("f", spark.createDataFrame([(name,)], "file_name string"))
     seen.compact()
     assert sorted(r.file_name for r in seen.names("f").collect()) == ["a", "b", "c"]
-    assert len([n for n in os.listdir(tmp_path / "seen" / "feed=f") if n.startswith("part-")]) == 1
+    parts = [d for d, _, names in os.walk(tmp_path / "seen") for n in names if n.startswith("part-")]
+    assert len(parts) == len(set(parts)) <= 3
 
 
 def beats(n, start=0):
@@ -350,3 +354,28 @@ def test_bytes_of_any_encoding_come_through(spark, tmp_path):
     convert_batch(read_lines(spark, folder, "FEED"), dataclasses.replace(gbk, validated=True), narrow_layout, out, bad)
     reasons = [r.reason for r in read_rejects(spark, bad).collect()]
     assert reasons.count("bad_encoding") == 5
+
+
+def test_names_are_looked_up_in_their_parts_only(spark, tmp_path):
+    folder, seen = str(tmp_path / "in"), SeenFiles(spark, str(tmp_path / "seen"))
+    seen.add("f", spark.range(5000).select(F.concat(F.lit("FEED_"), "id", F.lit(".log")).alias("file_name")))
+    drop(folder, "FEED_17.log", ["known"])
+    drop(folder, "FEED_x.log", ["new"])
+    fresh = unseen_files(list_files(spark, folder, "FEED"), seen.names("f"))
+    assert [r.file_name for r in fresh.collect()] == ["FEED_x.log"]
+    assert "dynamicpruning" in fresh._jdf.queryExecution().executedPlan().toString()
+
+
+def test_polls_end_and_keep_their_period(spark, tmp_path):
+    folder, out, bad = (str(tmp_path / d) for d in ("in", "out", "bad"))
+    seen, stop = SeenFiles(spark, str(tmp_path / "seen")), Event()
+    feed = LineFeed("f", folder, "FEED", NARROW_INPUT, narrow_layout)
+    drop(folder, "FEED_1.log", beats(3))
+    polls = poll_feeds(spark, [feed], out, bad, seen, period=0.01, stop=stop, compact_every=1)
+    assert next(polls) == ["f"] and next(polls) == []
+    drop(folder, "FEED_1.log", beats(5))
+    assert next(polls) == []
+    drop(folder, "FEED_2.log", beats(2))
+    assert next(polls) == ["f"]
+    stop.set()
+    assert list(polls) == [] and len(files(out)) == 2
