@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from feedmill.llm.components import connected_components
 from feedmill.llm.staging import staged
-from feedmill.llm.text import LOWER, SPACES, Hashes, mix, slices, words_of
+from feedmill.llm.text import LOWER, SPACES, Hashes, mix, row_runs, slices, words_of
 
 # A token in the prefixes of more classes than this is frequent. It changes the work only, not the result.
 FREQUENT = 32
@@ -38,7 +38,7 @@ FREQUENT = 32
 COMMON_SHARE = 0.002
 COMMON_MOST = 50_000
 # N-grams in a group before it is cut into blocks.
-BLOCK_TOKENS = 200_000
+BLOCK_TOKENS = 100_000
 # Columns of a comparison's token table at a time.
 CHUNK = 4096
 
@@ -72,8 +72,7 @@ def common_tokens(texts: DataFrame, n: int) -> np.ndarray:
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = list(shingle_sets(batch.column(0), n))
+        for sets in (list(shingle_sets(own, n)) for batch in batches for own in row_runs(batch.column(0))):
             own, counts = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_counts=True)
             some = np.flatnonzero(counts >= max(8, COMMON_SHARE * len(sets)))
             yield pa.RecordBatch.from_arrays([pa.array(own[some].astype(np.int64)), pa.array(counts[some])], names=["token", "docs"])
@@ -106,33 +105,39 @@ def _sketch(n: int, percent: int, key_type: pa.DataType, common: np.ndarray) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            cids, sizes, lows, tokens = [], [], [], []
-            places: list[int | None] = []
-            for row, own in enumerate(shingle_sets(batch.column(1), n)):
-                places.append(None)
-                sizes.append(len(own))
-                if not len(own):
-                    cids.append(None)
-                    lows.append(None)
-                    tokens.append(None)
-                    continue
-                cid = class_of(own)
-                cids.append(cid)
-                lows.append(int(np.min(mix(own ^ np.uint64(0x5A5A))).astype(np.int64)))
-                tokens.append(None if cid in seen else in_order(own, common)[: stored(len(own), percent)].astype(np.int64))
-                places[-1] = None if cid in seen else row
+            at = 0
+            for column in row_runs(batch.column(1)):
+                yield sketched(batch.column(0).slice(at, len(column)), column, seen)
+                at += len(column)
+
+    def sketched(keys: pa.Array, column: pa.Array, seen: set[int]) -> pa.RecordBatch:
+        cids, sizes, lows, tokens, places = [], [], [], [], []
+        for row, own in enumerate(shingle_sets(column, n)):
+            sizes.append(len(own))
+            places.append(None)
+            if not len(own):
+                cids.append(None)
+                lows.append(None)
+                tokens.append(None)
+                continue
+            cid = class_of(own)
+            cids.append(cid)
+            lows.append(int(np.min(mix(own ^ np.uint64(0x5A5A))).astype(np.int64)))
+            tokens.append(None)
+            if cid not in seen:
+                tokens[-1], places[-1] = in_order(own, common)[: stored(len(own), percent)].astype(np.int64), row
                 seen.add(cid)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array(cids, pa.int64()),
-                    pa.array(sizes, pa.int64()),
-                    pa.array(lows, pa.int64()),
-                    pa.array(tokens, pa.list_(pa.int64())),
-                    batch.column(1).take(pa.array(places, pa.int64())).cast(pa.string()),
-                ],
-                schema=schema,
-            )
+        return pa.RecordBatch.from_arrays(
+            [
+                keys,
+                pa.array(cids, pa.int64()),
+                pa.array(sizes, pa.int64()),
+                pa.array(lows, pa.int64()),
+                pa.array(tokens, pa.list_(pa.int64())),
+                column.take(pa.array(places, pa.int64())).cast(pa.string()),
+            ],
+            schema=schema,
+        )
 
     return run
 
@@ -151,7 +156,9 @@ def stored(n: int, percent: int) -> int:
 def _shingles_of(n: int) -> Callable:
     @F.arrow_udf("array<bigint>")
     def shingles(texts: pa.Array) -> pa.Array:
-        return pa.array([s.astype(np.int64) for s in shingle_sets(texts, n)], pa.list_(pa.int64()))
+        kind = pa.list_(pa.int64())
+        runs = [pa.array([s.astype(np.int64) for s in shingle_sets(own, n)], kind) for own in row_runs(texts)]
+        return pa.concat_arrays([*runs, pa.array([], kind)])
 
     return shingles
 

@@ -68,6 +68,12 @@ class QualityModel:
         return self.bias + total / np.maximum(count, 1)
 
 
+def _added(one: tuple[np.ndarray, np.ndarray], other: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets and counts of two parts of a text together."""
+    unique, at = np.unique(np.concatenate([one[0], other[0]]), return_inverse=True)
+    return unique, np.bincount(at, weights=np.concatenate([one[1], other[1]])).astype(np.int64)
+
+
 def train(
     sample: list[tuple[str, int]], prior: tuple[int, int], bits: int = 16, dim: int = 8, epochs: int = 6, rate: float = 0.5
 ) -> QualityModel:
@@ -79,16 +85,15 @@ def train(
     if not ones or not zeros:
         return QualityModel(bits, np.zeros(1 << bits, dtype=np.float32), base)
     bags: list = [None] * len(sample)
-    parts: dict[int, list] = {}
     for part in slices(pa.array([text for text, _ in sample], pa.large_string())):
         row, bucket = feature_buckets(part, bits)
         order = np.argsort(row, kind="stable")
         cuts = np.searchsorted(row[order], np.arange(len(part.rows) + 1))
         for i, number in enumerate(part.rows):
-            parts.setdefault(int(number), []).append(bucket[order[cuts[i] : cuts[i + 1]]])
-    for number, buckets in parts.items():
-        unique, counts = np.unique(np.concatenate(buckets), return_counts=True)
-        bags[number] = (unique, (counts / max(1, counts.sum())).astype(np.float32))
+            own = np.unique(bucket[order[cuts[i] : cuts[i + 1]]], return_counts=True)
+            bags[number] = own if bags[number] is None else _added(bags[number], own)
+    for number, (unique, counts) in enumerate(bags):
+        bags[number] = unique, (counts / max(1, counts.sum())).astype(np.float32)
     random = np.random.default_rng(7)
     vectors = ((random.random((1 << bits, dim)) - 0.5) / dim).astype(np.float32)
     layer = np.zeros((2, dim), dtype=np.float32)
