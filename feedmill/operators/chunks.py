@@ -12,8 +12,6 @@ from feedmill.session import drop_dir, fresh_dir
 
 # monotonically_increasing_id keeps the partition number above its low 33 bits.
 PARTITION_SHIFT = 33
-# Rows of a sample for each range it places.
-SAMPLED = 64
 
 
 @dataclass
@@ -39,80 +37,29 @@ def row_order(columns: list[str] | tuple[str, ...]) -> list[Column]:
     return [F.col(c).asc_nulls_last() for c in columns]
 
 
-def _simple(column: str, kind: str) -> Column:
-    """An order column as a type whose literals are exact, in the same order."""
-    value = F.col(column)
-    if kind == "timestamp":
-        return F.unix_micros(value)
-    if kind == "timestamp_ntz":
-        # By its parts, since a time without zone may not exist in the session's zone.
-        clock = (F.hour(value) * 3600 + F.minute(value) * 60).cast("long") * 1_000_000
-        micros = (F.extract(F.lit("SECONDS"), value) * 1_000_000).cast("long")
-        return F.unix_date(value.cast("date")).cast("long") * 86_400_000_000 + clock + micros
-    if kind == "date":
-        return F.unix_date(value)
-    return value
-
-
-def _places(columns: tuple[str, ...], kinds: dict[str, str]) -> list[Column]:
-    """The order as columns whose natural order it is: per column whether it is NULL, and its value."""
-    return [c for name in columns for c in (F.col(name).isNull(), _simple(name, kinds[name]))]
-
-
-def _range_of(places: list[Column], edges: list[tuple], first: int = 0) -> Column:
-    """How many of the sorted edges a row has reached, by halving them."""
-    if not edges:
-        return F.lit(first)
-    middle = len(edges) // 2
-    below, equal = F.lit(False), F.lit(True)
-    for place, value in zip(places, edges[middle]):
-        if value is None:  # after its flag both sides are NULL, or neither is
-            continue
-        below = below | (equal & F.coalesce(place < F.lit(value), F.lit(False)))
-        equal = equal & F.coalesce(place == F.lit(value), F.lit(False))
-    return F.when(below, _range_of(places, edges[:middle], first)).otherwise(_range_of(places, edges[middle + 1 :], first + middle + 1))
-
-
-def range_edges(rows: DataFrame, columns: tuple[str, ...], ranges: int, total: int) -> list[tuple]:
-    """Edges that cut the order of ``columns`` into about equal ranges, from a sample of only these columns.
-
-    The sample holds SAMPLED rows per range at most, about. An edge is a whole place in the order, so a value that most rows
-    have is cut by the columns after it, as often as its share asks for."""
-    if ranges <= 1 or not total:
-        return []
-    names = [f"p{i}" for i in range(2 * len(columns))]
-    lean = rows.select(*[c.alias(n) for c, n in zip(_places(columns, dict(rows.dtypes)), names)])
-    sample = lean.sample(min(1.0, SAMPLED * ranges / total), seed=7)
-    ordered = [tuple(r) for r in sample.orderBy(*names).collect()]
-    cuts = sorted({i * len(ordered) // ranges for i in range(1, ranges)} - {0})
-    edges = [ordered[i] for i in cuts if i < len(ordered)]
-    return [e for i, e in enumerate(edges) if i == 0 or e != edges[i - 1]]
-
-
-def number_rows(df: DataFrame, order_by: tuple[str, ...], group_by: tuple[str, ...] = ()) -> Numbered:
+def number_rows(df: DataFrame, order_by: tuple[str, ...], group_by: tuple[str, ...] = (), written: bool = False) -> Numbered:
     """Number rows from 1 in ``order_by`` within each group; end the order in a unique column.
 
-    ``df`` is computed once, into a staged copy. A sample of the copy's order columns places the edges of ranges, and every
-    row goes straight to the partition of its range, so a group or sort value that holds much of the data is cut up by the
-    columns after it. The sorted ranges are staged as a table with each row's place in it, because only a written table has
-    the same partitions each time it is read.
+    ``df`` is computed once, into a staged copy, unless it only reads a ``written`` table, which is the same each time. The copy
+    is range-partitioned on group and order, so what Spark samples to place the ranges is the copy, and a group or sort value
+    that holds much of the data is cut up by the columns after it. The sorted ranges are staged with each row's place in
+    them, because only a written table has the same partitions each time it is read.
     """
     spark = df.sparkSession
     stage = fresh_dir(spark, "numbered")
-    columns = (*group_by, *order_by)
-    df.write.parquet(f"{stage}/source")
-    source = spark.read.schema(df.schema).parquet(f"{stage}/source")
-    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    edges = range_edges(source, columns, ranges, source.count())
+    order = row_order([*group_by, *order_by])
+    source = df
+    if not written:
+        df.write.parquet(f"{stage}/source")
+        source = spark.read.schema(df.schema).parquet(f"{stage}/source")
     placed = (
-        source.withColumn("_range", _range_of(_places(columns, dict(df.dtypes)), edges))
-        .repartitionById(max(1, len(edges) + 1), F.col("_range"))
-        .drop("_range")
-        .sortWithinPartitions(*row_order(columns))
+        source.repartitionByRange(*order)
+        .sortWithinPartitions(*order)
         .withColumn("_pos", F.monotonically_increasing_id())
     )
     placed.write.parquet(f"{stage}/rows")
-    drop_dir(spark, f"{stage}/source")
+    if not written:
+        drop_dir(spark, f"{stage}/source")
     rows = spark.read.schema(placed.schema).parquet(f"{stage}/rows")
     return number_staged(rows, stage, df.columns, group_by)
 

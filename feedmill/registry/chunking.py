@@ -24,8 +24,8 @@ def numbered_sql(columns: str, source: str, order: str, chunk_rows: int = PART_R
     """
 
 
-def chunked(df, order_by, chunk_rows=PART_ROWS):
-    return number_rows(df, order_by).rows.withColumn("chunk", chunk_column(chunk_rows))
+def chunked(df, order_by, chunk_rows=PART_ROWS, written=True):
+    return number_rows(df, order_by, written=written).rows.withColumn("chunk", chunk_column(chunk_rows))
 
 
 @query(numbered_sql("event_id", "events", "ts, event_id"))
@@ -63,7 +63,7 @@ def chunk_assignment_nulls(spark, sf_dir):
         F.col("o_custkey") == F.col("c_custkey"),
         F.col("c_mktsegment") == "BUILDING",
     ).select("o_orderkey", "c_name")
-    return chunked(joined, ("c_name", "o_orderkey")).select("o_orderkey", "rn", "chunk")
+    return chunked(joined, ("c_name", "o_orderkey"), written=False).select("o_orderkey", "rn", "chunk")
 
 
 @query(
@@ -74,7 +74,7 @@ def chunk_assignment_nulls(spark, sf_dir):
 )
 def chunk_per_file(spark, sf_dir):
     events = read_table(spark, sf_dir, "events").select("event_type", "event_id", "ts")
-    numbered = number_rows(events, ("ts", "event_id"), ("event_type",)).rows
+    numbered = number_rows(events, ("ts", "event_id"), ("event_type",), written=True).rows
     return numbered.select("event_type", "event_id", "rn", part_column(PART_ROWS).alias("chunk"))
 
 
