@@ -79,6 +79,7 @@ class Ledger(AppendOnly):
         self.append(feed, entry)
 
     def entries(self) -> DataFrame:
+        """All entries, each once; look-ups for which repeats do not matter read the table as it is."""
         return self.read().distinct()
 
     def done(self) -> DataFrame:
@@ -90,7 +91,7 @@ class Ledger(AppendOnly):
 
     def position(self, feed: str) -> tuple[bool, int | None]:
         """Whether the feed was seeded, and its mark."""
-        row = self.done().where(F.col("feed") == feed).agg(F.count(F.lit(1)).alias("n"), F.max("end_key").alias("top")).first()
+        row = self.read().where((F.col("state") == "done") & (F.col("feed") == feed)).agg(F.count(F.lit(1)).alias("n"), F.max("end_key").alias("top")).first()
         return row["n"] > 0, row["top"]
 
     def keep_keys(self, feed: str, start: int | None, end: int, path: str) -> None:
@@ -118,14 +119,14 @@ class Ledger(AppendOnly):
     def started(self, feeds: list[str]) -> bool:
         """Whether a run of the catalogue, or an export or seed of one of its feeds, was recorded; other users of the ledger do not count."""
         own = (F.col("state") == "run") | ((F.col("state") == "done") & F.col("feed").isin(feeds))
-        return not self.entries().where(own).isEmpty()
+        return not self.read().where(own).isEmpty()
 
     def open_range(self, feed: str, start: int | None, end: int, place: str = "") -> tuple[int, str]:
         """Fix the end of the next range and the place it is written to.
 
         A crashed export of the same start keeps both, so that its replay replaces what it left.
         """
-        pending = self.entries().where(
+        pending = self.read().where(
             (F.col("feed") == feed) & F.col("start_key").eqNullSafe(F.lit(start)) & (F.col("state") == "open")
         )
         first = pending.orderBy("committed_at").select("end_key", "path").first()
@@ -136,8 +137,9 @@ class Ledger(AppendOnly):
 
     def close(self, feed: str, start: int | None, end: int, rows: int, path: str | None) -> None:
         """Record delivery, once per range."""
-        known = self.done().where(
-            (F.col("feed") == feed)
+        known = self.read().where(
+            (F.col("state") == "done")
+            & (F.col("feed") == feed)
             & F.col("start_key").eqNullSafe(F.lit(start))
             & F.col("end_key").eqNullSafe(F.lit(end))
         )
@@ -151,7 +153,7 @@ class Ledger(AppendOnly):
 
     def last_run(self) -> datetime | None:
         """When the latest run or delivery was recorded, in UTC."""
-        micros = self.entries().where("state IN ('done', 'run')").agg(F.unix_micros(F.max("committed_at"))).first()[0]
+        micros = self.read().where("state IN ('done', 'run')").agg(F.unix_micros(F.max("committed_at"))).first()[0]
         return None if micros is None else datetime.fromtimestamp(micros / 1e6, timezone.utc)
 
 
