@@ -28,7 +28,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from feedmill.llm.components import connected_components
-from feedmill.llm.staging import staged
+from feedmill.llm.staging import scratch, staged
 from feedmill.llm.text import LOWER, SPACES, Hashes, mix, row_runs, slices, words_of
 
 # A token in the prefixes of more classes than this is frequent. It changes the work only, not the result.
@@ -244,8 +244,14 @@ def jaccard_classes(
 
     Two documents link when 100 * intersection >= percent * union of their sets of n-word shingles. NULL, empty and blank
     texts have empty sets, link with nothing and are their own component. Repeated rows stay, each with its component; a
-    NULL key takes part and is never a component's id unless it has no other. Other columns are ignored.
+    NULL key takes part and is never a component's id unless it has no other. Other columns are ignored. What is staged on the way
+    is dropped; the result is a table of its own.
     """
+    with scratch(df.sparkSession):
+        return staged(_joined(df, n, percent, key, text, hot), "jaccard", keep=True)
+
+
+def _joined(df: DataFrame, n: int, percent: int, key: str, text: str, hot: int) -> DataFrame:
     spark = df.sparkSession
     docs = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
     key_type = spark.createDataFrame([], docs.select("key").schema).toArrow().schema.field(0).type

@@ -2,16 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import threading
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from feedmill.session import fresh_dir
+from pyspark.sql import DataFrame, SparkSession
 
+from feedmill.session import drop_dir, fresh_dir
 
-def staged(df: DataFrame, label: str) -> DataFrame:
+_OPEN = threading.local()
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Drop the tables staged inside at the end, but for those staged with ``keep``. Nothing else that is made from them may be
+    read afterwards."""
+    scopes = _OPEN.__dict__.setdefault("scopes", [])
+    scopes.append([])
+    try:
+        yield
+    finally:
+        for path in scopes.pop():
+            drop_dir(spark, path)
+
+
+def staged(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     """Write a table and read it back: its size is known, its rows stay the same, lost executors lose none of it.
 
-    It stays in the shared folder, because the frames made from it read it whenever they run.
+    It stays in the shared folder, because the frames made from it read it whenever they run, until the innermost ``scratch``
+    around it ends; with ``keep`` until the one around that does. Without any it stays for good.
     """
     path = fresh_dir(df.sparkSession, label)
+    scopes = _OPEN.__dict__.get("scopes", [])[: -1 if keep else None]
+    if scopes:
+        scopes[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
