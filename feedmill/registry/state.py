@@ -78,8 +78,11 @@ def table_sync_full(spark, sf_dir):
 
 @query("SELECT 8 AS ranges, count(*) AS rows, count(DISTINCT o_orderkey) AS found, true AS even FROM orders")
 def equal_height_ranges(spark, sf_dir):
-    """A table whose keys lie ever further apart, read by the conditions of equal-height ranges: all rows once, evenly."""
-    sparse = read_table(spark, sf_dir, "orders").select("o_orderkey", F.expr("o_orderkey * o_orderkey * o_orderkey").alias("pk"))
+    """A table whose keys lie ever further apart, read by the conditions of equal-height ranges: all rows once, evenly.
+
+    The cubes are decimals of 38 digits, as a long holds those of keys up to two million only."""
+    wide = F.col("o_orderkey").cast("decimal(38,0)")
+    sparse = read_table(spark, sf_dir, "orders").select("o_orderkey", (wide * wide * wide).alias("pk"))
     predicates = range_predicates("pk", key_edges(sparse, "pk", 8))
     read = reduce(DataFrame.union, [sparse.where(p).withColumn("range", F.lit(i)) for i, p in enumerate(predicates)])
     sizes = read.groupBy("range").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("o_orderkey").alias("found"))

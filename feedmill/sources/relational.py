@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType
 
 
 def jdbc_options(
@@ -51,12 +52,13 @@ def key_edges(keys: DataFrame, key: str, ranges: int, above: int | None = None)
     """Edges that cut the keys (above a mark) into ranges with about equally many rows, however the keys are spread.
 
     They are quantiles, computed in tasks and merged; NULL keys count for none. Fewer edges come back where one key has
-    more rows than a range.
+    more rows than a range. Decimal keys may lie beyond a long; their quantiles are doubles, which every other key is compared as, too.
     """
     newer = keys if above is None else keys.where(F.col(key) > above)
     shares = [i / ranges for i in range(1, ranges)]
-    found = newer.agg(F.percentile_approx(F.col(key).cast("long"), shares, 100 * ranges)).first()[0] if shares else None
-    return sorted(set(found or []))
+    number = F.col(key).cast("double" if isinstance(newer.select(key).schema[0].dataType, DecimalType) else "long")
+    found = newer.agg(F.percentile_approx(number, shares, 100 * ranges)).first()[0] if shares else None
+    return sorted({int(edge) for edge in found or []})
 
 
 def range_predicates(key: str, edges: list[int], above: int | None = None) -> list[str]:

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedmill.plans.export import ExportRun, export_incremental, seed
+from feedmill.registry.state import equal_height_ranges
 from feedmill.sinks.ledger import Ledger
 from feedmill.sources.relational import key_edges, range_predicates
 from feedmill.spec import FeedSpec
@@ -36,6 +37,18 @@ def test_one_key_with_most_rows(spark):
     assert range_predicates("k", key_edges(df.limit(0), "k", 10)) == ["1 = 1"]
 
 
+@pytest.mark.parametrize("shift", [0, 9_000_000])
+def test_keys_beyond_a_long(spark, tmp_path, shift):
+    # The cubes of the shifted keys do not fit a long; one key is missing, and some rows share theirs.
+    keys = spark.range(4000).select(F.expr(f"IF(id = 5, NULL, id - id % 2 + {shift})").alias("o_orderkey"))
+    keys.write.parquet(str(tmp_path / "orders.parquet"))
+    assert [tuple(r) for r in equal_height_ranges(spark, str(tmp_path)).collect()] == [(8, 4000, 2000, True)]
+    wide = F.col("o_orderkey").cast("decimal(38,0)")
+    cubes = keys.select((wide * wide * wide).alias("k"))
+    predicates = range_predicates("k", key_edges(cubes, "k", 8, 4), 4)
+    assert len(predicates) == 8 and sum(cubes.where(p).count() for p in predicates) == cubes.where("k > 4").count()
+
+
 def test_the_source_may_tell_its_highest_key(spark, tmp_path):
     asked = []
 
