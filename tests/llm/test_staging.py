@@ -2,6 +2,7 @@
 
 import os
 
+import pyarrow.parquet as pq
 import pytest
 
 from feedmill.llm.staging import scratch, staged
@@ -23,3 +24,14 @@ def test_scratch(spark):
         lost, result = folder(staged(spark.range(3), "test")), folder(staged(spark.range(3), "test", keep=True))
         raise ValueError
     assert not os.path.exists(lost) and os.path.exists(result)
+
+
+def test_room_of_texts(spark, tmp_path):
+    # Words of a few hundred in any order, as prose has them.
+    words = "array_join(transform(sequence(1, 200), i -> concat('word', pmod(xxhash64(id, i), 500))), ' ')"
+    texts = spark.range(0, 2000, 1, 1).selectExpr("id", f"{words} AS text")
+    texts.write.parquet(str(tmp_path / "plain"))
+    room = [sum(os.path.getsize(f.removeprefix("file://")) for f in df.inputFiles()) for df in (staged(texts, "test"), spark.read.parquet(str(tmp_path / "plain")))]
+    assert room[0] < 0.8 * room[1]
+    own = pq.ParquetFile(staged(texts, "test").inputFiles()[0].removeprefix("file://")).metadata.row_group(0).column(1)
+    assert own.compression == "ZSTD" and staged(texts, "test").exceptAll(texts).isEmpty()
