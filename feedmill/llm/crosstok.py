@@ -28,8 +28,10 @@ from feedmill.llm.text import row_runs
 from feedmill.llm.tokens import PATTERN
 
 # Bytes of texts that are worked through at a time, and pieces that a task remembers before it begins anew.
-RUN_BYTES = 1 << 21
-MOST_PIECES = 1 << 18
+RUN_BYTES = 1 << 19
+MOST_PIECES = 1 << 16
+# Pairs of documents that are scored at a time.
+RUN_PAIRS = 1 << 17
 # Pairs besides the fast ones whose counts go to every task. It changes the work only, not the result.
 FREQUENT_PAIRS = 1 << 16
 # Where both tokenizers begin a new token, and what tells that some blank of a text is no such place.
@@ -406,8 +408,17 @@ def _score_batches(known: Known, key_type: pa.DataType):
         row = np.repeat(np.arange(len(column)), column.value_lengths().to_numpy())
         return row, *(items.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
 
+    def runs(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        """The batch in runs of rows with about so many pairs, as sums of many take several times their room."""
+        ends = np.cumsum([0, *(batch.column(-2).value_lengths().to_numpy() + batch.column(-1).value_lengths().to_numpy())])
+        row = 0
+        while row < batch.num_rows:
+            end = max(row + 1, int(np.searchsorted(ends, ends[row] + RUN_PAIRS, side="right")) - 1)
+            yield batch.slice(row, end - row)
+            row = end
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in chain.from_iterable(map(runs, batches)):
             *kept, fast, slow = batch.columns
             rows = np.arange(batch.num_rows + 1)
             row, a, n = entries(fast)

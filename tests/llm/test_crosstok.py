@@ -1,10 +1,12 @@
 """Tokenizer alignment against a plain alignment by byte offsets."""
 
 import hashlib
+import tracemalloc
 from collections import Counter, defaultdict
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -153,3 +155,49 @@ def test_the_identity_map_prefers_pieces(vocabularies):
     assert loaded.quick is not None
     assert len(held) > 10_000 and all(of_a[i] == of_b[same[i]] for i in held)
     assert b.id_to_piece(int(same[of_a.index(b"A")])) == "A"
+
+
+def test_room_of_scores():
+    # Many documents in one batch: what is summed at a time is a run of them, and the sums are those of each row by itself.
+    rng, rows, n = np.random.default_rng(5), 6000, 250
+    offsets = np.arange(rows + 1) * n
+    fast = crosstok._list_of(crosstok.FAST, offsets, [rng.integers(0, 900, rows * n), rng.integers(1, 9, rows * n)])
+    slow = crosstok._list_of(crosstok.SLOW, offsets // 5, [rng.integers(0, 99, rows * n // 5), rng.integers(1, 9, rows * n // 5)])
+    numbers = [pa.array(np.full(rows, 3)) for _ in crosstok.NUMBERS]
+    columns = [pa.array(np.arange(rows)), *numbers, pa.array(["x"] * rows), fast, slow]
+    batch = pa.RecordBatch.from_arrays(columns, names=["key", *crosstok.NUMBERS, "groups_sha256", "fast", "slow"])
+    pairs = np.arange(0, 99, 2)
+    known = crosstok.Known(rng.integers(0, 50, 900), rng.random(900) < 0.5, pairs, pairs + 7, pairs % 4 == 0)
+    score = crosstok._score_batches(known, pa.int64())
+    tracemalloc.start()
+    got, most = [], 0
+    for part in score(iter([batch])):
+        most = max(most, tracemalloc.get_traced_memory()[1])
+        got.append(part)
+    tracemalloc.stop()
+    assert most < 40e6
+    got = pa.Table.from_batches(got).to_pylist()
+    assert [r["key"] for r in got] == list(range(rows))
+    for i in (0, 1, 2999, rows - 1):
+        own, left = batch.slice(i, 1).to_pylist()[0], got[i]
+        held = [p for p in own["slow"] if p["code"] % 2 == 0]
+        assert left["count_sum"] == sum(p["n"] * int(known.counts[p["a"]]) for p in own["fast"]) + sum(p["n"] * (p["code"] + 7) for p in held)
+        assert left["n_best"] == sum(p["n"] for p in own["fast"] if known.best[p["a"]]) + sum(p["n"] for p in held if p["code"] % 4 == 0)
+        assert left["rest"] == [p for p in own["slow"] if p["code"] % 2]
+
+
+def test_room_of_pieces(vocabularies, monkeypatch):
+    # Texts of ever new words: what a task remembers is bounded, and so are the new ones of a run.
+    most, learn = [0], crosstok.learn
+    monkeypatch.setattr(crosstok, "learn", lambda known, *a: (learn(known, *a), most.append(len(known))))
+    texts = [" ".join(f"{i:x}z{k}" for k in range(i, i + 4000)) for i in range(0, 200_000, 4000)]
+    loaded = vocabularies.load()
+    same = crosstok.identity_map(loaded.bytes_a, loaded.bytes_b, [loaded.b.is_byte(i) for i in range(len(loaded.bytes_b))])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["key", "text"])
+    got = pa.Table.from_batches(crosstok._align_batches(vocabularies, same, pa.int64())(iter([batch]))).to_pylist()
+    assert sum(r["key"] is not None for r in got) == len(texts) and sum(r["n_links"] or 0 for r in got) > 200_000
+    links = Counter()
+    for r in got:
+        links["rows"] += r["n_links"] or 0
+        links["pairs"] += sum(p["n"] for side in ("all_fast", "all_slow") for p in r[side] or [])
+    assert links["rows"] == links["pairs"] and max(most) < 150_000
